@@ -54,6 +54,48 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.tiff import page_digests, read_pages, store_texts
+
+    pages = read_pages(store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return page_digests(pages, "doc_id", "n_bytes")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.warc import archive_table, read_archives
+
+    records = read_archives(archive_table(table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS g FROM p),
+m AS (SELECT *, n >= 100 AND page_id <> min(page_id) OVER (PARTITION BY g) AS again, min(page_id) OVER (PARTITION BY g) AS first FROM d)
+SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM m
+"""
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.langid import held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), docs)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.chat import format_chats
+
+    text = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    out = format_chats(rows)
+    turns = F.concat_ws("", F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n"))))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("conv_id", F.size("roles").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.line_dedup import dedup_lines
 
@@ -69,5 +111,5 @@ m AS (SELECT doc_id, no, line, top IS NOT NULL AND top <> doc_id AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_pack, op10_dedup_lines)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op10_dedup_lines": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op6_warc, op7_language, op8_chat, op10_dedup_lines)}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op10_dedup_lines": OP10_SQL}
