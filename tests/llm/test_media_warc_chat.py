@@ -111,6 +111,16 @@ def test_chat_detects_rewriting():
     assert chat.locate([("user", "long text"), ("assistant", "y")], last_only)["rewritten"]
 
 
+def test_long_conversations_equal_whole_prefixes():
+    turns = [("assistant" if i % 2 else "user", f"text {i} </s>") for i in range(150)]
+    assert chat.locate(turns) == chat._prefixes(turns, chat.render)
+    counts = lambda turns: "".join(f"<{i}{r}>{t}" for i, (r, t) in enumerate(turns))
+    totals = lambda turns: f"{len(turns) // 100}" + counts(turns)
+    for template in (counts, totals):
+        assert chat.locate(turns, template) == chat._prefixes(turns, template)
+    assert not chat.locate(turns, counts)["rewritten"] and chat.locate(turns, totals)["rewritten"]
+
+
 def test_chat_query(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     convs = {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
