@@ -61,6 +61,24 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digests(pages, "doc_id", "n_bytes")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.jaccard_join import similar_sets
+
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + least(5, len(w)) - 1], ' ')) AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.warc import archive_table, read_archives
 
@@ -111,5 +129,5 @@ m AS (SELECT doc_id, no, line, top IS NOT NULL AND top <> doc_id AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op6_warc, op7_language, op8_chat, op10_dedup_lines)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op10_dedup_lines": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op6_warc, op7_language, op8_chat, op10_dedup_lines)}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_warc": OP6_SQL, "op10_dedup_lines": OP10_SQL}
