@@ -6,9 +6,9 @@ window is emitted: with padding if its room is `max_pad` or less, else filled up
 rest of which is placed again. At the end each partition hands its open windows on; these leftovers are packed again
 in the same way, `FAN_IN` partitions at a time, until one group is left, and that emits its windows.
 
-A document's tokens are those of a word-level vocabulary file plus an end id. Words (runs without blank, tab, line
-feed and carriage return) are encoded once per task and then looked up by hash; the tokenizer never joins anything
-across these characters, so the ids equal those of the whole text.
+A document's tokens are those of a word-level vocabulary file plus an end id. Words are encoded once per process and
+then looked up by hash; they end where the tokenizer ends a token in any context, so the ids equal those of the whole
+text.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no
 pieces; ids of null documents stay null. Sequence ids are unique but not dense.
@@ -30,12 +30,17 @@ from arcfold.llm import runtime, textkit
 
 FAN_IN = 64
 _BREAKS = textkit._class((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
-#: Different words a task remembers before it starts anew.
-WORDS_HELD = 1_000_000
+_LETTER = textkit._class((0x41, 0x5A), (0x61, 0x7A))
+#: ASCII signs but |
+_SIGN = textkit._class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E))
+#: Different words a process remembers before it starts anew.
+WORDS_HELD = 2_000_000
 
 
 class Encoder:
-    """Token ids of whole texts, by words."""
+    """Token ids of whole texts, by words, which are remembered for as long as the process lives."""
+
+    _own: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,28 +49,48 @@ class Encoder:
         self.tok, self.end = Tokenizer.from_file(path), np.array([end_id], np.uint32)
         self.clear()
 
+    @classmethod
+    def of(cls, path: str, end_id: int) -> Encoder:
+        if (path, end_id) not in cls._own:
+            cls._own[path, end_id] = cls(path, end_id)
+        return cls._own[path, end_id]
+
     def clear(self) -> None:
         self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, first word of each text). Words end at the four blanks, and between an ASCII letter
+        and an ASCII sign, where the tokenizer always ends a token (special tokens have | behind their letters)."""
+        special = b"<|" in data.tobytes()
+        if not special and len(data):
+            # A-Z count as a-z but before a non-ASCII character, which could combine with the letter.
+            plain = np.append(data[1:] < 0x80, True)
+            data = np.where(plain, textkit.LOWER[data], data)
+        start, end, word_off = textkit.spans(data, off, ~_BREAKS)
+        cut = np.flatnonzero(_LETTER[data[:-1]] & _SIGN[data[1:]]) + 1
+        cut = cut[~np.isin(cut, off)] if len(cut) else cut
+        at = np.searchsorted(start, cut, "right")
+        before = np.searchsorted(cut, start[np.minimum(word_off[:-1], max(len(start) - 1, 0))]) if len(start) else np.zeros(len(off) - 1, np.int64)
+        total = np.append(np.where(word_off[:-1] < len(start), before, len(cut)), len(cut))
+        return data, np.insert(start, at, cut), np.insert(end, at - 1, cut), word_off + total
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts of a column, each with its end id."""
-        data, off = textkit.flat(column)
-        start, end, word_off = textkit.spans(data, off, ~_BREAKS)
+        data, start, end, word_off = self.words(*textkit.flat(column))
         keys, first, of = np.unique(textkit.byte_sums(data).hash(start, end), return_index=True, return_inverse=True)
         if len(self.keys) > WORDS_HELD:
             self.clear()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             raw = data.tobytes()
-            coded = self.tok.encode_batch([raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[new].tolist()], add_special_tokens=False)
-            ids = [np.array(c.ids, np.uint32) for c in coded]
+            coded = self.tok.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], add_special_tokens=False)
+            ids = [c.ids for c in coded]
             size = np.array([len(i) for i in ids], np.int64)
             place = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
-            self.ids = np.concatenate([self.ids, *ids])
-            order = np.argsort(merged := np.concatenate([self.keys, keys[new]]), kind="stable")
-            self.keys, self.first, self.size = merged[order], np.concatenate([self.first, place])[order], np.concatenate([self.size, size])[order]
+            self.ids = np.concatenate([self.ids, np.array([x for i in ids for x in i], np.uint32)])
+            self.keys, self.first, self.size = (np.insert(x, at[new], y) for x, y in ((self.keys, keys[new]), (self.first, place), (self.size, size)))
             at = np.searchsorted(self.keys, keys)
         first, size = self.first[at][of], self.size[at][of]
         total = np.concatenate([[0], np.cumsum(size)])[word_off]
@@ -138,7 +163,7 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def _pack_docs(tokenizer: str, end_id: int, id_col: str, text_col: str, length: int, windows: int, max_pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = Encoder.of(tokenizer, end_id)
         packer = Packer(length, windows, max_pad, 0, TaskContext.get().partitionId())
         for batch in textkit.chunks(batches, text_col):
             ids, off = encoder.encode(batch.column(text_col))
