@@ -79,6 +79,33 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id FROM d JOI
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, p, hash(array_to_string(w[p : p + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM v JOIN f USING (k) WHERE doc_id > first),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+y AS (SELECT x.doc_id, x.p, x.word, g.p IS NOT NULL AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.p = x.p)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY y.p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN y ON y.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
+"""
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcfold.llm.suffix_dedup import dedup_suffixes
+
+    out = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.warc import archive_table, read_archives
 
@@ -129,5 +156,5 @@ m AS (SELECT doc_id, no, line, top IS NOT NULL AND top <> doc_id AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op6_warc, op7_language, op8_chat, op10_dedup_lines)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_warc": OP6_SQL, "op10_dedup_lines": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op5_substring_dedup, op6_warc, op7_language, op8_chat, op9_suffix_dedup, op10_dedup_lines)}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op10_dedup_lines": OP10_SQL}
