@@ -1,6 +1,6 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Documents are sets of word shingles. Those with equal sets form a class and are joined once, by a 128-bit digest.
+Documents are sets of word shingles. Those with equal sets form a class, by a 128-bit digest, and one of them is joined.
 
 1. Shingles travel packed, by hash bucket, to where their document frequency is counted; those that one document
    alone has stay behind. A shingle that is frequent within a task is pre-aggregated there. Frequencies count up to
@@ -12,9 +12,11 @@ Documents are sets of word shingles. Those with equal sets form a class and are
    but one, are as many as the shingles a partner may lack, plus one. So documents that link share a single token or
    a pair of one class. The classes are as many as the size of the two documents asks for, in bands a factor of
    1 / threshold apart; every document is indexed for its own band and the next.
-4. In each signature's group, all members meet the group's most central one, the one with the fewest shingles of its
-   own, and exact sizes of intersections decide. Groups of near copies become one component this way, in linear time.
-5. Two members of a group that did not both link to its center may still link to one another. Whatever they share of
+4. The center of a signature's group is the member with the fewest shingles of its own. A document meets the most
+   central one of all its groups' centers, and exact sizes of intersections decide: near copies become one component
+   in linear time. Only where a group still has several components, and members that met different centers, do they
+   meet the group's own center too. Two documents of a group thus have the same component or a center in common.
+5. Two documents that did not both link to their common center may still link to one another. Whatever they share of
    the center's shingles is known to be too little, so they must also share one outside of it: members are indexed by
    these, the ones that missed the center probe with a prefix of theirs, and pairs of different components are
    verified. (If the center is so large that it misses a member it covers enough, that member meets all the group.)
@@ -45,6 +47,8 @@ RARE = 4
 #: Shingles a task packs at once, and shingles of a bucket on average.
 FLUSH = 2_000_000
 BUCKET = 131_072
+#: Ids of copies that are broadcast at most: 8 bytes each.
+BROADCAST_IDS = 1_000_000
 LOW = U64((1 << 48) - 1)
 
 
@@ -126,18 +130,9 @@ def _pack(size: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no, held, docs, tokens = TaskContext.get().partitionId(), 0, [], 0, 0
-        seen: set[tuple[int, int]] = set()  # equal sets of one task need only one document
         for batch in textkit.chunks(batches, "text"):
             doc, h, n = shingles(batch.column("text"), size)
-            s1, s2 = digests(doc, h, batch.num_rows)
-            new = np.zeros(batch.num_rows, bool)
-            known = ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            for i, key in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
-                if n[i] and known[i] and key not in seen:
-                    seen.add(key)
-                    new[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
+            new = (n > 0) & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             keep = new[doc]
             place = np.cumsum(new) - 1 + docs
             held.append((h[keep], place[doc[keep]], batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[new], n[new].astype(np.int32)))
@@ -345,16 +340,19 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = sets.join(classes.where("copies > 1").drop("copies"), ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"))
     sets = runtime.staged(sets, "classes")
 
-    packed = rows.mapInArrow(_pack(size, bits), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # One document of each class goes on. Few enough others to broadcast spare the texts a shuffle.
+    copies = sets.where("doc_id <> class").select("doc_id").distinct()
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    packed = rows.join(copies, "doc_id", "left_anti").mapInArrow(_pack(size, bits), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = packed.mapInArrow(_count, "batch long, token binary, df binary, local binary, docs binary, sizes binary")
     shared = shared.repartition(parts, "batch").sortWithinPartitions("batch")
     cands = runtime.staged(shared.mapInArrow(_candidates(num, den), CANDIDATES), "candidates")
 
     sigs = runtime.staged(cands.mapInArrow(_sign(num, den), "sig long, key long"), "signatures")
     leads = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = sigs.join(leads, "sig").where("key <> lead").select("lead", "key").distinct()
-    met = runtime.staged(_meet(stars, cands, num, den), "met")
-    links = met.where("linked").select("a", "b")
+    grouped = runtime.staged(sigs.join(leads, "sig"), "groups")
+    first = runtime.staged(grouped.groupBy("key").agg(F.min("lead").alias("first")), "centers")
     same = sets.where("doc_id <> class").select("doc_id", "class")
 
     def by_class(pairs: DataFrame) -> DataFrame:
@@ -362,12 +360,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(same.select(F.col("doc_id").alias(c), F.col("class").alias(f"{c}_class")), c, "left")
         return pairs.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
 
-    links = runtime.staged(by_class(links), "links")
+    def with_component(df: DataFrame, doc: str) -> DataFrame:
+        df = df.join(same.select(F.col("doc_id").alias(doc), F.col("class").alias("id")), doc, "left").withColumn("id", F.coalesce("id", doc))
+        return df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
+
+    stars = first.where("first <> key").select(F.col("first").alias("lead"), "key")
+    met = runtime.staged(_meet(stars, cands, num, den), "met")
+    links = runtime.staged(by_class(met.where("linked").select("a", "b")), "links")
+    found = runtime.staged(components(links), "components")
+
+    info = with_component(first.join(cands.select("key", "doc_id"), "key"), "doc_id").select("key", "first", "component")
+    spread = grouped.join(info, "key").groupBy("sig").agg(*(f(c).alias(f"{n}_{c}") for c in ("first", "component") for n, f in (("lo", F.min), ("hi", F.max))))
+    spread = spread.where("lo_first <> hi_first and lo_component <> hi_component").select("sig")
+    other = grouped.join(spread, "sig").where("lead <> key").select("lead", "key").distinct().join(stars, ["lead", "key"], "left_anti")
+    met2 = runtime.staged(_meet(other, cands, num, den), "met")
+    links = runtime.staged(links.unionByName(by_class(met2.where("linked").select("a", "b"))), "links")
     found = runtime.staged(components(links), "components")
-    # The center itself is a member of its group, wholly inside itself: linked, with nothing outside.
-    member = met.select("lead", "b", "n", "own", "shared", "linked", "rest")
-    member = member.join(same.select(F.col("doc_id").alias("b"), "class"), "b", "left").withColumn("id", F.coalesce("class", "b"))
-    member = member.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    met = met.unionByName(met2)
+    # The center needs no row of its own: its pairs with the members are verified.
+    member = with_component(met, "b")
     terms = runtime.staged(member.select("lead", "b", "n", "own", "shared", "linked", "rest", "component").mapInArrow(_outside(num, den), "lead long, token long, doc long, n long, component long, probe boolean"), "outside")
     mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p")).where("c1 <> c2 and p").select("lead", "token")
     terms = terms.join(mixed, ["lead", "token"])
