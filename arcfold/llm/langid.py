@@ -32,6 +32,8 @@ STRETCHES = 2
 STRETCH_CHARS = 256
 EPOCHS = 6
 BATCH = 128
+#: Steps of training at least: small samples are gone over more often.
+LEAST_STEPS = 900
 
 
 def held_out(id_col: str) -> Column:
@@ -89,7 +91,9 @@ class Network:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 4e-3, seed: int = 5) -> Network:
         r, m, v, t = np.random.default_rng(seed), {}, {}, 0
-        steps = max(1, epochs * -(-len(x) // BATCH))
+        batches = max(1, -(-len(x) // BATCH))
+        epochs = max(epochs, -(-LEAST_STEPS // batches))
+        steps = epochs * batches
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), BATCH):

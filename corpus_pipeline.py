@@ -16,7 +16,7 @@ from arcfold.llm.queries import tokenizer_path
 #: The columns of documents, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this probability the language of a document counts as not recognised.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
