@@ -37,9 +37,10 @@ LEAP = 64
 
 
 class Suffixes:
-    """The sorted suffixes of some strings, right in their first `depth` bytes."""
+    """The sorted suffixes of some strings, right in their first `depth` bytes: all of them, or the first counts[i] of
+    each and those that these are induced from."""
 
-    def __init__(self, strings: list[bytes], depth: int):
+    def __init__(self, strings: list[bytes], depth: int, counts: np.ndarray | None = None):
         self.depth = depth
         raw = b"".join(strings)
         size = np.array([len(s) for s in strings], np.int64)
@@ -56,15 +57,26 @@ class Suffixes:
         for k in range(8):
             self.eight |= np.where(np.arange(n) + k < self.end, b[k : k + n], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
         self.sums = textkit.Sums(textkit.mix(self.text.astype(np.uint64) + np.uint64(1)))
-        self.order = self._induce(self._direct(np.flatnonzero(self._smaller())))
-
-    def _smaller(self) -> np.ndarray:
-        """Which suffixes are smaller than their successors; equal bytes follow the next that differs."""
+        self._smaller()
+        self.wanted = np.ones(n, bool)
+        if counts is not None:
+            starts = ends - size
+            # A larger suffix hangs on its successor, down to the next smaller one.
+            at = np.where(self.small, np.arange(n), n - 1)
+            hold = np.minimum.accumulate(at[::-1])[::-1]
+            step = np.zeros(n + 1, np.int64)
+            some = np.asarray(counts) > 0
+            np.add.at(step, starts[some], 1)
+            np.add.at(step, hold[starts[some] + np.asarray(counts)[some] - 1] + 1, -1)
+            self.wanted = np.cumsum(step)[:n] > 0
+        self.order = self._induce(self._direct(np.flatnonzero(self.small & self.wanted)))
+
+    def _smaller(self) -> None:
+        """Finds which suffixes are smaller than their successors; equal bytes follow the next that differs."""
         step = np.sign(np.diff(self.text.astype(np.int32), append=-1))
         at = np.where(step != 0, np.arange(len(step)), len(step))
         nxt = np.minimum.accumulate(at[::-1])[::-1]
         self.small = step[nxt] > 0
-        return self.small
 
     def _key(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Eight bytes at these places, and how many of them lie within the string (so that an end sorts first)."""
@@ -123,7 +135,7 @@ class Suffixes:
         def push(done: np.ndarray, c: int) -> np.ndarray:
             """Deals the larger predecessors to their buckets; gives those of this bucket."""
             p = done[done > 0] - 1
-            p = p[~self.small[p]]
+            p = p[~self.small[p] & self.wanted[p]]
             t = self.text[p]
             here = p[t == c]
             p, t = p[t > c], t[t > c]
@@ -135,7 +147,8 @@ class Suffixes:
             return here
 
         last = len(self.text) - 1
-        pending[self.text[last]].append(np.array([last]))
+        if self.wanted[last] and not self.small[last]:
+            pending[self.text[last]].append(np.array([last]))
         for c in range(258):
             level = np.concatenate(pending[c]) if pending[c] else np.zeros(0, np.int64)
             while len(level):  # repeats of one byte induce within their own bucket
@@ -151,7 +164,13 @@ class Suffixes:
         a, b = self.order[:-1], self.order[1:]
         room = np.minimum(np.minimum(self.end[a] - a, self.end[b] - b), self.depth)
         out = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(room > 0)
+        live = np.flatnonzero(room >= LEAP)
+        while len(live):  # whole leaps first
+            p, q = a[live] + out[live], b[live] + out[live]
+            live = live[self.sums.hash(p, p + LEAP) == self.sums.hash(q, q + LEAP)]
+            out[live] += LEAP
+            live = live[out[live] + LEAP <= room[live]]
+        live = np.flatnonzero(out < room)
         while len(live):
             x = self.eight[a[live] + out[live]] ^ self.eight[b[live] + out[live]]
             equal = np.where(x == 0, 8, 0)
@@ -163,12 +182,12 @@ class Suffixes:
                 equal[bad] += 1
             out[live] += equal
             live = live[(x == 0) & (out[live] < room[live])]
-        return np.append(0, np.minimum(out, room))
+        return np.append(0, np.minimum(out, room))[: len(self.order)]
 
 
 def repeated(strings: list[bytes], window: int) -> list[np.ndarray]:
     """For each string, which of its windows occur again in any of the strings."""
-    s = Suffixes(strings, window)
+    s = Suffixes(strings, window, np.array([max(0, len(x) - window + 1) for x in strings]))
     common = s.common() >= window
     again = np.zeros(len(s.text), bool)
     again[s.order[common]] = True
