@@ -19,7 +19,7 @@ Documents are sets of word shingles. Those with equal sets form a class, by a 12
 5. Two documents that did not both link to their common center may still link to one another. Whatever they share of
    the center's shingles is known to be too little, so they must also share one outside of it: members are indexed by
    these, the ones that missed the center probe with a prefix of theirs, and pairs of different components are
-   verified. (If the center is so large that it misses a member it covers enough, that member meets all the group.)
+   verified. (With partners so small that what a member shares of the center may be enough, it meets all of them.)
 
 Every pair of documents over the threshold is either found by 4 or 5 or lies within one component by then.
 
@@ -301,26 +301,33 @@ def _meet(pairs: DataFrame, cands: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _outside(num: int, den: int):
-    """Shingles outside the center: every member's to be found by (probe false), and a prefix of them to probe with
-    for those that missed the center. Token 0 stands for a member that must meet the whole group."""
+    """What members are found by (probe false): their shingles outside the center, and their size; and what those that
+    missed the center probe with: a prefix of theirs, for the sizes with which what they share of the center is too
+    little, and the sizes with which it is enough as it stands."""
     schema = pa.schema([("lead", pa.int64()), ("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], []]
+            tokens: list[np.ndarray] = []
             of, probe = [], []
             for i, r in enumerate(batch.select(["n", "own", "shared", "linked", "rest"]).to_pylist()):
-                t = np.frombuffer(r["rest"], np.int64)
-                need = least_shared(r["n"], num, den) - r["shared"]
-                first = (r["n"] - r["shared"]) - need + 1 - r["own"]
-                meets_all = not r["linked"] and need <= 0
-                for tokens, p in ((t, False), (np.zeros(1, np.int64), False), (np.zeros(int(meets_all), np.int64), True), (t[: max(0, first)] if not r["linked"] and need > 0 else t[:0], True)):
-                    cols[0].append(tokens)
-                    of += [i] * len(tokens)
-                    probe += [p] * len(tokens)
+                t, n, shared = np.frombuffer(r["rest"], np.int64), r["n"], r["shared"]
+                parts = [(t, False), (np.array([n]), False)]
+                if not r["linked"]:
+                    # A partner of m shingles must share num / (num + den) of n + m with it.
+                    least, most = least_shared(n, num, den), n * den // num
+                    enough = min(shared * (num + den) // num - n, most)
+                    parts.append((np.arange(least, enough + 1), True))
+                    if enough < most:
+                        need = -(-num * (n + max(least, enough + 1)) // (num + den)) - shared
+                        parts.append((t[: max(0, n - shared - need + 1 - r["own"])], True))
+                for x, p in parts:
+                    tokens.append(x)
+                    of += [i] * len(x)
+                    probe += [p] * len(x)
             base = batch.select(["lead", "b", "n", "component"]).take(pa.array(of, pa.int64()))
-            token = np.concatenate(cols[0]) if cols[0] else np.zeros(0, np.int64)
-            yield pa.record_batch([base.column(0), pa.array(token), base.column(1), base.column(2), base.column(3), pa.array(probe, pa.bool_())], schema=schema)
+            token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            yield pa.record_batch([base.column(0), pa.array(token), *base.columns[1:], pa.array(probe, pa.bool_())], schema=schema)
 
     return run
 
