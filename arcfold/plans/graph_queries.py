@@ -280,15 +280,34 @@ def triangle_count(spark, d):
     return basic.triangles(graph(spark, d).edges)
 
 
-@query(None)
+def _matching_rounds(n: int) -> str:
+    """Unrolled rounds of proposals; rounds after the last match change nothing."""
+    out = ["l0 AS MATERIALIZED (SELECT * FROM u)", "o0 AS MATERIALIZED (SELECT id, id % 3 AS room FROM v)"]
+    for i in range(n):
+        out += [
+            f"a{i} AS MATERIALIZED (SELECT l.*, x.room FROM l{i} l JOIN o{i} x ON x.id = l.src JOIN o{i} y ON y.id = l.dst WHERE x.room > 0 AND y.room > 0)",
+            f"w{i} AS MATERIALIZED (SELECT src, dst, value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst DESC) AS k FROM a{i}) WHERE k <= room)",
+            f"m{i} AS MATERIALIZED (SELECT a.* FROM w{i} a SEMI JOIN w{i} b ON a.src = b.dst AND a.dst = b.src)",
+            f"l{i + 1} AS MATERIALIZED (SELECT a.src, a.dst, a.value FROM a{i} a ANTI JOIN m{i} m ON a.src = m.src AND a.dst = m.dst)",
+            f"o{i + 1} AS MATERIALIZED (SELECT o.id, o.room - coalesce(n, 0) AS room FROM o{i} o LEFT JOIN (SELECT src, count(*) AS n FROM m{i} GROUP BY src) c ON c.src = o.id)",
+        ]
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(n))
+
+
+@query(f"WITH {V}, {E}, {UNDIRECTED}, " + _matching_rounds(24))
 def b_matching(spark, d):
     g = graph(spark, d).undirected().map_vertices(lambda i, v: (i % 3).cast("int"))
     return matching.b_matching(g)
 
 
-@query(None)
+KM = "SELECT cluster, list(m ORDER BY k) AS c FROM (SELECT cluster, k, avg(p[k]) AS m FROM (SELECT a.cluster, x.p, unnest(range(1, 65)) AS k FROM x JOIN (SELECT x.id, arg_min(r.cluster, (list_distance(x.p, r.c), r.cluster)) AS cluster FROM x, {p} r GROUP BY x.id) a ON a.id = x.id) GROUP BY cluster, k) GROUP BY cluster"
+
+
+@query("WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS p FROM embeddings), " + _rounds("SELECT CAST(id AS INTEGER) AS cluster, p AS c FROM x WHERE id < 10", 3, KM) + " SELECT x.id, arg_min(r.cluster, (list_distance(x.p, r.c), r.cluster)) AS cluster FROM x, r3 r GROUP BY x.id")
 def kmeans(spark, d):
-    return clustering.kmeans(datasets.points(spark, d), k=10, iterations=10)[0]
+    p = datasets.points(spark, d)
+    first = [list(r[0]) for r in p.where("id < 10").orderBy("id").select("point").collect()]
+    return clustering.kmeans(p, k=10, iterations=3, centers=first)[0]
 
 
 @query(None)
