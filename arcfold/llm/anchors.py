@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcfold.llm import textkit
+from arcfold.llm import runtime, textkit
 from arcfold.llm.textkit import U64
 
 RUNS = "k1 long, k2 long, start long, count long, anchor long, content long, place long"
@@ -67,9 +67,10 @@ def find_runs(texts: DataFrame, units: Callable[[pa.Array], tuple[textkit.Sums,
 
 
 def shared(runs: DataFrame) -> DataFrame:
-    """Runs whose anchor more than one run has."""
+    """Runs whose anchor more than one run has. The anchors are a table first: only a join of plain shuffles can be
+    split where one anchor has very many runs."""
     often = runs.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return runs.join(often, "anchor")
+    return runs.join(runtime.staged(often, "anchors"), "anchor")
 
 
 def beside_texts(texts: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:

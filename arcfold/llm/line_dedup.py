@@ -291,7 +291,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and n_dropped are added."""
     spark = docs.sparkSession
     docs = runtime.without(docs, "n_lines", "n_dropped")
-    counts = runtime.staged(line_counts(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs), "line-counts")
+    counts = runtime.swept(line_counts(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs), "line-counts")
     shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
     index = line_index(counts, shards)
     fields = [f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields]
@@ -300,8 +300,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if counts.count() * 28 <= broadcast_bytes:
         arrays = spark.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
         return docs.mapInArrow(_probe_local(arrays, shards, id_col, text_col, min_chars, names), schema)
-    index = runtime.staged(index, "line-index")
+    index = runtime.swept(index, "line-index")
     probes = docs.select(id_col, text_col).mapInArrow(_probe_rows(shards, id_col, text_col, min_chars), "shard int, ids binary, nos binary, p1 binary, p2 binary")
     drops = probes.join(index, "shard").drop("shard").mapInArrow(_probe_joined, "row_id long, nos array<long>")
     drops = drops.groupBy("row_id").agg(F.flatten(F.collect_list("nos")).alias("_nos"))
-    return docs.join(drops, F.col(id_col) == F.col("row_id"), "left").drop("row_id").mapInArrow(_cut(text_col, min_chars, names), schema)
+    return docs.join(drops, docs[id_col] == drops["row_id"], "left").drop(drops["row_id"]).mapInArrow(_cut(text_col, min_chars, names), schema)

@@ -1,14 +1,14 @@
-"""Session helpers of the operators: batch sizes, the shared folder, and tables that cut lineage."""
+"""Session helpers of the operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcfold.plans.lineage import forget, partitions, shared_dir, staged, swept
+
+__all__ = ["forget", "partitions", "shared_dir", "staged", "swept", "tune", "without"]
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches that go to Python workers by rows and bytes."""
@@ -17,41 +17,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/arcfold-shared"
-    return f"{path.rstrip('/')}/arcfold-{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as a table in the shared folder and read again. A lost executor then costs
-    no more than the tasks that ran on it, and the files of earlier shuffles can go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._arcfold_path = path
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Removes tables made by staged() that nothing reads any more."""
-    for t in tables:
-        if path := getattr(t, "_arcfold_path", None):
-            jvm, jsc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, in any case: an operator's own columns replace them."""
     drop = {n.lower() for n in names}

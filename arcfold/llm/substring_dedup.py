@@ -12,7 +12,7 @@ documents nor a group of copies is ever gathered, and no pairs of documents are
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, unchanged; a null or empty text has none; a text's kept words come
 back joined by one space; rows that share an id are one document's and never remove from one another; a row with a
 null id neither removes nor loses anything; an empty table gives an empty table; input columns named like the added
-ones are replaced.
+ones are replaced, and k1, k2 and _marks are names of the operator's own: such columns don't come back.
 """
 
 from __future__ import annotations
@@ -86,18 +86,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = runtime.without(docs, "n_words", "n_removed", "removed_spans", "k1", "k2", "_marks")
     keyed = anchors.keyed(docs, id_col, text_col)
     texts = keyed.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select("k1", "k2", F.col(text_col).alias("text"))
-    runs = runtime.staged(anchors.find_runs(texts, words, window, SEED), "runs")
-    runs = runtime.staged(anchors.shared(runs), "shared-runs")
+    every = runtime.staged(anchors.find_runs(texts, words, window, SEED), "runs")
+    runs = runtime.swept(anchors.shared(every), "shared-runs")
+    runtime.forget(every)
     first = runs.groupBy("anchor", "content").agg(F.min("k1").alias("first"))
     several = first.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor", F.lit(True).alias("several"))
-    known = runs.join(first.join(several, "anchor", "left"), ["anchor", "content"])
-    known = runtime.staged(known, "known-runs")
+    kinds = runtime.staged(first.join(several, "anchor", "left"), "kinds")
+    known = runs.join(kinds, ["anchor", "content"])
+    known = runtime.swept(known, "known-runs")
+    runtime.forget(runs)
     whole = known.where("k1 > first").select("k1", "k2", *anchors.stretch(F.col("start"), F.col("count"), window))
     open_runs = known.where("k1 = first and several")
     ext = anchors.beside_texts(texts, open_runs, "anchor").mapInArrow(_extend(window), "k1 long, k2 long, start long, anchor long, content long")
-    ext = runtime.staged(ext, "windows")
+    ext = runtime.swept(ext, "windows")
     least = ext.groupBy("anchor", "content").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first < last").drop("last")
+    least = runtime.staged(least, "least")
     extended = ext.join(least, ["anchor", "content"]).where("k1 > first").select("k1", "k2", *anchors.stretch(F.col("start"), F.lit(1), window))
-    marks = runtime.staged(whole.unionByName(extended), "marks")
+    marks = runtime.swept(whole.unionByName(extended), "marks")
+    runtime.forget(known, ext)
     added = {"n_words": "long", "n_removed": "long", "removed_spans": "array<struct<start:long,end:long>>"}
     return anchors.marked(keyed, marks, text_col, _cut(text_col), added)

@@ -13,7 +13,8 @@ common, so they meet only where they can be equal.
 
 Defined results: texts are UTF-8 bytes; null is empty; matches lie within one text each, equal windows of one text
 count, and so do those of repeated rows; bytes left of a cut character stay as they are, so kept text is binary; a
-null id takes part; an empty table gives an empty table; input columns named like the added ones are replaced.
+null id takes part; an empty table gives an empty table; input columns named like the added ones are replaced, and
+k1, k2 and _marks are names of the operator's own: such columns don't come back.
 """
 
 from __future__ import annotations
@@ -303,10 +304,11 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = runtime.without(docs, "kept", "n_bytes", "n_removed", "removed_spans", "k1", "k2", "_marks")
     keyed = anchors.keyed(docs, id_col, text_col)
     texts = keyed.where(F.col(text_col).isNotNull()).select("k1", "k2", F.col(text_col).alias("text"))
-    runs = runtime.staged(anchors.find_runs(texts, units, window, SEED), "runs")
-    runs = runtime.staged(anchors.shared(runs), "shared-runs")
+    every = runtime.staged(anchors.find_runs(texts, units, window, SEED), "runs")
+    runs = runtime.swept(anchors.shared(every), "shared-runs")
+    runtime.forget(every)
     whole, open_runs = _classify(runs)
-    open_runs = runtime.staged(open_runs, "open-runs")
+    open_runs = runtime.swept(open_runs, "open-runs")
     mark = lambda df: df.select("k1", "k2", *anchors.stretch(F.col("start"), F.col("count"), window))
     marks, cols = mark(whole), ("k1", "k2", "start", "count", "anchor", "again")
     hot = open_runs.where(F.col("kinds") > HOT_RUNS)
@@ -314,12 +316,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not hot.isEmpty():
         # What a kind that occurs again holds is marked as a whole already; here it only lets others match.
         finer = anchors.beside_texts(texts, hot, "anchor", "place").mapInArrow(_split(window), anchors.RUNS)
-        finer = runtime.staged(anchors.shared(runtime.staged(finer, "fine-runs")), "fine-shared-runs")
+        every = runtime.staged(finer, "fine-runs")
+        finer = runtime.swept(anchors.shared(every), "fine-shared-runs")
+        runtime.forget(every)
         more, fine = _classify(finer)
         marks = marks.unionByName(mark(more))
         pieces = pieces.unionByName(fine.select(*cols))
     strings = anchors.beside_texts(texts, pieces, "anchor", "again").mapInArrow(_strings(window), "k1 long, k2 long, start long, anchor long, again boolean, piece binary")
     solved = strings.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_solve(window), "k1 long, k2 long, a long, b long")
-    marks = runtime.staged(marks.unionByName(solved), "marks")
+    marks = runtime.swept(marks.unionByName(solved), "marks")
     added = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "removed_spans": "array<struct<start:long,end:long>>"}
     return anchors.marked(keyed, marks, text_col, _cut(text_col), added)

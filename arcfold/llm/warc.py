@@ -183,7 +183,7 @@ def _write(dictionary: bytes, level: int):
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, min_bytes: int = 100, dict_rows: int = 400, dict_bytes: int = 64 << 10, level: int = 3) -> DataFrame:
     """(name, content): the archives of all pages."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    sample = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(dict_rows).select(F.substring("payload", 1, 20_000).alias("payload"))
+    sample = rows.select("page_id", F.substring("payload", 1, 20_000).alias("payload")).orderBy(F.xxhash64("page_id"), "page_id").limit(dict_rows).select("payload")
     dictionary = train([r[0].encode() for r in sample.collect()], dict_bytes)
     raw = F.col("payload").cast("binary")
     rows = rows.withColumn("digest", F.sha2(raw, 256))
@@ -218,4 +218,4 @@ def read_archives(archives: DataFrame, *, with_payload: bool = True) -> DataFram
 
 def archive_table(pages: DataFrame, **options) -> DataFrame:
     """The archives of all pages, written in the shared folder."""
-    return runtime.staged(write_archives(pages, **options), "archives")
+    return runtime.swept(write_archives(pages, **options), "archives")

@@ -73,5 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents of sf_dir."""
     docs = runtime.tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = runtime.staged(stage(spark, docs, sf_dir), name)
+        docs = runtime.swept(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
