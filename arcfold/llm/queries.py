@@ -141,6 +141,20 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("roles").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Length of a text with its backslashes doubled and its control strings broken by one.
+_ESCAPED = r"(length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '<s>|</s>|\[INST\]|\[/INST\]')))"
+OP8_SQL = r"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l AS (SELECT *, CASE WHEN role = 'assistant' THEN {text} + 4 ELSE {role} + {text} + 16 END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(n) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id
+""".replace("{text}", _ESCAPED.format("text")).replace("{role}", _ESCAPED.format("role"))
+
+
 def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.line_dedup import dedup_lines
 
@@ -157,4 +171,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 """
 
 QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op5_substring_dedup, op6_warc, op7_language, op8_chat, op9_suffix_dedup, op10_dedup_lines)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op10_dedup_lines": OP10_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op10_dedup_lines": OP10_SQL}
