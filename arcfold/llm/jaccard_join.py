@@ -16,10 +16,12 @@ Documents are sets of word shingles. Those with equal sets form a class, by a 12
    central one of all its groups' centers, and exact sizes of intersections decide: near copies become one component
    in linear time. Only where a group still has several components, and members that met different centers, do they
    meet the group's own center too. Two documents of a group thus have the same component or a center in common.
-5. Two documents that did not both link to their common center may still link to one another. Whatever they share of
-   the center's shingles is known to be too little, so they must also share one outside of it: members are indexed by
-   these, the ones that missed the center probe with a prefix of theirs, and pairs of different components are
-   verified. (With partners so small that what a member shares of the center may be enough, it meets all of them.)
+5. Two documents that did not both link to their common center may still link to one another. What most
+   members of a center have is their core. What two documents share is at most what one of them shares of the
+   core, less what the other lacks beyond it, plus what they share outside. So each that missed the center probes for
+   others by shingles outside the core, by shingles of the core that both lack, and by the sizes and lacks that can
+   still link. It first meets the most central document of each such group, and then, in pairs, only documents that
+   are still in different components.
 
 Every pair of documents over the threshold is either found by 4 or 5 or lies within one component by then.
 
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcfold.llm import runtime, textkit
-from arcfold.llm.components import components
+from arcfold.operators.components import components
 from arcfold.llm.textkit import U64
 
 FREQUENT = 64
@@ -269,13 +271,13 @@ def _sign(num: int, den: int):
 
 
 def _verify(num: int, den: int):
-    """Exact intersections: (doc, shared with the center, linked, shingles outside the center in order of rarity)."""
-    names = ("shared", "linked", "rest")
+    """Exact intersections: (doc, shared with the center, linked, shingles outside the center, and those it lacks)."""
+    names = ("shared", "linked", "rest", "lacks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ["lead", "a", "b", "n", "own"]
         for batch in batches:
-            shared, linked, rest = [], [], []
+            shared, linked, rest, lacks = [], [], [], []
             last, mine = None, None
             for ta, tb, na, nb in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "na", "n")), strict=True):
                 if ta is not last:
@@ -287,7 +289,8 @@ def _verify(num: int, den: int):
                 shared.append(o)
                 linked.append(den * o >= num * (na + nb - o))
                 rest.append(t[~both].tobytes())
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.binary())], [*keep, *names])
+                lacks.append(mine[~np.isin(mine, t)].tobytes())
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.binary()), pa.array(lacks, pa.binary())], [*keep, *names])
 
     return run
 
@@ -297,37 +300,70 @@ def _meet(pairs: DataFrame, cands: DataFrame, num: int, den: int) -> DataFrame:
     left = cands.select(F.col("key").alias("lead"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = cands.select("key", F.col("doc_id").alias("b"), "n", "own", F.col("tokens").alias("tb"))
     both = pairs.join(right, "key").join(left, "lead").where("a <> b")
-    return both.select("lead", "a", "b", "n", "own", "na", "ta", "tb").mapInArrow(_verify(num, den), "lead long, a long, b long, n long, own long, shared long, linked boolean, rest binary")
+    return both.select("lead", "a", "b", "n", "own", "na", "ta", "tb").mapInArrow(_verify(num, den), "lead long, a long, b long, n long, own long, shared long, linked boolean, rest binary, lacks binary")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, token, outside) of what members have outside the center, and of what they lack of it."""
+    for batch in batches:
+        for name in ("rest", "lacks"):
+            rest = [np.frombuffer(r, np.int64) for r in batch.column(name).to_pylist()]
+            of = np.repeat(np.arange(len(rest)), [len(r) for r in rest])
+            yield pa.record_batch([batch.column("lead").take(pa.array(of)), pa.array(np.concatenate([np.zeros(0, np.int64), *rest])), pa.array(np.full(len(of), name == "rest"))], ["lead", "token", "outside"])
+
+
+TERMS = "lead long, token long, shared long, beyond long, key long, n long, component long, probe boolean"
 
 
 def _outside(num: int, den: int):
-    """What members are found by (probe false): their shingles outside the center, and their size; and what those that
-    missed the center probe with: a prefix of theirs, for the sizes with which what they share of the center is too
-    little, and the sizes with which it is enough as it stands."""
-    schema = pa.schema([("lead", pa.int64()), ("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_())])
+    """What members are found by (probe false), and what those that missed the center probe with.
+
+    The core is what most members of the center have. A member that shares too little of the core
+    with any partner probes with a prefix of its shingles outside the core. One that shares enough for some partner
+    probes with all of them; and a partner that shares none of them lacks so little of the core beyond what the member
+    lacks that both lack a shingle in common, or that the partner lacks hardly any: it is found by size and lack."""
+    names = ("lead", "token", "shared", "beyond", "key", "n", "component", "probe")
+    salt = U64(0x2545F4914F6CDD1D)
+
+    def lacking(t: np.ndarray) -> np.ndarray:
+        return textkit.mix(t ^ salt).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens: list[np.ndarray] = []
-            of, probe = [], []
-            for i, r in enumerate(batch.select(["n", "own", "shared", "linked", "rest"]).to_pylist()):
-                t, n, shared = np.frombuffer(r["rest"], np.int64), r["n"], r["shared"]
-                parts = [(t, False), (np.array([n]), False)]
+            of, probe, inside, beyond = [], [], [], []
+            for i, r in enumerate(batch.select(["n", "own", "linked", "ta", "extra", "less", "tb"]).to_pylist()):
+                more, less = (np.array(r[c] or [], np.int64).view(np.uint64) for c in ("extra", "less"))
+                core = np.setdiff1d(np.concatenate([np.frombuffer(r["ta"], np.uint64), more]), less)
+                t, n = np.frombuffer(r["tb"], np.uint64), r["n"]
+                outside = t[~np.isin(t, core)].view(np.int64)
+                lacks = lacking(core[~np.isin(core, t)])
+                size, shared = len(core), len(t) - len(outside)
+                least, most = least_shared(n, num, den), n * den // num
+                near = shared >= least  # it may link without a shingle outside the core
+                # (terms, probing, shingles outside the core that count): by other terms than shingles outside, only
+                # pairs that share none outside need be found.
+                parts = [(outside, False, len(outside))]
+                if near:
+                    parts += [(lacks, False, 0), (np.array([n << 20 | len(lacks)]), False, 0)]
                 if not r["linked"]:
-                    # A partner of m shingles must share num / (num + den) of n + m with it.
-                    least, most = least_shared(n, num, den), n * den // num
-                    enough = min(shared * (num + den) // num - n, most)
-                    parts.append((np.arange(least, enough + 1), True))
-                    if enough < most:
-                        need = -(-num * (n + max(least, enough + 1)) // (num + den)) - shared
-                        parts.append((t[: max(0, n - shared - need + 1 - r["own"])], True))
-                for x, p in parts:
+                    m = np.arange(least, most + 1)
+                    must = -(-num * (n + m) // (num + den))  # shared shingles with a partner of m
+                    if len(m) and shared >= must[0]:
+                        low, high = np.maximum(size - m, 0), np.minimum(shared - must, size)
+                        count = np.maximum(high - low + 1, 0)
+                        parts += [(outside, True, len(outside)), (lacks, True, 0), ((np.repeat(m, count) << 20) | textkit.expand(low, count), True, 0)]
+                    elif len(m):
+                        parts.append((outside[: max(0, n - int(must[0]) + 1 - r["own"])], True, len(outside)))
+                for x, p, k in parts:
                     tokens.append(x)
                     of += [i] * len(x)
                     probe += [p] * len(x)
-            base = batch.select(["lead", "b", "n", "component"]).take(pa.array(of, pa.int64()))
+                    inside += [shared] * len(x)
+                    beyond += [k] * len(x)
+            base = batch.select(["lead", "key", "n", "component"]).take(pa.array(of, pa.int64()))
             token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.record_batch([base.column(0), pa.array(token), *base.columns[1:], pa.array(probe, pa.bool_())], schema=schema)
+            yield pa.record_batch([base.column(0), pa.array(token), pa.array(inside, pa.int64()), pa.array(beyond, pa.int64()), *base.columns[1:], pa.array(probe, pa.bool_())], names)
 
     return run
 
@@ -344,7 +380,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, (total // BUCKET).bit_length())
     classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
-    sets = sets.join(classes.where("copies > 1").drop("copies"), ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"))
+    classes = runtime.staged(classes.where("copies > 1").drop("copies"), "large-classes")
+    sets = sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"))
     sets = runtime.staged(sets, "classes")
 
     # One document of each class goes on. Few enough others to broadcast spare the texts a shuffle.
@@ -354,11 +391,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = rows.join(copies, "doc_id", "left_anti").mapInArrow(_pack(size, bits), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = packed.mapInArrow(_count, "batch long, token binary, df binary, local binary, docs binary, sizes binary")
     shared = shared.repartition(parts, "batch").sortWithinPartitions("batch")
-    cands = runtime.staged(shared.mapInArrow(_candidates(num, den), CANDIDATES), "candidates")
+    cands = runtime.swept(shared.mapInArrow(_candidates(num, den), CANDIDATES), "candidates")
 
     sigs = runtime.staged(cands.mapInArrow(_sign(num, den), "sig long, key long"), "signatures")
     leads = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    grouped = runtime.staged(sigs.join(leads, "sig"), "groups")
+    grouped = runtime.swept(sigs.join(leads, "sig"), "groups")
+    runtime.forget(sigs)
     first = runtime.staged(grouped.groupBy("key").agg(F.min("lead").alias("first")), "centers")
     same = sets.where("doc_id <> class").select("doc_id", "class")
 
@@ -384,16 +422,33 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = runtime.staged(links.unionByName(by_class(met2.where("linked").select("a", "b"))), "links")
     found = runtime.staged(components(links), "components")
     met = met.unionByName(met2)
+    # What most members of a center have is their core; it may differ from the center both ways.
+    members = met.groupBy("lead").agg(F.count("*").alias("members"))
+    differs = met.select("lead", "rest", "lacks").mapInArrow(_tokens, "lead long, token long, outside boolean").groupBy("lead", "token", "outside").agg(F.count("*").alias("c"))
+    differs = differs.join(members, "lead").where("2 * c > members")
+    extra = differs.groupBy("lead").agg(F.collect_list(F.when(F.col("outside"), F.col("token"))).alias("extra"), F.collect_list(F.when(~F.col("outside"), F.col("token"))).alias("less"))
+    keys = cands.select("key", F.col("doc_id").alias("b"))
+
+    def component_of() -> DataFrame:
+        return with_component(keys, "b").select("key", "component")
+
     # The center needs no row of its own: its pairs with the members are verified.
-    member = with_component(met, "b")
-    terms = runtime.staged(member.select("lead", "b", "n", "own", "shared", "linked", "rest", "component").mapInArrow(_outside(num, den), "lead long, token long, doc long, n long, component long, probe boolean"), "outside")
+    member = met.select("lead", "b", "n", "own", "linked").join(keys, "b").join(component_of(), "key").join(extra, "lead", "left")
+    member = member.join(cands.select(F.col("key").alias("lead"), F.col("tokens").alias("ta")), "lead").join(cands.select("key", F.col("tokens").alias("tb")), "key")
+    terms = member.select("lead", "key", "n", "own", "linked", "component", "ta", "extra", "less", "tb").mapInArrow(_outside(num, den), TERMS)
+    terms = runtime.staged(terms, "terms")
+    # Those that probe meet the most central one that they find by each term, and only what is then apart meets in pairs.
+    mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p"), F.min("key").alias("center")).where("c1 <> c2 and p")
+    again = terms.where("probe").join(runtime.staged(mixed, "mixed"), ["lead", "token"]).where("center <> key").select(F.col("center").alias("lead"), "key").distinct()
+    links = runtime.staged(links.unionByName(by_class(_meet(again, cands, num, den).where("linked").select("a", "b"))), "links")
+    found = runtime.staged(components(links), "components")
+    terms = terms.drop("component").join(component_of(), "key")
     mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p")).where("c1 <> c2 and p").select("lead", "token")
-    terms = terms.join(mixed, ["lead", "token"])
-    near = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+    terms = terms.join(runtime.staged(mixed, "mixed"), ["lead", "token"])
+    # What two documents can share at most: of the core, and outside of it.
+    near = (F.least("x.shared", "y.shared") + F.least("x.beyond", "y.beyond")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
     pairs = terms.where("probe").alias("x").join(terms.where("not probe").alias("y"), (F.col("x.lead") == F.col("y.lead")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    keys = cands.select("key", "doc_id")
-    pairs = pairs.join(keys.toDF("lead", "a"), "a").join(keys.toDF("key", "b"), "b").select("lead", "key")
+    pairs = pairs.select(F.col("x.key").alias("lead"), F.col("y.key").alias("key")).distinct()
     more = by_class(_meet(pairs, cands, num, den).where("linked").select("a", "b"))
     found = runtime.staged(components(links.unionByName(more)), "components")
     out = sets.join(found.withColumnRenamed("id", "class"), "class", "left")
@@ -403,4 +458,4 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that link, directly or not, to one with a smaller id. Rows that repeat the kept id stay."""
     gone = similar_sets(docs, id_col, text_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

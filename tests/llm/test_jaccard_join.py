@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from arcfold.llm import components, jaccard_join
+from arcfold.llm import jaccard_join
+from arcfold.operators import components
 from tests.llm.brute import near_groups
 
 
