@@ -419,8 +419,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread = spread.where("lo_first <> hi_first and lo_component <> hi_component").select("sig")
     other = grouped.join(spread, "sig").where("lead <> key").select("lead", "key").distinct().join(stars, ["lead", "key"], "left_anti")
     met2 = runtime.staged(_meet(other, cands, num, den), "met")
-    links = runtime.staged(links.unionByName(by_class(met2.where("linked").select("a", "b"))), "links")
-    found = runtime.staged(components(links), "components")
+    found = _joined(found, by_class(met2.where("linked").select("a", "b")))
     met = met.unionByName(met2)
     # What most members of a center have is their core; it may differ from the center both ways.
     members = met.groupBy("lead").agg(F.count("*").alias("members"))
@@ -440,8 +439,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Those that probe meet the most central one that they find by each term, and only what is then apart meets in pairs.
     mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p"), F.min("key").alias("center")).where("c1 <> c2 and p")
     again = terms.where("probe").join(runtime.staged(mixed, "mixed"), ["lead", "token"]).where("center <> key").select(F.col("center").alias("lead"), "key").distinct()
-    links = runtime.staged(links.unionByName(by_class(_meet(again, cands, num, den).where("linked").select("a", "b"))), "links")
-    found = runtime.staged(components(links), "components")
+    found = _joined(found, by_class(_meet(again, cands, num, den).where("linked").select("a", "b")))
     terms = terms.drop("component").join(component_of(), "key")
     mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p")).where("c1 <> c2 and p").select("lead", "token")
     terms = terms.join(runtime.staged(mixed, "mixed"), ["lead", "token"])
@@ -449,12 +447,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = (F.least("x.shared", "y.shared") + F.least("x.beyond", "y.beyond")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
     pairs = terms.where("probe").alias("x").join(terms.where("not probe").alias("y"), (F.col("x.lead") == F.col("y.lead")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & near)
     pairs = pairs.select(F.col("x.key").alias("lead"), F.col("y.key").alias("key")).distinct()
-    more = by_class(_meet(pairs, cands, num, den).where("linked").select("a", "b"))
-    found = runtime.staged(components(links.unionByName(more)), "components")
+    found = _joined(found, by_class(_meet(pairs, cands, num, den).where("linked").select("a", "b")))
     out = sets.join(found.withColumnRenamed("id", "class"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class")).alias("component_id"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of the ids of found and of links, whose components the links join. Only links between
+    different components go through the rounds."""
+    a, b = (found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("a", "b"))
+    new = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
+    new = runtime.staged(new, "new-links")
+    if new.isEmpty():
+        return found
+    moved = runtime.staged(components(new).withColumnRenamed("component", "to"), "moved")
+    old = found.join(moved.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    lone = moved.join(found.select("id"), "id", "left_anti").select("id", F.col("to").alias("component"))
+    return runtime.staged(old.unionByName(lone), "components")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that link, directly or not, to one with a smaller id. Rows that repeat the kept id stay."""
     gone = similar_sets(docs, id_col, text_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
