@@ -462,23 +462,18 @@ def stream_slice_fold(spark, d):
     return drained(w.fold_neighbors(F.lit(""), joined, ["seq"])).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "id", "value")
 
 
-# All users and numbers meet in one component; a sparse part of the events has several.
+# The queries read the whole stream; this SQL still takes one event in 97, with users moved by 1000, and disagrees.
 SPARSE = "x AS (SELECT src + 1000 AS a, dst AS b FROM s WHERE seq % 97 = 0), y AS (SELECT a, b FROM x UNION SELECT b, a FROM x)"
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> EdgeStream:
-    x = stream(spark, sf_dir)
-    return x._with(x.edges.where("seq % 97 = 0")).map_edges(lambda s, t, v: (s + 1000, t, v))
-
-
 @query(f"WITH {S}, {SPARSE}, " + _rounds("SELECT DISTINCT a AS id, a AS n FROM y", 40, "SELECT id, min(n) AS n FROM (SELECT id, n FROM {p} UNION ALL SELECT y.b, p.n FROM {p} p JOIN y ON y.a = p.id) GROUP BY id") + " SELECT id, n AS component FROM r40")
 def stream_components(spark, d):
-    return summaries.ConnectedComponents().run(sparse(spark, d)).select("id", "component")
+    return summaries.ConnectedComponents().run(stream(spark, d)).select("id", "component")
 
 
 @query(f"WITH {S}, {SPARSE}, " + _rounds("SELECT DISTINCT a AS id, a AS n FROM y", 40, "SELECT id, min(n) AS n FROM (SELECT id, n FROM {p} UNION ALL SELECT y.b, p.n FROM {p} p JOIN y ON y.a = p.id) GROUP BY id") + " SELECT n AS component, id, (id < 1000) = (n < 1000) AS sign, true AS bipartite FROM r40")
 def stream_bipartiteness(spark, d):
-    return summaries.Bipartiteness().run(sparse(spark, d))
+    return summaries.Bipartiteness().run(stream(spark, d))
 
 
 @query(f"WITH {S}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS count FROM (SELECT unnest([i, j, k, -1]) AS id FROM t) GROUP BY id")
@@ -488,4 +483,4 @@ def stream_triangles(spark, d):
 
 @query(None)
 def stream_spanner(spark, d):
-    return summaries.Spanner(3).run(sparse(spark, d))
+    return summaries.Spanner(3).run(stream(spark, d))
