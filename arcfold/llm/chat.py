@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from os.path import commonprefix
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +29,6 @@ Turn = tuple[str, str]
 #: Fixed values of the template: its control strings.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 PROBES = ("\ue000", "\ue001")
-#: Turns whose prefixes are rendered together, and turns before them that are rendered along.
-BLOCK = 16
-CONTEXT = 4
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 
 
@@ -44,9 +41,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+@lru_cache(1024)
+def _piece(role: str, text: str) -> str:
+    """A turn of render(); every prefix renders its turns again."""
+    return f"{escape(text)}</s>" if role == "assistant" else f"[INST] {escape(role)}\n{escape(text)} [/INST]"
+
+
 def render(turns: list[Turn]) -> str:
     """<s>[INST] role, line feed, text [/INST] for asking turns, text</s> for the assistant's."""
-    return "<s>" + "".join(f"{escape(t)}</s>" if r == "assistant" else f"[INST] {escape(r)}\n{escape(t)} [/INST]" for r, t in turns)
+    return "<s>" + "".join([_piece(r, t) for r, t in turns])
 
 
 def read_turn(span: str) -> Turn:
@@ -59,19 +62,31 @@ def read_turn(span: str) -> Turn:
     return "assistant", unescape(span[:-4])
 
 
-def _prefixes(turns: list[Turn], template: Callable[[list[Turn]], str], skip: int = 0) -> dict:
-    """locate() by rendering every prefix; of the first `skip` turns together."""
-    out = template(turns[:skip])
+def _common(a: str, b: str) -> int:
+    """Length of what both begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _prefixes(turns: list[Turn], template: Callable[[list[Turn]], str]) -> dict:
+    """locate() by rendering every prefix whole."""
+    out = template([])
     spans, texts, rewritten = [], [], False
-    for i in range(skip, len(turns)):
+    for i in range(len(turns)):
         new = template(turns[: i + 1])
-        common = len(out) if new.startswith(out) else len(commonprefix([out, new]))
+        common = len(out) if new.startswith(out) else _common(out, new)
         if common < len(out):
             rewritten = True
             spans = [s if s and s[1] <= common else None for s in spans]
         spans.append((common, len(new)))
         a, b = (template([*turns[:i], (turns[i][0], p)]) for p in PROBES)
-        head = len(commonprefix([a, b]))
+        head = _common(a, b)
         tail = len(a) - head - 1
         texts.append((head, len(new) - tail) if a[head:][:1] == PROBES[0] and head >= common else None)
         out = new
@@ -81,30 +96,8 @@ def _prefixes(turns: list[Turn], template: Callable[[list[Turn]], str], skip: in
 def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render) -> dict:
     """The formatted text, each turn's span and text span in it (code points), and whether history was rewritten.
 
-    A conversation of over BLOCK turns is rendered in blocks of successive prefixes behind CONTEXT turns, and what
-    the turns add is held against whole prefixes of twice the length each, up to the whole conversation. Where these
-    differ, the template looks further back, and every prefix is rendered whole."""
-    if len(turns) <= BLOCK:
-        return _prefixes(turns, template)
-    added, spans, texts, at = [template([])], [], [], len(template([]))
-    due = BLOCK
-    for j in range(0, len(turns), BLOCK):
-        skip = min(j, CONTEXT)
-        local = _prefixes(turns[j - skip : j + BLOCK], template, skip)
-        if local["rewritten"]:
-            return _prefixes(turns, template)
-        shift = at - local["spans"][0][0]
-        spans += [(a + shift, b + shift) for a, b in local["spans"]]
-        texts += [t and (t[0] + shift, t[1] + shift) for t in local["texts"]]
-        added.append(local["formatted"][local["spans"][0][0] :])
-        at = spans[-1][1]
-        done = min(j + BLOCK, len(turns))
-        if done >= due or done == len(turns):
-            due = 2 * done
-            if (whole := template(turns[:done])) != (so_far := "".join(added)):
-                return _prefixes(turns, template)
-            added = [so_far]
-    return {"formatted": whole, "spans": spans, "texts": texts, "rewritten": False}
+    Every prefix is rendered whole and held against the one before it, however long the conversation is."""
+    return _prefixes(turns, template)
 
 
 SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("turn_spans", pa.list_(pa.list_(pa.int64()))), ("loss_spans", pa.list_(pa.list_(pa.int64()))), ("loss_text", pa.string()), ("rewrites_history", pa.bool_())])

@@ -121,6 +121,15 @@ def test_long_conversations_equal_whole_prefixes():
     assert not chat.locate(turns, counts)["rewritten"] and chat.locate(turns, totals)["rewritten"]
 
 
+def test_rewriting_at_any_prefix_is_seen():
+    # Turns older than 30 go whenever the last one is a user's; prefixes of even length never show it.
+    drops = lambda turns: "".join(f"<{r}>{t}" for r, t in (turns[-30:] if turns and turns[-1][0] == "user" else turns))
+    turns = [("assistant" if i % 2 else "user", f"text {i}") for i in range(64)]
+    assert not chat.locate(turns[:30], drops)["rewritten"]
+    assert chat.locate(turns, drops)["rewritten"]
+    assert chat.format_turns(1, turns, drops)["rewrites_history"]
+
+
 def test_chat_query(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     convs = {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
