@@ -242,13 +242,14 @@ def _probe_local(shards_bc, shards: int, id_col: str, text_col: str, min_chars:
 
 
 def _probe_rows(shards: int, id_col: str, text_col: str, min_chars: int):
-    """Packed probes: a row per batch and shard."""
-    schema = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("ids", "nos", "p1", "p2"))])
+    """Packed probes: a row per batch and shard. A row of docs is known by its id and the hash of its text, _key."""
+    schema = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "nos", "p1", "p2"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches, text_col, 4 * textkit.CHUNK):
             x = lines(batch, text_col, min_chars)
             ids, known = _ids(batch, id_col)
+            keys = batch.column("_key").to_numpy(zero_copy_only=False)
             row = x["row"][x["long"]]
             no = x["long"] - np.searchsorted(x["row"], row)
             shard = _shard_of(x["h1"], shards)
@@ -256,21 +257,22 @@ def _probe_rows(shards: int, id_col: str, text_col: str, min_chars: int):
             order = order[known[row[order]]]
             cut = textkit.runs(shard[order])
             rows = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array([int(shard[r[0]]) for r in rows], pa.int32()), *(pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in (ids[row], no.astype(np.int64), x["h1"], x["h2"]))], schema=schema)
+            yield pa.record_batch([pa.array([int(shard[r[0]]) for r in rows], pa.int32()), *(pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in (ids[row], keys[row], no.astype(np.int64), x["h1"], x["h2"]))], schema=schema)
 
     return run
 
 
 def _probe_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row id, numbers of its dropped lines) from packed probes beside their shard's arrays."""
-    schema = pa.schema([("row_id", pa.int64()), ("nos", pa.list_(pa.int64()))])
+    """(row id, key of its text, numbers of its dropped lines) from packed probes beside their shard's arrays."""
+    schema = pa.schema([("row_id", pa.int64()), ("row_key", pa.int64()), ("nos", pa.list_(pa.int64()))])
     for batch in batches:
         for r in batch.to_pylist():
-            ids, nos = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["nos"], np.int64)
+            ids, keys, nos = (np.frombuffer(r[n], np.int64) for n in ("ids", "keys", "nos"))
             hit, top = Shard(r).probe(np.frombuffer(r["p1"], np.uint64), np.frombuffer(r["p2"], np.uint64))
             at = np.flatnonzero(hit)[top != ids[hit]]
-            cut = textkit.runs(ids[at])
-            yield pa.record_batch([pa.array(ids[at[cut[:-1]]] if len(at) else [], pa.int64()), pa.array([nos[at[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))], schema=schema)
+            cut = np.union1d(textkit.runs(ids[at]), textkit.runs(keys[at]))
+            first = at[cut[:-1]]
+            yield pa.record_batch([pa.array(ids[first]), pa.array(keys[first]), pa.array([nos[at[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))], schema=schema)
 
 
 def _cut(text_col: str, min_chars: int, names: list[str]):
@@ -301,7 +303,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         arrays = spark.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
         return docs.mapInArrow(_probe_local(arrays, shards, id_col, text_col, min_chars, names), schema)
     index = runtime.swept(index, "line-index")
-    probes = docs.select(id_col, text_col).mapInArrow(_probe_rows(shards, id_col, text_col, min_chars), "shard int, ids binary, nos binary, p1 binary, p2 binary")
-    drops = probes.join(index, "shard").drop("shard").mapInArrow(_probe_joined, "row_id long, nos array<long>")
-    drops = drops.groupBy("row_id").agg(F.flatten(F.collect_list("nos")).alias("_nos"))
-    return docs.join(drops, docs[id_col] == drops["row_id"], "left").drop(drops["row_id"]).mapInArrow(_cut(text_col, min_chars, names), schema)
+    probes = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_key")).mapInArrow(_probe_rows(shards, id_col, text_col, min_chars), "shard int, ids binary, keys binary, nos binary, p1 binary, p2 binary")
+    drops = probes.join(index, "shard").drop("shard").mapInArrow(_probe_joined, "row_id long, row_key long, nos array<long>")
+    drops = drops.groupBy("row_id", "row_key").agg(F.flatten(F.collect_list("nos")).alias("_nos"))
+    same = (docs[id_col] == drops["row_id"]) & (F.xxhash64(docs[text_col]) == drops["row_key"])
+    return docs.join(drops, same, "left").drop(drops["row_id"], drops["row_key"]).mapInArrow(_cut(text_col, min_chars, names), schema)

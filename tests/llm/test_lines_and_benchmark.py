@@ -31,6 +31,18 @@ def test_lines_against_brute_force(spark):
         assert got == brute.line_dedup(dict(zip(ids, texts, strict=True)))
 
 
+def test_lines_of_repeated_ids_with_different_texts(spark):
+    often, own = "k" * 40, [f"own {i} " + "x" * 50 for i in range(4)]
+    # The rows of id 3 have the frequent line at different places, and two of them not at all.
+    rows = [(3, f"{often}\n{own[0]}"), (3, f"{own[1]}\n{often}"), (3, f"{own[2]}\n{own[3]}\n{often}"), (3, own[0]), (3, None)]
+    rows += [(i, often) for i in range(4, 9)] + [(8, often), (None, often)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([("3", own[0], 2, 1), ("3", own[1], 2, 1), ("3", f"{own[2]}\n{own[3]}", 3, 1), ("3", own[0], 1, 0), ("3", "", 1, 0), *((str(i), "", 1, 1) for i in range(4, 8)), *[("8", often, 1, 0)] * 2, ("None", often, 1, 0)])
+    for limit in (32 << 20, 0):
+        got = line_dedup.dedup_lines(df, broadcast_bytes=limit).collect()
+        assert sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in got) == want
+
+
 def test_lines_odd_rows(spark):
     line = "k" * 40
     df = spark.createDataFrame([(i, line, i) for i in range(5)] + [(4, line, 0), (None, line, 0)], "doc_id long, text string, N_lines long")
