@@ -94,3 +94,23 @@ def test_semi_clustering_takes_every_order(spark, tmp_path):
     assert got == want
     few = best_clusters(edges, 15, iterations=4)
     assert want != few
+
+
+def test_sybilrank_takes_the_steps_of_its_vertices(spark, tmp_path):
+    n, edges = 1003, [(i, i + 1, 100.0 + i) for i in range(12)] + [(50, 60, 10.0), (60, 61, 30.0), (61, 62, 20.0), (62, 63, 5.0), (63, 64, 5.0)]
+    near = {}
+    for a, b, v in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = v
+    trusted = [i for i in range(n) if i % 50 == 0]
+    trust = dict.fromkeys(trusted, n / len(trusted))
+    for _ in range(4):  # ceil(log10(1003))
+        new = {}
+        for a, r in trust.items():
+            for b, v in near.get(a, {}).items():
+                new[b] = new.get(b, 0.0) + r * v / sum(near[a].values())
+        trust = new
+    want = {i: trust.get(i, 0.0) / sum(near[i].values()) * 1000 if i in near else None for i in range(n)}
+    assert want[63] > 0 and want[64] == 0  # the fourth step reaches 63
+    got = {r["id"]: (r["rank"], r["trusted"]) for r in orders(spark, tmp_path, n, edges)("sybilrank").collect()}
+    assert {i: r[0] for i, r in got.items()} == {i: w if w is None else pytest.approx(w, abs=1e-5) for i, w in want.items()}
+    assert {i for i, r in got.items() if r[1]} == set(trusted)
