@@ -5,34 +5,36 @@ Documents are sets of word shingles. Those with equal sets form a class, by a 12
 1. Shingles travel packed, by hash bucket, to where their document frequency is counted; those that one document
    alone has stay behind. A shingle that is frequent within a task is pre-aggregated there. Frequencies count up to
    `FREQUENT`, so all others are equally frequent, and hash order decides between them.
-2. A document orders its shingles by rarity. Two documents that link share a shingle within their prefixes; one with
-   more shingles of its own than its prefix holds has no partner and is gone, which takes most documents.
+2. A document orders its shingles by rarity. How many it must share with a partner depends on the partner's size, so
+   it is indexed once for each band of sizes (a factor of `BAND` apart) that a partner may have. Its prefix for a band
+   holds as many shingles as such a partner may lack, plus one; shingles of its own count as lacking. A document with
+   more of these than a band allows is not indexed there, which takes most documents.
 3. Shingles of at most `RARE` documents are a class of single tokens; frequent ones fall into hash classes of pairs,
    and prefixes extend by what a pair costs: a prefix ends when its single tokens, and the tokens of each pair class
    but one, are as many as the shingles a partner may lack, plus one. So documents that link share a single token or
-   a pair of one class. The classes are as many as the size of the two documents asks for, in bands a factor of
-   1 / threshold apart; every document is indexed for its own band and the next.
+   a pair of one class.
 4. The center of a signature's group is the member with the fewest shingles of its own. A document meets the most
    central one of all its groups' centers, and exact sizes of intersections decide: near copies become one component
    in linear time. Only where a group still has several components, and members that met different centers, do they
    meet the group's own center too. Two documents of a group thus have the same component or a center in common.
-5. Two documents that did not both link to their common center may still link to one another. What most
-   members of a center have is their core. What two documents share is at most what one of them shares of the
-   core, less what the other lacks beyond it, plus what they share outside. So each that missed the center probes for
-   others by shingles outside the core, by shingles of the core that both lack, and by the sizes and lacks that can
-   still link. It first meets the most central document of each such group, and then, in pairs, only documents that
-   are still in different components.
+5. Two documents that did not both link to their common center may still link to one another. Beside a center a
+   document is its difference from it: the shingles it has beyond it, and those it lacks of it. What two documents
+   share follows from what their differences share, and so does how much that must be (see `signatures`): differences
+   are joined just as sets are, by the same prefixes and bands, with their own star first. Only documents that are
+   still in different components meet in pairs then.
 
 Every pair of documents over the threshold is either found by 4 or 5 or lies within one component by then.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a text of fewer words than a shingle is one
 shingle; null texts and texts without words have no shingles and link with nothing; repeated rows are equal
-documents; a null id belongs to no component (null) but its shingles count; an empty table gives an empty table.
+documents; rows that share an id are one document with several sets, which links wherever one of them does; a null id
+belongs to no component (null) but its shingles count; ids are integers (others are cast, and what can't be raises);
+an empty table gives an empty table; other columns of the input, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,12 @@ from arcfold.llm.textkit import U64
 
 FREQUENT = 64
 RARE = 4
-#: Shingles a task packs at once, and shingles of a bucket on average.
+#: Sizes of partners are told apart by bands this factor wide.
+BAND = 1.05
+#: Shingles a task packs at once, documents it packs at once (their numbers have 16 bits), and shingles of a bucket
+#: on average.
 FLUSH = 2_000_000
+MOST_DOCS = 50_000
 BUCKET = 131_072
 #: Ids of copies that are broadcast at most: 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -94,6 +100,12 @@ def _sets(size: int):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 PACKED = "bucket long, batch long, lo binary, hi binary, local binary, docs binary, sizes binary"
 
 
@@ -132,14 +144,14 @@ def _pack(size: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no, held, docs, tokens = TaskContext.get().partitionId(), 0, [], 0, 0
-        for batch in textkit.chunks(batches, "text"):
+        for batch in _pieces(textkit.chunks(batches, "text"), MOST_DOCS // 5):
             doc, h, n = shingles(batch.column("text"), size)
             new = (n > 0) & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             keep = new[doc]
             place = np.cumsum(new) - 1 + docs
             held.append((h[keep], place[doc[keep]], batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[new], n[new].astype(np.int32)))
             docs, tokens = docs + int(new.sum()), tokens + int(keep.sum())
-            if tokens >= FLUSH or docs > 50_000:
+            if tokens >= FLUSH or docs >= MOST_DOCS:
                 yield from flush(part << 24 | no, held)
                 no, held, docs, tokens = no + 1, [], 0, 0
         if docs:
@@ -189,7 +201,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(out, schema)
 
 
-CANDIDATES = "key long, doc_id long, n long, own long, tokens binary, df binary"
+CANDIDATES = "key long, doc_id long, n long, own long, rare long, tokens binary"
 
 
 def least_shared(n, num: int, den: int):
@@ -198,13 +210,16 @@ def least_shared(n, num: int, den: int):
 
 
 def _candidates(num: int, den: int):
-    """Documents that may have a partner, with their shared shingles in order of rarity. Reads rows in batch order."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary())])
+    """Documents that may have a partner, with their shared shingles in order of rarity and how many of these are
+    rare. Reads rows in batch order."""
+    names = ("key", "doc_id", "n", "own", "rare", "tokens")
+    schema = pa.schema([(c, pa.binary() if c == "tokens" else pa.int64()) for c in names])
 
     def close(rows: list[dict]) -> pa.RecordBatch:
         head = next(r for r in rows if r["docs"] is not None)
         docs, n = np.frombuffer(head["docs"], np.int64), np.frombuffer(head["sizes"], np.int32).astype(np.int64)
-        token, df, local = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("token", np.uint64), ("df", np.uint8), ("local", np.uint16)))
+        columns = (("token", np.uint64), ("df", np.uint8), ("local", np.uint16))
+        token, df, local = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in columns)
         own = n - np.bincount(local, minlength=len(docs))
         some = own < n - least_shared(n, num, den) + 1
         keep = some[local]
@@ -212,11 +227,13 @@ def _candidates(num: int, den: int):
         order = np.lexsort((token, df, local))
         token, df, local = token[order], df[order], local[order]
         at = np.flatnonzero(some)
+        rare = np.bincount(local[df <= RARE], minlength=len(docs))
         cut = np.searchsorted(local, np.append(at, len(docs)))
         cut[-1] = len(local)
         rank = np.minimum(own * 1023 // np.maximum(n, 1), 1023)
         key = (rank << 53) | (textkit.mix(docs.view(np.uint64)) >> U64(11)).astype(np.int64)
-        return pa.record_batch([pa.array(x[at]) for x in (key, docs, n, own)] + [textkit.binary_rows(token, cut * 8), textkit.binary_rows(df, cut)], schema=schema)
+        tokens = textkit.binary_rows(token, cut * 8)
+        return pa.record_batch([*(pa.array(x[at]) for x in (key, docs, n, own, rare)), tokens], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -233,137 +250,194 @@ def _candidates(num: int, den: int):
     return run
 
 
-def signatures(n: int, own: int, token: np.ndarray, df: np.ndarray, num: int, den: int) -> np.ndarray:
-    """What a document is indexed by: single tokens and pairs of its prefix, for its band and the next."""
-    out = []
-    lack = n - least_shared(n, num, den) + 1
-    band, bound = 0, 1.0
-    while np.ceil(bound * den / num) <= n:
-        band, bound = band + 1, bound * den / num
-    for b in (band, band + 1):
-        classes = max(1, round((den - num) / den * (den / num) ** b / 3))
-        kind = np.where(df <= RARE, -1, (textkit.mix(token ^ U64(0x5851F42D4C957F2D)) % U64(classes)).astype(np.int64))
-        gain = np.ones(len(token), np.int64)
+def _edges() -> np.ndarray:
+    """Where bands of weights begin: the whole numbers first, then a factor of BAND apart."""
+    out = [0, 1]
+    while out[-1] < 1 << 56:
+        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+    return np.array(out)
+
+
+EDGES = _edges()
+
+
+def _band(weight: int) -> int:
+    return int(np.searchsorted(EDGES, weight, "right")) - 1
+
+
+def signatures(
+    weight: int,
+    gap: int,
+    low: int,
+    tokens: np.ndarray,
+    rare: int,
+    num: int,
+    den: int,
+    *,
+    unit: float,
+    salt: int = 0,
+    bands: Iterable[int] | None = None,
+) -> np.ndarray:
+    """What a difference is indexed by: single tokens and pairs of its prefix, for each band of partners' weights.
+
+    A difference from a core of c shingles that lacks l of them and has o others weighs den * l + num * o, and its
+    gap is (den - num) * c. What x and y share of their sets is c - l(x) - l(y) and what their differences share, so
+    they link if and only if their differences share at least (weight(x) + weight(y) - gap) / (num + den) tokens. A
+    set is its difference from the empty core. `tokens` are those that other documents have too, in one order for
+    all, the first `rare` of them rare; `low` is the least weight of the partners that are asked for, if they may
+    be lighter otherwise, `bands` are those in which there are any, if that is known, and `unit` is what a token
+    weighs on average."""
+    total, d, out = num + den, len(tokens), [np.zeros(0, np.uint64)]
+    # A partner has as many tokens as they share, each of which weighs num at least.
+    low = max(low, -(-num * (weight - gap) // den), 0)
+    high = total * d + gap - weight
+    if not d or high < low:
+        return out[0]
+    mine = _band(weight)
+    hashes = textkit.mix(tokens ^ U64(0x5851F42D4C957F2D))
+    first, last = _band(low), _band(high)
+    for band in range(first, last + 1) if bands is None else sorted(b for b in bands if first <= b <= last):
+        need = max(1, -(-(weight + max(int(EDGES[band]), low) - gap) // total))
+        if need > d:
+            break
+        a, b = min(mine, band), max(mine, band)
+        both = int(EDGES[a] + EDGES[b])
+        sure = max(1, -(-(both - gap) // total))  # what both of a pair know that they share
+        classes = min(round((both / (2 * unit) - (both - gap) / total) / 3), sure - 1)
+        mark = U64(((a << 32 | b) * 0x9E3779B97F4A7C15 + salt) % (1 << 64))
+        if classes < 1:
+            out.append(textkit.mix(tokens[: d - need + 1] ^ mark))
+            continue
+        kind = (hashes % U64(classes)).astype(np.int64)
+        kind[:rare] = -1
+        gain = np.ones(d, np.int64)
         gain[np.unique(kind, return_index=True)[1]] = 0
         gain[kind < 0] = 1
-        stop = int(np.searchsorted(own + np.cumsum(gain), lack)) + 1
-        t, k = token[:stop], kind[:stop]
-        salt = U64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        out.append(textkit.mix(t[k < 0] ^ salt))
-        order = np.argsort(k, kind="stable")
-        cut = textkit.runs(k[order])
-        for a, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if k[order[a]] >= 0 and e - a > 1:
-                own_t = np.sort(t[order[a:e]])
-                i, j = np.triu_indices(e - a, 1)
-                out.append(textkit.mix(textkit.mix(own_t[i] ^ salt) + own_t[j]))
-    return np.unique(np.concatenate(out))
+        stop = int(np.searchsorted(np.cumsum(gain), d - need + 1)) + 1
+        t, kind = tokens[:stop], kind[:stop]
+        out.append(textkit.mix(t[kind < 0] ^ mark))
+        order = np.lexsort((t, kind))
+        order = order[kind[order] >= 0]
+        t, cut = t[order], textkit.runs(kind[order])
+        at = np.arange(len(t))
+        left = np.repeat(cut[1:], np.diff(cut)) - 1 - at
+        out.append(textkit.mix(textkit.mix(np.repeat(t, left) ^ mark) + t[textkit.expand(at + 1, left)]))
+    return np.concatenate(out)
 
 
 def _sign(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, n, own, tokens, df in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "own", "tokens", "df")), strict=True):
-                sig = signatures(n, own, np.frombuffer(tokens, np.uint64), np.frombuffer(df, np.uint8), num, den)
-                yield pa.record_batch([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), key))], ["sig", "key"])
+            columns = [batch.column(c).to_pylist() for c in ("key", "n", "rare", "tokens")]
+            keys, sigs = [], [np.zeros(0, np.uint64)]
+            for key, n, rare, tokens in zip(*columns, strict=True):
+                sigs.append(signatures(num * n, 0, 0, np.frombuffer(tokens, np.uint64), rare, num, den, unit=num))
+                keys.append(np.full(len(sigs[-1]), key))
+                if sum(map(len, keys)) > 100_000:
+                    yield _pairs_of(sigs, keys)
+                    keys, sigs = [], [np.zeros(0, np.uint64)]
+            yield _pairs_of(sigs, keys)
+
+    def _pairs_of(sigs: list, keys: list) -> pa.RecordBatch:
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        return pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(key)], ["sig", "key"])
 
     return run
 
 
+MET = (
+    "lead long, key long, a long, b long, weight long, band long, gap long, central long, linked boolean, rare long, "
+    "tokens binary"
+)
+
+
 def _verify(num: int, den: int):
-    """Exact intersections: (doc, shared with the center, linked, shingles outside the center, and those it lacks)."""
-    names = ("shared", "linked", "rest", "lacks")
+    """Exact differences of documents from their centers: the core is what the center has that others have too, and
+    `central` is the weight of the center's own shingles, its difference from that core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = ["lead", "a", "b", "n", "own"]
         for batch in batches:
-            shared, linked, rest, lacks = [], [], [], []
-            last, mine = None, None
-            for ta, tb, na, nb in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "na", "n")), strict=True):
+            out: list[tuple] = []
+            last, core = None, np.zeros(0, np.uint64)
+            columns = (batch.column(c).to_pylist() for c in ("ta", "tb", "own_a", "n", "rare"))
+            for ta, tb, own, n, rare in zip(*columns, strict=True):
                 if ta is not last:
-                    last, mine = ta, np.sort(np.frombuffer(ta, np.uint64))
+                    last, core = ta, np.sort(np.frombuffer(ta, np.uint64))
                 t = np.frombuffer(tb, np.uint64)
-                at = np.minimum(np.searchsorted(mine, t), max(len(mine) - 1, 0))
-                both = mine[at] == t if len(mine) else np.zeros(len(t), bool)
-                o = int(both.sum())
-                shared.append(o)
-                linked.append(den * o >= num * (na + nb - o))
-                rest.append(t[~both].tobytes())
-                lacks.append(mine[~np.isin(mine, t)].tobytes())
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.binary()), pa.array(lacks, pa.binary())], [*keep, *names])
+                at = np.minimum(np.searchsorted(core, t), max(len(core) - 1, 0))
+                both = core[at] == t if len(core) else np.zeros(len(t), bool)
+                has = np.zeros(len(core), bool)
+                has[at[both]] = True
+                shared = int(both.sum())
+                weight, gap, central = den * (len(core) - shared) + num * (n - shared), (den - num) * len(core), num * own
+                rest = np.concatenate([t[~both], core[~has]])
+                out.append((weight, _band(weight), gap, central, weight + central <= gap, int((~both[:rare]).sum()), rest.tobytes()))
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            keep = [batch.column(c) for c in ("lead", "key", "a", "b")]
+            new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.record_batch([*keep, *new], [f.split()[0] for f in MET.split(", ")])
 
     return run
 
 
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffles alone: both sides grow with the corpus, and skewed keys can be split."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _meet(pairs: DataFrame, cands: DataFrame, num: int, den: int) -> DataFrame:
     """Verified pairs of keys (lead, key)."""
-    left = cands.select(F.col("key").alias("lead"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = cands.select("key", F.col("doc_id").alias("b"), "n", "own", F.col("tokens").alias("tb"))
-    both = pairs.join(right, "key").join(left, "lead").where("a <> b")
-    return both.select("lead", "a", "b", "n", "own", "na", "ta", "tb").mapInArrow(_verify(num, den), "lead long, a long, b long, n long, own long, shared long, linked boolean, rest binary, lacks binary")
+    left = cands.select(F.col("key").alias("lead"), F.col("doc_id").alias("a"), F.col("own").alias("own_a"), F.col("tokens").alias("ta"))
+    right = cands.select("key", F.col("doc_id").alias("b"), "n", "rare", F.col("tokens").alias("tb"))
+    both = _merge(_merge(pairs, right, "key"), left, "lead").where("a <> b")
+    return both.select("lead", "key", "a", "b", "own_a", "n", "rare", "ta", "tb").mapInArrow(_verify(num, den), MET)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lead, token, outside) of what members have outside the center, and of what they lack of it."""
-    for batch in batches:
-        for name in ("rest", "lacks"):
-            rest = [np.frombuffer(r, np.int64) for r in batch.column(name).to_pylist()]
-            of = np.repeat(np.arange(len(rest)), [len(r) for r in rest])
-            yield pa.record_batch([batch.column("lead").take(pa.array(of)), pa.array(np.concatenate([np.zeros(0, np.int64), *rest])), pa.array(np.full(len(of), name == "rest"))], ["lead", "token", "outside"])
+TERMS = "sig long, lead long, key long, weight long, gap long, room long, component long"
 
 
-TERMS = "lead long, token long, shared long, beyond long, key long, n long, component long, probe boolean"
+def _sign_differences(num: int, den: int):
+    """Signatures of differences among the members of one center, for partners in other components."""
+    names = [f.split()[0] for f in TERMS.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, room = [np.zeros(0, np.uint64)], []
+            columns = ("lead", "weight", "gap", "central", "linked", "rare", "tokens", "near", "far")
+            rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            for lead, weight, gap, central, linked, rare, raw, near, far in rows:
+                tokens = np.frombuffer(raw, np.uint64)
+                salt = int(textkit.mix(np.array([lead], np.int64).view(np.uint64))[0])
+                # Those linked to the center are one component: their partners did not link to it. Others that weigh
+                # too little to need a token in common all meet under one signature.
+                low = gap - (central if linked else weight) + 1
+                bands = set(far) if linked else {*near, *far}
+                own = [signatures(weight, gap, low, tokens, rare, num, den, unit=(num + den) / 2, salt=salt, bands=bands)]
+                if weight <= gap and central:
+                    own.append(np.array([salt], np.uint64))
+                sigs += own
+                room.append(sum(map(len, own)))
+            of = np.repeat(np.arange(batch.num_rows), room)
+            size = [len(x) // 8 for x in batch.column("tokens").to_pylist()]
+            base = [batch.column(c).take(pa.array(of)) for c in ("lead", "key", "weight", "gap")]
+            tail = [pa.array(np.array(size, np.int64)[of]), batch.column("component").take(pa.array(of))]
+            yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), *base, *tail], names)
 
-def _outside(num: int, den: int):
-    """What members are found by (probe false), and what those that missed the center probe with.
+    return run
 
-    The core is what most members of the center have. A member that shares too little of the core
-    with any partner probes with a prefix of its shingles outside the core. One that shares enough for some partner
-    probes with all of them; and a partner that shares none of them lacks so little of the core beyond what the member
-    lacks that both lack a shingle in common, or that the partner lacks hardly any: it is found by size and lack."""
-    names = ("lead", "token", "shared", "beyond", "key", "n", "component", "probe")
-    salt = U64(0x2545F4914F6CDD1D)
 
-    def lacking(t: np.ndarray) -> np.ndarray:
-        return textkit.mix(t ^ salt).view(np.int64)
+def _verify_differences(num: int, den: int):
+    """Which pairs of differences from one center share enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens: list[np.ndarray] = []
-            of, probe, inside, beyond = [], [], [], []
-            for i, r in enumerate(batch.select(["n", "own", "linked", "ta", "extra", "less", "tb"]).to_pylist()):
-                more, less = (np.array(r[c] or [], np.int64).view(np.uint64) for c in ("extra", "less"))
-                core = np.setdiff1d(np.concatenate([np.frombuffer(r["ta"], np.uint64), more]), less)
-                t, n = np.frombuffer(r["tb"], np.uint64), r["n"]
-                outside = t[~np.isin(t, core)].view(np.int64)
-                lacks = lacking(core[~np.isin(core, t)])
-                size, shared = len(core), len(t) - len(outside)
-                least, most = least_shared(n, num, den), n * den // num
-                near = shared >= least  # it may link without a shingle outside the core
-                # (terms, probing, shingles outside the core that count): by other terms than shingles outside, only
-                # pairs that share none outside need be found.
-                parts = [(outside, False, len(outside))]
-                if near:
-                    parts += [(lacks, False, 0), (np.array([n << 20 | len(lacks)]), False, 0)]
-                if not r["linked"]:
-                    m = np.arange(least, most + 1)
-                    must = -(-num * (n + m) // (num + den))  # shared shingles with a partner of m
-                    if len(m) and shared >= must[0]:
-                        low, high = np.maximum(size - m, 0), np.minimum(shared - must, size)
-                        count = np.maximum(high - low + 1, 0)
-                        parts += [(outside, True, len(outside)), (lacks, True, 0), ((np.repeat(m, count) << 20) | textkit.expand(low, count), True, 0)]
-                    elif len(m):
-                        parts.append((outside[: max(0, n - int(must[0]) + 1 - r["own"])], True, len(outside)))
-                for x, p, k in parts:
-                    tokens.append(x)
-                    of += [i] * len(x)
-                    probe += [p] * len(x)
-                    inside += [shared] * len(x)
-                    beyond += [k] * len(x)
-            base = batch.select(["lead", "key", "n", "component"]).take(pa.array(of, pa.int64()))
-            token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.record_batch([base.column(0), pa.array(token), pa.array(inside, pa.int64()), pa.array(beyond, pa.int64()), *base.columns[1:], pa.array(probe, pa.bool_())], names)
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("ta", "tb", "wa", "wb", "gap"))
+            for ta, tb, wa, wb, gap in zip(*columns, strict=True):
+                both = np.intersect1d(np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), assume_unique=True)
+                keep.append(wa + wb - gap <= (num + den) * len(both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -376,97 +450,116 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     parts = runtime.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = runtime.staged(rows.mapInArrow(_sets(size), "doc_id long, n long, s1 long, s2 long"), "sets")
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    digest = runtime.staged(rows.mapInArrow(_sets(size), "doc_id long, n long, s1 long, s2 long"), "digests")
+    total = digest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, (total // BUCKET).bit_length())
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
+    classes = digest.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
     classes = runtime.staged(classes.where("copies > 1").drop("copies"), "large-classes")
-    sets = sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"))
+    sets = _merge(digest, classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"))
     sets = runtime.staged(sets, "classes")
+    runtime.forget(digest, classes)
 
     # One document of each class goes on. Few enough others to broadcast spare the texts a shuffle.
-    copies = sets.where("doc_id <> class").select("doc_id").distinct()
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    packed = rows.join(copies, "doc_id", "left_anti").mapInArrow(_pack(size, bits), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    held = sets.where("n > 0 and doc_id is not null").groupBy("doc_id")
+    held = held.agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.col("doc_id") == F.col("class")).alias("stays"))
+    held = runtime.staged(held.where("lo <> hi or not stays"), "copies")
+    copies = held.where("not stays").select("doc_id")
+    few = copies.count() <= BROADCAST_IDS
+    rest = rows.join(F.broadcast(copies), "doc_id", "left_anti") if few else _merge(rows, copies, "doc_id", "left_anti")
+    packed = rest.mapInArrow(_pack(size, bits), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = packed.mapInArrow(_count, "batch long, token binary, df binary, local binary, docs binary, sizes binary")
     shared = shared.repartition(parts, "batch").sortWithinPartitions("batch")
     cands = runtime.swept(shared.mapInArrow(_candidates(num, den), CANDIDATES), "candidates")
 
+    # Documents of several sets are links between these already.
+    several = _merge(sets, held.where("lo <> hi").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     sigs = runtime.staged(cands.mapInArrow(_sign(num, den), "sig long, key long"), "signatures")
-    leads = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    grouped = runtime.swept(sigs.join(leads, "sig"), "groups")
+    leads = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").drop("last")
+    grouped = runtime.swept(_merge(sigs, leads, "sig"), "groups")
     runtime.forget(sigs)
     first = runtime.staged(grouped.groupBy("key").agg(F.min("lead").alias("first")), "centers")
-    same = sets.where("doc_id <> class").select("doc_id", "class")
-
-    def by_class(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(same.select(F.col("doc_id").alias(c), F.col("class").alias(f"{c}_class")), c, "left")
-        return pairs.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
-
-    def with_component(df: DataFrame, doc: str) -> DataFrame:
-        df = df.join(same.select(F.col("doc_id").alias(doc), F.col("class").alias("id")), doc, "left").withColumn("id", F.coalesce("id", doc))
-        return df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
-
     stars = first.where("first <> key").select(F.col("first").alias("lead"), "key")
     met = runtime.staged(_meet(stars, cands, num, den), "met")
-    links = runtime.staged(by_class(met.where("linked").select("a", "b")), "links")
-    found = runtime.staged(components(links), "components")
-
-    info = with_component(first.join(cands.select("key", "doc_id"), "key"), "doc_id").select("key", "first", "component")
-    spread = grouped.join(info, "key").groupBy("sig").agg(*(f(c).alias(f"{n}_{c}") for c in ("first", "component") for n, f in (("lo", F.min), ("hi", F.max))))
-    spread = spread.where("lo_first <> hi_first and lo_component <> hi_component").select("sig")
-    other = grouped.join(spread, "sig").where("lead <> key").select("lead", "key").distinct().join(stars, ["lead", "key"], "left_anti")
-    met2 = runtime.staged(_meet(other, cands, num, den), "met")
-    found = _joined(found, by_class(met2.where("linked").select("a", "b")))
-    met = met.unionByName(met2)
-    # What most members of a center have is their core; it may differ from the center both ways.
-    members = met.groupBy("lead").agg(F.count("*").alias("members"))
-    differs = met.select("lead", "rest", "lacks").mapInArrow(_tokens, "lead long, token long, outside boolean").groupBy("lead", "token", "outside").agg(F.count("*").alias("c"))
-    differs = differs.join(members, "lead").where("2 * c > members")
-    extra = differs.groupBy("lead").agg(F.collect_list(F.when(F.col("outside"), F.col("token"))).alias("extra"), F.collect_list(F.when(~F.col("outside"), F.col("token"))).alias("less"))
-    keys = cands.select("key", F.col("doc_id").alias("b"))
-
-    def component_of() -> DataFrame:
-        return with_component(keys, "b").select("key", "component")
-
-    # The center needs no row of its own: its pairs with the members are verified.
-    member = met.select("lead", "b", "n", "own", "linked").join(keys, "b").join(component_of(), "key").join(extra, "lead", "left")
-    member = member.join(cands.select(F.col("key").alias("lead"), F.col("tokens").alias("ta")), "lead").join(cands.select("key", F.col("tokens").alias("tb")), "key")
-    terms = member.select("lead", "key", "n", "own", "linked", "component", "ta", "extra", "less", "tb").mapInArrow(_outside(num, den), TERMS)
-    terms = runtime.staged(terms, "terms")
-    # Those that probe meet the most central one that they find by each term, and only what is then apart meets in pairs.
-    mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p"), F.min("key").alias("center")).where("c1 <> c2 and p")
-    again = terms.where("probe").join(runtime.staged(mixed, "mixed"), ["lead", "token"]).where("center <> key").select(F.col("center").alias("lead"), "key").distinct()
-    found = _joined(found, by_class(_meet(again, cands, num, den).where("linked").select("a", "b")))
-    terms = terms.drop("component").join(component_of(), "key")
-    mixed = terms.groupBy("lead", "token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("probe").alias("p")).where("c1 <> c2 and p").select("lead", "token")
-    terms = terms.join(runtime.staged(mixed, "mixed"), ["lead", "token"])
-    # What two documents can share at most: of the core, and outside of it.
-    near = (F.least("x.shared", "y.shared") + F.least("x.beyond", "y.beyond")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
-    pairs = terms.where("probe").alias("x").join(terms.where("not probe").alias("y"), (F.col("x.lead") == F.col("y.lead")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = pairs.select(F.col("x.key").alias("lead"), F.col("y.key").alias("key")).distinct()
-    found = _joined(found, by_class(_meet(pairs, cands, num, den).where("linked").select("a", "b")))
-    out = sets.join(found.withColumnRenamed("id", "class"), "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class")).alias("component_id"))
+    found = components(met.where("linked").select("a", "b").unionByName(several))
+    found = runtime.staged(found, "components")
+
+    # Groups that are not one component yet, though not all of their members met the same center.
+    info = _with_component(_merge(first, cands.select("key", "doc_id"), "key"), "doc_id", found).select("key", "first", "component")
+    spread = _merge(grouped, info, "key").groupBy("sig").agg(*(f(c).alias(f"{n}_{c}") for c in ("first", "component") for n, f in (("lo", F.min), ("hi", F.max))))
+    spread = runtime.staged(spread.where("lo_first <> hi_first and lo_component <> hi_component").select("sig"), "spread")
+    other = _merge(grouped, spread, "sig").where("lead <> key").select("lead", "key").distinct()
+    other = _merge(other, stars, ["lead", "key"], "left_anti")
+    more = runtime.staged(_meet(other, cands, num, den), "met")
+    found = _joined(found, more.where("linked").select("a", "b"))
+    runtime.forget(grouped)
+
+    # Differences from common centers, where these leave several components.
+    met = met.unionByName(more)
+    member = _with_component(met.select("lead", "key", "b", "linked", "band"), "b", found).drop("b")
+    member = runtime.staged(member, "members")
+    # The bands of a center's members, linked to it or not: as many at most as there are bands.
+    bands = [F.collect_set(F.when(c, F.col("band"))).alias(n) for n, c in (("near", F.col("linked")), ("far", ~F.col("linked")))]
+    mixed = member.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *bands)
+    mixed = runtime.staged(mixed.where("lo <> hi").select("lead", "near", "far"), "mixed")
+    member = _merge(member.drop("linked", "band"), mixed, "lead")
+    member = runtime.swept(_merge(met, member, ["lead", "key"]), "differences")
+    runtime.forget(more)
+    terms = runtime.staged(member.mapInArrow(_sign_differences(num, den), TERMS), "terms")
+    # The center of a group is its lightest member; the group's others meet it first.
+    center = F.min(F.struct("weight", "key")).getField("key").alias("center")
+    groups = terms.groupBy("sig").agg(center, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    groups = runtime.staged(groups.select("sig", "center"), "groups")
+    terms = runtime.staged(_merge(terms, groups, "sig"), "terms")
+    star = terms.where("center <> key").select("lead", F.col("center").alias("x"), F.col("key").alias("y")).distinct()
+    found = _joined(found, _meet_differences(star, member, num, den))
+    # What is still apart meets in pairs.
+    now = _with_component(member.select("lead", "key", "b"), "b", found).select("lead", "key", F.col("component").alias("now"))
+    terms = _merge(terms, now, ["lead", "key"]).select("sig", "lead", "key", "weight", "gap", "room", F.col("now").alias("component"))
+    groups = terms.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    terms = runtime.staged(_merge(terms, runtime.staged(groups, "groups"), "sig"), "terms")
+    x, y = terms.alias("x"), terms.select("sig", "key", "weight", "room", "component").alias("y").hint("merge")
+    near = F.col("x.weight") + F.col("y.weight") - F.col("x.gap") <= F.least("x.room", "y.room") * (num + den)
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    pairs = x.join(y, apart & near).select("lead", F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
+    pairs = runtime.staged(pairs, "pairs")
+    found = _joined(found, _meet_differences(pairs, member, num, den))
+    out = _merge(sets, found.withColumnRenamed("id", "class"), "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component)
+
+
+def _with_component(df: DataFrame, doc: str, found: DataFrame) -> DataFrame:
+    """df with the component of the documents in the column doc: their own id if no link is known."""
+    df = _merge(df, found.withColumnRenamed("id", doc), doc, "left")
+    return df.withColumn("component", F.coalesce("component", doc))
+
+
+def _meet_differences(pairs: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among pairs of members (lead, x, y)."""
+    left = member.select("lead", F.col("key").alias("x"), F.col("b").alias("a"), F.col("weight").alias("wa"), "gap", F.col("tokens").alias("ta"))
+    right = member.select("lead", F.col("key").alias("y"), "b", F.col("weight").alias("wb"), F.col("tokens").alias("tb"))
+    both = _merge(_merge(pairs, left, ["lead", "x"]), right, ["lead", "y"]).where("a <> b")
+    return both.select("a", "b", "wa", "wb", "gap", "ta", "tb").mapInArrow(_verify_differences(num, den), "a long, b long")
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) of the ids of found and of links, whose components the links join. Only links between
     different components go through the rounds."""
     a, b = (found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("a", "b"))
-    new = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
+    new = _merge(_merge(links, a, "a", "left"), b, "b", "left")
+    new = new.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
     new = runtime.staged(new, "new-links")
     if new.isEmpty():
         return found
     moved = runtime.staged(components(new).withColumnRenamed("component", "to"), "moved")
-    old = found.join(moved.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    lone = moved.join(found.select("id"), "id", "left_anti").select("id", F.col("to").alias("component"))
+    old = _merge(found, moved.withColumnRenamed("id", "component"), "component", "left")
+    old = old.select("id", F.coalesce("to", "component").alias("component"))
+    lone = _merge(moved, found.select("id"), "id", "left_anti").select("id", F.col("to").alias("component"))
     return runtime.staged(old.unionByName(lone), "components")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that link, directly or not, to one with a smaller id. Rows that repeat the kept id stay."""
+    """docs without those that link, directly or not, to one with a smaller id. Rows that repeat the kept id stay, and
+    so do all columns, whatever their names."""
     gone = similar_sets(docs, id_col, text_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

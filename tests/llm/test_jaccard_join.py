@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from arcfold.llm import jaccard_join
@@ -48,6 +49,61 @@ def test_against_brute_force(spark, seed, parts):
     assert got == want
 
 
+def test_more_copies_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    texts = corpus(3, 30) + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_sets(df).collect()}
+    assert got == near_groups(dict(enumerate(texts)))
+
+
+def test_large_arrow_batches(spark):
+    n = 33_000
+    pair = lambda i: [(2 * i + k, " ".join(f"p{i}w{j}" for j in range(20)) + " end" * k) for k in (0, 1)]
+    df = spark.createDataFrame([r for i in range(n) for r in pair(i)], "doc_id long, text string").coalesce(1)
+    had = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    try:
+        got = [tuple(r) for r in jaccard_join.similar_sets(df).select("doc_id", "component_id").collect()]
+    finally:
+        for k, v in had.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+    assert len(got) == 2 * n and all(c == d - d % 2 for d, c in got)
+
+
+def test_rows_that_share_an_id(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(5, words("a", 30)), (5, words("b", 30)), (3, words("b", 30)), (9, words("a", 31)), (2, words("c", 30)), (4, words("c", 30)), (4, words("d", 30)), (6, words("d", 31)), (1, words("e", 9))]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (2, 2), (4, 2), (6, 2), (1, 1)}
+
+
+def test_signatures_of_linked_sets_meet():
+    r = np.random.default_rng(5)
+    for trial in range(300):
+        n = int(r.integers(4, 120))
+        core = np.sort(r.choice(1 << 40, n, replace=False).astype(np.uint64))
+        x, y = (np.union1d(core[r.random(n) > e], r.choice(1 << 40, int(r.integers(0, 1 + n // 8))).astype(np.uint64)) for e in r.uniform(0, 0.15, 2))
+        both = len(np.intersect1d(x, y))
+        rare = lambda t: np.sort(t)[np.argsort(np.sort(t) % 3 > 0, kind="stable")]
+        sig = [jaccard_join.signatures(80 * len(t), 0, 0, rare(t), int((t % 3 == 0).sum()), 80, 100, unit=80) for t in (x, y)]
+        if 180 * both >= 80 * (len(x) + len(y)):
+            assert len(np.intersect1d(*sig)), trial
+        # The same as differences from the core.
+        diff, weight, rares = [], [], []
+        for t in (x, y):
+            rest, lacks = np.setdiff1d(t, core), np.setdiff1d(core, t)
+            diff.append(np.concatenate([rare(rest), lacks]))
+            weight.append(100 * len(lacks) + 80 * len(rest))
+            rares.append(int((rest % 3 == 0).sum()))
+        need = -(-(sum(weight) - 20 * n) // 180)
+        assert (len(np.intersect1d(*diff)) >= need) == (180 * both >= 80 * (len(x) + len(y)))
+        if 0 < need <= len(np.intersect1d(*diff)):
+            sig = [jaccard_join.signatures(w, 20 * n, 0, d, k, 80, 100, unit=90, salt=7) for w, d, k in zip(weight, diff, rares, strict=True)]
+            assert len(np.intersect1d(*sig)), trial
+
+
 def test_other_thresholds_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 5)
     texts = dict(enumerate(corpus(5, 40)))
