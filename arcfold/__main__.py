@@ -15,12 +15,14 @@ def main(args: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="command", required=True)
     i = sub.add_parser("import", help="text files to Parquet tables")
     i.add_argument("-vf", "--vertices-file")
-    i.add_argument("-ef", "--edges-file", required=True)
+    i.add_argument("-ef", "--edges-file")
+    i.add_argument("-rf", "--ratings-file", help="lines of user, item and rating in place of edges")
     i.add_argument("-vt", "--vertices-table")
     i.add_argument("-et", "--edges-table", required=True)
+    i.add_argument("-p", "--preset", choices=sorted(text.PRESETS), help="the types of ids and values")
     i.add_argument("-k", "--id-parser", default="long")
-    i.add_argument("-vp", "--vertex-parser", default="long")
-    i.add_argument("-ep", "--edge-parser", default="long")
+    i.add_argument("-vp", "-vs", "--vertex-parser", default="long")
+    i.add_argument("-ep", "-es", "--edge-parser", default="long")
     i.add_argument("-np", "--partitions", type=int, default=50)
     s = sub.add_parser("predict", help="a rating by SVD++ tables")
     for name in ("--users", "--items"):
@@ -31,9 +33,14 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "import":
+        if bool(a.edges_file) == bool(a.ratings_file):
+            p.error("either --edges-file or --ratings-file is needed")
+        ids, own = text.preset(a.preset) if a.preset else (a.id_parser, None)
         if a.vertices_file:
-            text.read_vertices(spark, a.vertices_file, a.id_parser, a.vertex_parser).repartition(a.partitions, "id").write.parquet(a.vertices_table)
-        text.read_edges(spark, a.edges_file, a.id_parser, a.edge_parser).repartition(a.partitions, "src").write.parquet(a.edges_table)
+            vertices = text.read_vertices(spark, a.vertices_file, ids, own or a.vertex_parser)
+            vertices.repartition(a.partitions, "id").write.parquet(a.vertices_table)
+        edges = text.read_ratings(spark, a.ratings_file) if a.ratings_file else text.read_edges(spark, a.edges_file, ids, own or a.edge_parser)
+        edges.repartition(a.partitions, "src").write.parquet(a.edges_table)
     else:
         pair = spark.createDataFrame([(a.user, a.item)], "user long, item long")
         row = svdpp_predict(pair, spark.read.parquet(a.users), spark.read.parquet(a.items), a.mean).first()

@@ -62,6 +62,10 @@ class Graph:
         """Edges dealt by their target."""
         return self.edges.repartition("dst")
 
+    def dealt(self, partitions: int) -> Graph:
+        """The graph with vertices and out-edges dealt alike by id, so that joins of the two need no shuffle."""
+        return Graph(self.vertices.repartition(partitions, "id"), self.edges.repartition(partitions, "src"))
+
     def edges_grouped_by_source(self) -> DataFrame:
         return self._grouped("src")
 

@@ -26,18 +26,51 @@ def reverse_edges(graph: Graph) -> Graph:
     return Graph(graph.vertices, graph.edges.select("src", "dst", "value").unionByName(new.select("src", "dst", "value")))
 
 
+def _oriented(u: DataFrame) -> DataFrame:
+    """(p, q, nq, ...): undirected edges (a, b, ...) from the end of lower degree to the other."""
+    deg = u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    x = u.join(deg.toDF("a", "na"), "a").join(deg.toDF("b", "nb"), "b")
+    up = F.struct("na", "a") < F.struct("nb", "b")
+    pick = lambda c, d: F.when(up, F.col(c)).otherwise(F.col(d))
+    rest = [c for c in u.columns if c not in ("a", "b")]
+    return x.select(pick("a", "b").alias("p"), pick("b", "a").alias("q"), pick("nb", "na").alias("nq"), *rest)
+
+
+def _corners(u: DataFrame) -> DataFrame:
+    """(i, p, q, pq, iq, ip): each triangle of undirected edges (a, b, k) once, with the k of the edge that lies
+    opposite to each corner. Wedges start at the corner of lowest degree, so they stay few around hubs."""
+    d = _oriented(u)
+    w = d.alias("x").join(d.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.struct("x.nq", "x.q") < F.struct("y.nq", "y.q")))
+    w = w.select(F.col("x.p").alias("i"), F.col("x.q").alias("p"), F.col("y.q").alias("q"), F.col("x.k").alias("ip"), F.col("y.k").alias("iq"))
+    return w.join(d.select("p", "q", F.col("k").alias("pq")), ["p", "q"])
+
+
+def _shared(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, z): what both ends of each pair (a, b) have in (id, z). The end with fewer goes through its own."""
+    n = near.groupBy("id").agg(F.count("*").alias("n"))
+    x = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    less = F.col("na") <= F.col("nb")
+    x = x.select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("other"))
+    return x.join(near, "id").join(near.toDF("other", "z"), ["other", "z"]).select("a", "b", "z")
+
+
 def clustering_coefficient(graph: Graph) -> DataFrame:
     """(id, value): of the ordered pairs of a vertex's neighbours (either way), the share that an edge joins; 0 with
     fewer than two. A self-loop makes a vertex its own neighbour."""
-    e = graph.edges.select("src", "dst")
-    near = e.toDF("id", "nbr").unionByName(e.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("nbr"))).distinct()
-    n = near.groupBy("id").agg(F.count("*").alias("n"))
-    # Wedges from a vertex over a neighbour's out-edge, kept if they end at a neighbour too.
-    wedges = near.join(e.toDF("nbr", "far"), "nbr").join(near.toDF("id", "far"), ["id", "far"], "left_semi")
-    m = wedges.groupBy("id").agg(F.count("*").alias("m"))
+    e = graph.edges.select("src", "dst").distinct()
+    loops = e.where("src = dst").select(F.col("src").alias("id"))
+    u = e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("k"))
+    ends = u.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nbr"), "k"), F.struct(F.col("b").alias("id"), F.col("a").alias("nbr"), "k"))).alias("e")).select("e.*")
+    n = ends.select("id").unionByName(loops).groupBy("id").agg(F.count("*").alias("n"))
+    share = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("m"))
+    m = _corners(u).select(F.explode(F.array(share("i", "pq"), share("p", "iq"), share("q", "ip"))).alias("s")).select("s.*")
+    # A neighbour's self-loop joins it to itself; with one of its own, a vertex is an end of all its edges' pairs.
+    m = m.unionByName(ends.join(loops.toDF("nbr"), "nbr", "left_semi").select("id", F.lit(1).cast("long").alias("m")))
+    m = m.unionByName(ends.join(loops, "id", "left_semi").select("id", F.col("k").alias("m"))).unionByName(loops.withColumn("m", F.lit(1).cast("long")))
+    m = m.groupBy("id").agg(F.sum("m").alias("m"))
     out = graph.vertices.select("id").join(n, "id", "left").join(m, "id", "left")
-    share = F.coalesce("m", F.lit(0)) / F.col("n") / (F.col("n") - 1)
-    return out.select("id", F.when(F.coalesce("n", F.lit(0)) < 2, F.lit(0.0)).otherwise(share).alias("value"))
+    value = F.coalesce("m", F.lit(0)) / F.col("n") / (F.col("n") - 1)
+    return out.select("id", F.when(F.coalesce("n", F.lit(0)) < 2, F.lit(0.0)).otherwise(value).alias("value"))
 
 
 def jaccard(graph: Graph, *, distance: bool = False) -> DataFrame:
@@ -46,7 +79,8 @@ def jaccard(graph: Graph, *, distance: bool = False) -> DataFrame:
     e = graph.edges.select("src", "dst")
     n = e.groupBy("src").agg(F.count("*").alias("n"))
     mutual = e.join(e.toDF("dst", "src"), ["src", "dst"], "left_semi")
-    common = mutual.join(e.toDF("src", "z"), "src").join(e.toDF("dst", "z"), ["dst", "z"]).groupBy("src", "dst").agg(F.count("*").alias("i"))
+    pairs = mutual.where("src <= dst").toDF("a", "b").distinct()
+    common = _both_ways(_shared(pairs, e.toDF("id", "z")).groupBy("a", "b").agg(F.count("*").alias("i")))
     rows = mutual.join(common, ["src", "dst"], "left").join(n.toDF("src", "n1"), "src").join(n.toDF("dst", "n2"), "dst")
     i = F.coalesce("i", F.lit(0)).cast("double")
     rows = rows.select("src", "dst", (i / (F.col("n1") + F.col("n2") - i)).alias("index"))
@@ -61,24 +95,24 @@ def adamic_adar(graph: Graph, *, distance: bool = False) -> tuple[DataFrame, Dat
     n = graph.edges.groupBy(F.col("src").alias("id")).agg(F.log(F.lit(1.0) / F.count("*")).alias("w"))
     v = graph.vertices.select("id").join(n, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).alias("value"))
     e = graph.edges.select("src", "dst")
-    fan = e.join(v.select(F.col("id").alias("src"), F.col("value").alias("w")), "src").select(F.col("src").alias("z"), F.col("dst").alias("end"), "w")
-    pairs = e.join(fan.select("z", F.col("end").alias("src"), "w"), "src").join(fan.select("z", F.col("end").alias("dst")), ["z", "dst"])
-    sums = pairs.groupBy("src", "dst").agg(F.sum("w").alias("s"))
+    pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    shared = _shared(pairs, e.select(F.col("dst").alias("id"), F.col("src").alias("z")))
+    sums = _both_ways(shared.join(v.toDF("z", "w"), "z").groupBy("a", "b").agg(F.sum("w").alias("s")))
     total = F.col("value") + F.coalesce("s", F.lit(0.0))
     rows = graph.edges.join(sums, ["src", "dst"], "left").select("src", "dst", (total if not distance else -total).alias("value"))
     return v, rows
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Rows of pairs (a, b, x), a <= b, as (src, dst, x) in both orders."""
+    x = pairs.columns[-1]
+    back = pairs.where("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst"), x)
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), x).unionByName(back)
+
+
 def triangles(edges: DataFrame) -> DataFrame:
-    """(id, count): triangles of each vertex that has one, edges taken as undirected, and all triangles under -1.
-    Edges lead from ends of lower to higher degree, so that wedges stay few around hubs."""
+    """(id, count): triangles of each vertex that has one, edges taken as undirected, and all triangles under -1."""
     u = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    deg = u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    x = u.join(deg.toDF("a", "na"), "a").join(deg.toDF("b", "nb"), "b")
-    up = F.struct("na", "a") < F.struct("nb", "b")
-    d = x.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("q"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nq"))
-    w = d.alias("x").join(d.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.struct("x.nq", "x.q") < F.struct("y.nq", "y.q")))
-    w = w.select(F.col("x.p").alias("i"), F.col("x.q").alias("p"), F.col("y.q").alias("q"))
-    t = w.join(d.select("p", "q"), ["p", "q"])
+    t = _corners(u.withColumn("k", F.lit(1).cast("long")))
     rows = t.select(F.explode(F.array(F.col("i"), F.col("p"), F.col("q"), F.lit(-1).cast("long"))).alias("id"))
     return rows.groupBy("id").agg(F.count("*").alias("count"))

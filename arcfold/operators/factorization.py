@@ -1,5 +1,9 @@
 """Matrix factorization of (user, item, rating): ALS, SGD and SVD++, with the superstep counts of the vertex programs
-(step 1 starts users, 2 items, then users and items alternate up to `iterations`), in float32."""
+(step 1 starts users, 2 items, then users and items alternate up to `iterations`), in float32.
+
+SGD and SVD++ take a vertex's ratings one after the other. Tasks hold many vertices at once and go through the first
+rating of all of them, then the second of all, and so on; the ratings of one vertex are in one task.
+"""
 
 from __future__ import annotations
 
@@ -38,29 +42,99 @@ def _beside(ratings: DataFrame, side: str, other: str, vectors: DataFrame) -> Da
     return ratings.select(F.col(side).alias("id"), F.col(other).alias("sender"), "rating").join(vectors.withColumnRenamed("id", "sender"), "sender")
 
 
+#: Ratings that a task handles at once; one vertex may have more.
+ROWS = 50_000
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ROWS rows that hold all rows of their ids, from rows in the order of ids."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids = t["id"].to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut:
+                yield t.slice(0, cut)
+                held, n = t.slice(cut).to_batches(), n - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Turns:
+    """The vertices of a table, and which of their rows come first, second and so on."""
+
+    def __init__(self, table: pa.Table):
+        ids = table["id"].to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        size = np.diff(cut)
+        order = np.argsort(-size, kind="stable")
+        self.first, self.size, self.table = cut[:-1][order], size[order], table
+        self.ids = ids[self.first]
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of vertices that have a next row, those rows); the vertices with most rows come first."""
+        have = np.searchsorted(-self.size, -np.arange(1, int(self.size.max(initial=0)) + 1), "right")
+        for k, n in enumerate(have.tolist()):
+            yield n, self.first[:n] + k
+
+    def rows(self, name: str) -> np.ndarray:
+        return self.table[name].to_numpy().astype(f32, copy=False)
+
+    def vectors(self, name: str) -> np.ndarray:
+        column = self.table[name].combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(f32, copy=False).reshape(len(column), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """A list column of the rows of x."""
+    off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if x.ndim > 1 else 0))
+    return pa.ListArray.from_arrays(off, pa.array(x.ravel()))
+
+
+def _by_id(rows: DataFrame, *order: str) -> DataFrame:
+    """All rows of an id in one partition, in order. Dealt by the id itself, the shuffle would be taken for that of a
+    join before it, which adaptive execution may turn into a broadcast."""
+    return rows.repartition(F.xxhash64("id")).sortWithinPartitions("id", *order)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
 def _solve(rows: DataFrame, dim: int, lam: float) -> DataFrame:
     """(id, factors) that solve (M Mt + lambda n I) u = M r. Tasks add up each id's matrix before the shuffle."""
 
+    def added(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+        return ids[cut], np.add.reduceat(x[order], cut, axis=0)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column("id").to_numpy(zero_copy_only=False)
             m = b.column("factors").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
             r = b.column("rating").to_numpy(zero_copy_only=False).astype(np.float64)
-            order = np.argsort(ids, kind="stable")
-            ids, m, r = ids[order], m[order], r[order]
-            cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
-            rows = [np.concatenate([(m[a:e].T @ m[a:e]).ravel(), m[a:e].T @ r[a:e], [e - a]]).tolist() for a, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array(ids[cut[:-1]]), pa.array(rows, pa.list_(pa.float64()))], ["id", "sums"])
-
-    def solve(table: pa.Table) -> pa.Table:
-        x = np.sum([np.array(v) for v in table["sums"].to_pylist()], axis=0)
-        a = x[: dim * dim].reshape(dim, dim) + lam * x[-1] * np.eye(dim)
-        return pa.table({"id": table["id"][:1], "factors": pa.array([np.linalg.solve(a, x[dim * dim : -1]).astype(f32).tolist()], pa.list_(pa.float32()))})
+            square = (m[:, :, None] * m[:, None, :]).reshape(len(m), -1)
+            ids, sums = added(b.column("id").to_numpy(zero_copy_only=False), np.concatenate([square, m * r[:, None], np.ones((len(m), 1))], axis=1))
+            yield pa.record_batch([pa.array(ids), _lists(sums)], ["id", "sums"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            sums = t["sums"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            ids, x = added(t["id"].to_numpy(), sums)
+            a = x[:, : dim * dim].reshape(-1, dim, dim) + (lam * x[:, -1])[:, None, None] * np.eye(dim)
+            u = np.linalg.solve(a, x[:, dim * dim : -1, None])[:, :, 0]
+            yield pa.record_batch([pa.array(ids), _lists(u.astype(f32))], ["id", "factors"])
 
     part = rows.select("id", "rating", "factors").mapInArrow(partial, "id long, sums array<double>")
-    return part.groupBy("id").applyInArrow(solve, "id long, factors array<float>")
+    return _by_id(part).mapInArrow(solve, "id long, factors array<float>")
 
 
 def rmse(ratings: DataFrame, users: DataFrame, items: DataFrame) -> float:
@@ -96,21 +170,24 @@ def sgd(ratings: DataFrame, *, dim: int = 50, lam: float = 0.01, gamma: float =
     lam, gamma = f32(lam), f32(gamma)
     quiet: dict[str, DataFrame | None] = {"user": None, "item": None}
 
-    def update(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sender")
-        value = old = np.array(frame["own"].iloc[0], f32)
-        for factors, rating in zip(frame["factors"], frame["rating"], strict=True):
-            u = np.array(factors, f32)
-            err = f32(min(max(f32(value @ u), f32(min_rating)), f32(max_rating)) - f32(rating))
-            value = value + (value * lam + u * err) * -gamma
-        return pd.DataFrame({"id": frame["id"].iloc[:1], "factors": [value.tolist()], "moved": [bool(np.sqrt(((value - old) ** 2).sum()) > tolerance)]})
+    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            turns = _Turns(table)
+            u, seen = turns.vectors("factors"), turns.rows("rating")
+            value = turns.vectors("own")[turns.first]
+            old = value.copy()
+            for n, row in turns:
+                err = np.clip(_dot(value[:n], u[row]), f32(min_rating), f32(max_rating)) - seen[row]
+                value[:n] += (value[:n] * lam + u[row] * err[:, None]) * -gamma
+            moved = np.sqrt(((value - old) ** 2).sum(axis=1)) > tolerance
+            yield pa.record_batch([pa.array(turns.ids), _lists(value), pa.array(moved)], ["id", "factors", "moved"])
 
     def step(side: str, other: str, r: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
         rows = _beside(r, side, other, state[other])
         if quiet[other] is not None:
             rows = rows.join(quiet[other].withColumnRenamed("id", "sender"), "sender", "left_anti")
         rows = rows.join(state[side].withColumnRenamed("factors", "own"), "id")
-        new = staged(rows.groupBy("id").applyInPandas(update, "id long, factors array<float>, moved boolean"), "updates")
+        new = staged(_by_id(rows, "sender").mapInArrow(update, "id long, factors array<float>, moved boolean"), "updates")
         if tolerance > 0:
             quiet[side] = staged(state[side].select("id").join(new.where("moved").select("id"), "id", "left_anti"), "quiet")
         return new.select("id", "factors").unionByName(state[side].join(new.select("id"), "id", "left_anti"))
@@ -144,55 +221,61 @@ def svdpp(ratings: DataFrame, *, dim: int = 50, factor_lambda: float = 0.01, fac
     state_ddl = "id long, baseline float, factors array<float>, weight array<float>"
     state = {s: staged(ratings.select(F.col(s).alias("id")).distinct().mapInPandas(start(s), state_ddl), f"{s}s") for s in ("user", "item")}
 
-    def users(frame: pd.DataFrame) -> pd.DataFrame:
-        """One user against all items: its new state, and a step for each item."""
-        frame = frame.sort_values("sender")
-        base, p = f32(frame["own_baseline"].iloc[0]), np.array(frame["own_factors"].iloc[0], f32)
-        q, y = (np.array(frame[c].tolist(), f32) for c in ("factors", "weight"))
-        bi, seen = frame["baseline"].to_numpy(f32), frame["rating"].to_numpy(f32)
-        n = len(frame)
-        weights = np.zeros(dim, f32)
-        for w in y:
-            weights = weights + w
-        spread = weights * f32(f32(1.0) / f32(np.sqrt(n)))
-        predict = lambda k: f32(max(min(f32(mean + base + bi[k] + f32(q[k] @ (p + spread))), hi), lo))
-        weight_step = np.zeros(dim, f32)
-        for k in range(n):
-            err = f32(predict(k) - seen[k]) * sign
-            base = f32(base + bg * f32(err - bl * base))
-            p = p + (p * (-fl * fg) + q[k] * f32(err * fg))
-            weight_step = weight_step + q[k] * err
-        weight_step = weight_step * f32(fg / f32(np.sqrt(n)))
-        rows = [(frame["id"].iloc[0], None, float(base), p.tolist(), [], 0.0)]
-        for k in range(n):
-            err = f32(predict(k) - seen[k]) * sign
-            rows.append((frame["id"].iloc[0], frame["sender"].iloc[k], float(bg * err), ((spread + p) * f32(fg * err)).tolist(), weight_step.tolist(), float(err) ** 2))
-        out = pd.DataFrame(rows, columns=["id", "item", "baseline", "factors", "weight", "error"])
-        return out.astype({"item": "Int64"})
-
-    def items(frame: pd.DataFrame) -> pd.DataFrame:
-        """One item and the steps its users sent."""
-        frame = frame.sort_values("sender")
-        base = f32(frame["own_baseline"].iloc[0])
-        q, y = (np.array(frame[c].iloc[0], f32) for c in ("own_factors", "own_weight"))
-        for b, fs, ws in zip(frame["baseline"].to_numpy(f32), frame["factors"], frame["weight"], strict=True):
-            base = f32(f32(base + b) - bg * bl * base)
-            q = q + (q * (-fg * fl) + np.array(fs, f32))
-            y = y + (y * (-fg * fl) + np.array(ws, f32))
-        return pd.DataFrame({"id": frame["id"].iloc[:1], "baseline": [float(base)], "factors": [q.tolist()], "weight": [y.tolist()]})
+    step_ddl = "id long, item long, baseline float, factors array<float>, weight array<float>, error double"
+
+    def users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Users against all their items: their new states, and a step for each item."""
+        names = [f.split()[0] for f in step_ddl.split(", ")]
+        for table in _whole(batches):
+            t = _Turns(table)
+            base, p = t.rows("own_baseline")[t.first], t.vectors("own_factors")[t.first]
+            q, y, bi, seen = t.vectors("factors"), t.vectors("weight"), t.rows("baseline"), t.rows("rating")
+            weights = np.zeros((len(t.ids), dim), f32)
+            for n, row in t:
+                weights[:n] += y[row]
+            root = np.sqrt(t.size).astype(f32)[:, None]
+            spread, weight_step = weights * (f32(1.0) / root), np.zeros((len(t.ids), dim), f32)
+            for n, row in t:
+                err = (np.clip(mean + base[:n] + bi[row] + _dot(q[row], p[:n] + spread[:n]), lo, hi) - seen[row]) * sign
+                base[:n] += bg * (err - bl * base[:n])
+                p[:n] += p[:n] * (-fl * fg) + q[row] * (err * fg)[:, None]
+                weight_step[:n] += q[row] * err[:, None]
+            weight_step *= fg / root
+            yield pa.record_batch([pa.array(t.ids), pa.nulls(len(t.ids), pa.int64()), pa.array(base), _lists(p), _lists(np.zeros((len(t.ids), 0), f32)), pa.array(np.zeros(len(t.ids)))], names)
+            of = np.empty(table.num_rows, np.int64)
+            for n, row in t:
+                of[row] = np.arange(n)
+            err = (np.clip(mean + base[of] + bi + _dot(q, (p + spread)[of]), lo, hi) - seen) * sign
+            columns = [table["id"].combine_chunks(), table["sender"].combine_chunks(), pa.array(bg * err)]
+            columns += [_lists((spread + p)[of] * (fg * err)[:, None]), _lists(weight_step[of]), pa.array(err.astype(np.float64) ** 2)]
+            out = pa.record_batch(columns, names)
+            for i in range(0, out.num_rows, 10_000):
+                yield out.slice(i, 10_000)
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Items and the steps their users sent."""
+        for table in _whole(batches):
+            t = _Turns(table)
+            base, q, y = t.rows("own_baseline")[t.first], t.vectors("own_factors")[t.first], t.vectors("own_weight")[t.first]
+            b, fs, ws = t.rows("baseline"), t.vectors("factors"), t.vectors("weight")
+            for n, row in t:
+                base[:n] = (base[:n] + b[row]) - bg * bl * base[:n]
+                q[:n] += q[:n] * (-fg * fl) + fs[row]
+                y[:n] += y[:n] * (-fg * fl) + ws[row]
+            yield pa.record_batch([pa.array(t.ids), pa.array(base), _lists(q), _lists(y)], ["id", "baseline", "factors", "weight"])
 
     own = lambda s: state[s].toDF("id", "own_baseline", "own_factors", "own_weight")
     steps = None
     for k in range(3, iterations + 1):
         if k % 2:
             rows = ratings.select(F.col("user").alias("id"), F.col("item").alias("sender"), "rating").join(state["item"].withColumnRenamed("id", "sender"), "sender").join(own("user"), "id")
-            both = staged(rows.groupBy("id").applyInPandas(users, "id long, item long, baseline float, factors array<float>, weight array<float>, error double"), "svdpp")
+            both = staged(_by_id(rows, "sender").mapInArrow(users, step_ddl), "svdpp")
             state["user"] = both.where("item is null").select("id", "baseline", "factors", "weight")
             steps = both.where("item is not null").select(F.col("item").alias("id"), F.col("id").alias("sender"), "baseline", "factors", "weight")
             if rmse_target > 0 and (both.agg(F.sum("error")).first()[0] / n_edges) ** 0.5 < rmse_target:
                 break
         else:
-            state["item"] = staged(steps.join(own("item"), "id").groupBy("id").applyInPandas(items, state_ddl), "svdpp")
+            state["item"] = staged(_by_id(steps.join(own("item"), "id"), "sender").mapInArrow(items, state_ddl), "svdpp")
     ratings.unpersist()
     return state["user"].drop("weight"), state["item"]
 

@@ -14,9 +14,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcfold.functions.reducers import Reducer, reduce_column
 from arcfold.graph import Graph
 from arcfold.operators.aggregators import Aggregator
 from arcfold.plans.lineage import forget, staged
@@ -98,6 +99,9 @@ class VertexProgram(ABC):
     message_type = "double"
     #: What every vertex finds in its inbox at superstep 0, if anything.
     initial_message: Any = None
+    #: A reducer of messages (see functions.reducers): with one, a vertex finds one message, and a hub's mail is
+    #: combined before the shuffle.
+    combiner: Reducer | None = None
 
     def aggregators(self) -> dict[str, tuple[Aggregator, bool]]:
         """name: (reducer, persistent). A persistent one goes on from the last step's value."""
@@ -106,6 +110,12 @@ class VertexProgram(ABC):
     def master_compute(self, superstep: int, master: Master) -> None:
         """Runs on the driver before each superstep."""
 
+    def configure(self, configs: dict[str, Any]) -> None:
+        """Runs on the driver before the first superstep, with the configs of the run."""
+
+    def close(self) -> None:
+        """Runs on the driver after the last superstep, also after an error."""
+
     def pre_superstep(self, superstep: int, aggregates: Aggregates) -> None:
         """Runs once per partition."""
 
@@ -150,8 +160,10 @@ class PregelRun:
     """A run's state: CREATED, RUNNING, COMPLETED (no vertex has work, or the iterations are over), HALTED (by the
     master) or ERROR."""
 
-    def __init__(self, graph: Graph, program: VertexProgram, *, partitions: int | None = None):
+    def __init__(self, graph: Graph, program: VertexProgram, *, partitions: int | None = None, configs: dict[str, Any] | None = None):
         self.program, self.state, self.superstep, self.graph = program, "CREATED", -1, graph
+        self.configs = dict(configs or {})
+        program.configure(self.configs)
         self.registry = program.aggregators()
         self.aggregates = {n: a.zero for n, (a, _) in self.registry.items()}
         self.partitions = partitions or graph.vertices.sparkSession.sparkContext.defaultParallelism
@@ -167,8 +179,18 @@ class PregelRun:
         except BaseException:
             self.state = "ERROR"
             raise
+        finally:
+            self.program.close()
         return self
 
+    def _inbox(self) -> Column:
+        """What a vertex finds: its messages in the order of their senders, or one that the combiner makes of them."""
+        if self.program.combiner is not None:
+            one = reduce_column(self.program.combiner, F.col("msg"))
+            return F.array(F.struct(F.min("sender").alias("sender"), one.cast(self.program.message_type).alias("msg")))
+        by_sender = lambda a, b: F.when(a["sender"] < b["sender"], -1).when(a["sender"] > b["sender"], 1).otherwise(0)
+        return F.array_sort(F.collect_list(F.struct("sender", "msg")), by_sender)
+
     def _run(self, max_iterations: int | None) -> None:
         g, p = self.graph, self.program
         lists = g.edges.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("dst", "value")).alias("edges"))
@@ -191,7 +213,7 @@ class PregelRun:
             self.superstep += 1
             state = rows.withColumn("inbox", F.lit(None).cast(f"array<struct<sender:{g.types['id']},msg:{p.message_type}>>"))
             if mail is not None:
-                inbox = mail.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sender", "msg")), lambda a, b: F.when(a["sender"] < b["sender"], -1).when(a["sender"] > b["sender"], 1).otherwise(0)).alias("inbox"))
+                inbox = mail.groupBy("id").agg(self._inbox().alias("inbox"))
                 state = rows.join(inbox, "id", "left")
             state = state.repartition(self.partitions, "id").sortWithinPartitions("id")
             done = staged(state.mapInPandas(_stepper(p, self.registry, dict(self.aggregates), self.superstep), self.out), "pregel")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from arcfold.graph import Graph
 from arcfold.operators import basic, components, factorization, ranking, traversal
-from arcfold.plans.lineage import shared_dir
+from arcfold.operators.pregel import PregelRun, VertexProgram
+from arcfold.plans.lineage import forget, shared_dir, written
 from arcfold.sources import text
 
 
@@ -79,7 +80,9 @@ class Run:
     algorithm: str
     graph: Graph
     configs: dict[str, Any]
+    program: VertexProgram | None = None
     state: str = "CREATED"
+    superstep: int = -1
     running_time: float = 0.0
     table: DataFrame | None = None
     aggregates: dict[str, str] = field(default_factory=dict)
@@ -104,10 +107,18 @@ class Service:
     def prepare(self, name: str, partitions: int = 50) -> Graph:
         """The graph with vertices and out-edges dealt alike by id, and kept so."""
         g = self.graphs[name]
-        self.graphs[name] = Graph(g.vertices.repartition(partitions, "id").persist(), g.edges.repartition(partitions, "src").persist())
+        dealt = g.dealt(partitions)
+        self.graphs[name] = Graph(dealt.vertices.persist(), dealt.edges.persist())
         return self.graphs[name]
 
-    def create(self, algorithm: str, graph: str, configs: dict[str, Any] | None = None) -> str:
+    def create(self, algorithm: str | VertexProgram, graph: str, configs: dict[str, Any] | None = None) -> str:
+        """A run of an algorithm by its name, or of a vertex program."""
+        if isinstance(algorithm, VertexProgram):
+            if graph not in self.graphs:
+                raise BadRequest(f"unknown graph {graph}")
+            run_id = uuid.uuid4().hex[:8]
+            self.runs[run_id] = Run(type(algorithm).__name__, self.graphs[graph], dict(configs or {}), algorithm)
+            return run_id
         if algorithm not in ALGORITHMS:
             raise BadRequest(f"unknown algorithm {algorithm}")
         if graph not in self.graphs:
@@ -124,10 +135,22 @@ class Service:
         r = self._get(run_id)
         r.state, began = "RUNNING", time.time()
         try:
-            table = ALGORITHMS[r.algorithm](r.graph, r.configs, iterations)
+            if r.program:
+                steps = PregelRun(r.graph, r.program, configs=r.configs)
+                try:
+                    table, end = steps.run(iterations).result(), steps.state
+                finally:
+                    r.superstep, r.aggregates = steps.superstep, {k: str(v) for k, v in steps.aggregates.items()}
+            else:
+                # Closed forms write a table a step; these are counted.
+                with written() as names:
+                    table, end = ALGORITHMS[r.algorithm](r.graph, r.configs, iterations), "COMPLETED"
+                r.superstep = max((names.count(n) for n in set(names)), default=1) - 1
             path = f"{shared_dir(self.spark)}/run-{run_id}-{uuid.uuid4().hex}"
             table.write.parquet(path)
-            r.table, r.state = self.spark.read.schema(table.schema).parquet(path), "COMPLETED"
+            forget(*([r.table] if r.table is not None else []))
+            r.table, r.state = self.spark.read.schema(table.schema).parquet(path), end
+            r.table._arcfold_path = path
         except BaseException:
             r.state = "ERROR"
             raise
@@ -136,8 +159,9 @@ class Service:
         return self.status(run_id)
 
     def status(self, run_id: str) -> dict:
+        """superstep is the last one, from 0 (-1 before the run); aggregates are those of a vertex program."""
         r = self._get(run_id)
-        return {"id": run_id, "algorithm": r.algorithm, "state": r.state, "runningTime": r.running_time, "aggregates": dict(r.aggregates)}
+        return {"id": run_id, "algorithm": r.algorithm, "state": r.state, "superstep": r.superstep, "runningTime": r.running_time, "aggregates": dict(r.aggregates)}
 
     def configs(self, run_id: str) -> dict:
         return dict(self._get(run_id).configs)
@@ -152,6 +176,10 @@ class Service:
         return out if key is None else out.where(F.col("key") == key)
 
     def delete(self, run_id: str) -> None:
+        """Forgets a run and removes its table."""
+        r = self._get(run_id)
+        if r.table is not None:
+            forget(r.table)
         del self.runs[run_id]
 
     def health(self) -> dict[str, str]:

@@ -57,5 +57,28 @@ def sorted_rows(table: DataFrame, key: str = "id") -> list:
     return table.orderBy(key).collect()
 
 
-#: Settings that a reader of logs starts from; a session may override each.
-SESSION = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+def map_from_table(table: DataFrame, key: str = "id", value: str = "value") -> dict:
+    """The rows of a small table as a dictionary in key order; structs become dictionaries, and maps are sorted."""
+
+    def plain(x):
+        if hasattr(x, "asDict"):
+            return {k: plain(v) for k, v in x.asDict().items()}
+        return dict(sorted((k, plain(v)) for k, v in x.items())) if isinstance(x, dict) else x
+
+    def hashable(x):
+        return tuple(x) if hasattr(x, "asDict") else x
+
+    return {hashable(r[key]): plain(r[value]) for r in sorted_rows(table.select(key, value), key)}
+
+
+#: Settings that a session that reads logs starts from; its own win.
+SESSION = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def session(**own: str) -> SparkSession:
+    """A session with SESSION's settings, each of which `own` may override."""
+    return SparkSession.builder.config(map=SESSION | own).getOrCreate()

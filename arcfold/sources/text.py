@@ -54,6 +54,23 @@ def parse_rating_id(c: Column) -> Column:
     return F.struct(part(2).cast("tinyint").alias("type"), part(1).cast("long").alias("id"))
 
 
+def _line(*columns: str) -> Column:
+    """Columns with blanks between; a null at the end leaves no blank."""
+    return F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value")
+
+
 def write_vertices(vertices: DataFrame, path: str) -> None:
-    """Lines of id, a blank and value."""
-    vertices.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("value").cast("string"))).write.text(path)
+    """Lines of id, a blank and value; the id alone where the value is null, which reads back as null."""
+    vertices.select(_line("id", "value")).write.text(path)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Lines of src, dst and value."""
+    edges.select(_line("src", "dst", "value")).write.text(path)
+
+
+def preset(name: str) -> tuple[str, str]:
+    """The (id, value) parsers of a ready-made importer."""
+    if name not in PRESETS:
+        raise ValueError(f"no importer {name}; there are {', '.join(sorted(PRESETS))}")
+    return PRESETS[name]

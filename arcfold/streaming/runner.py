@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from arcfold.plans.lineage import shared_dir
 
@@ -30,21 +30,33 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 class Fold:
     """A state table folded over the batches of a stream: state := merge(state, batch). Each batch's state is a table
-    of its own, made from the one before, so a repeated batch gives the same again."""
+    of its own in `path`, made from the one before, so a repeated batch gives the same again, and a run that is started
+    again in the same path goes on from there. Only the last two states are kept."""
 
-    def __init__(self, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-        self.merge, self.state, self._path, self._epochs = merge, None, "", {}
+    def __init__(self, merge: Callable[[DataFrame | None, DataFrame], DataFrame], path: str | None = None):
+        self.merge, self.path = merge, path
+
+    def _folder(self, spark: SparkSession, epoch: int):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state-{epoch}")
+        return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(self, spark: SparkSession, epoch: int) -> DataFrame | None:
+        """The state after a batch, if that is there."""
+        p, files = self._folder(spark, epoch)
+        return spark.read.parquet(str(p)) if epoch >= 0 and files.exists(p) else None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = self._epochs.get(epoch - 1, self.state if epoch not in self._epochs else None)
-        out = self.merge(before, batch)
-        out.write.mode("overwrite").parquet(f"{self._path}/state-{epoch}")
-        self._epochs[epoch] = self.state = spark.read.schema(out.schema).parquet(f"{self._path}/state-{epoch}")
+        self.merge(self.read(spark, epoch - 1), batch).write.mode("overwrite").parquet(f"{self.path}/state-{epoch}")
+        p, files = self._folder(spark, epoch - 2)
+        files.delete(p, True)
 
     def run(self, stream: DataFrame) -> DataFrame | None:
         """The state once all present input is read; None if there was none."""
-        self._path = f"{shared_dir(stream.sparkSession)}/fold-{uuid.uuid4().hex}"
-        query = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self._path}/log").trigger(availableNow=True)
+        spark = stream.sparkSession
+        self.path = self.path or f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
+        query = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.path}/log").trigger(availableNow=True)
         query.start().awaitTermination()
-        return self.state
+        p, files = self._folder(spark, 0)
+        done = [int(f.getPath().getName()[6:]) for f in files.listStatus(p.getParent()) if f.getPath().getName().startswith("state-")] if files.exists(p.getParent()) else []
+        return self.read(spark, max(done)) if done else None

@@ -39,9 +39,10 @@ class Summary:
             state = staged(self.merge(None if self.transient else state, dealt.where(F.col("_w") == F.lit(w)).drop("_w")), "summary")
         return self.transform(state)
 
-    def run(self, stream: EdgeStream) -> DataFrame | None:
-        """The result once all present input of a stream is read."""
-        fold = Fold((lambda _, b: self.merge(None, b)) if self.transient else self.merge)
+    def run(self, stream: EdgeStream, path: str | None = None) -> DataFrame | None:
+        """The result once all present input of a stream is read. With a path (a folder that all executors see) the
+        state outlives the session: a later run over the same stream goes on from there."""
+        fold = Fold((lambda _, b: self.merge(None, b)) if self.transient else self.merge, path)
         state = fold.run(stream.edges)
         return None if state is None else self.transform(state)
 

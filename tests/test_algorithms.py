@@ -1,12 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arcfold.graph import Graph
 from arcfold.operators import basic, clustering, components, factorization, matching, ranking, traversal
 from arcfold.operators.aggregators import LONG_SUM
-from arcfold.operators.pregel import VertexProgram, pregel
+from arcfold.operators.pregel import PregelRun, VertexProgram, pregel
 from arcfold.sources import generators
 from tests.graphs import CHAIN, E7, LCC7, RATINGS20_HEAD, TWO_CHAINS, both, edges, graph, pairs
 
@@ -181,3 +182,78 @@ def test_vertex_programs(spark):
     assert sorted(tuple(r) for r in run.edges().collect()) == [(1, 2, 1), (2, 1, 9), (3, 2, 9)]
     assert pairs(run.result()) == {1: 1, 2: 1, 3: 1}
     assert pregel(graph(spark, TWO_CHAINS, "long"), Hooks(), 0).superstep == 0
+
+
+class Least(Edits):
+    """The least id that reaches a vertex, with combined mail."""
+
+    initial_message, combiner = None, "min"
+    configured, closed = None, 0
+
+    def configure(self, configs):
+        self.configured = configs
+
+    def close(self):
+        self.closed += 1
+
+    def compute(self, superstep, vertex, messages):
+        assert len(messages) <= 1
+        best = min([vertex.value, *messages])
+        if superstep == 0 or best < vertex.value:
+            vertex.set_value(best)
+            for t in vertex.edges:
+                vertex.send(t, best)
+        vertex.vote_to_halt()
+
+
+def test_combined_mail_and_lifecycle(spark):
+    program = Least()
+    rows = [(i, 0, 1) for i in range(1, 40)] + [(0, i, 1) for i in range(40, 60)]
+    run = PregelRun(graph(spark, rows, "long"), program, configs={"a": 1}).run()
+    assert pairs(run.result()) == {i: (i if 0 < i < 40 else 0) for i in range(60)}
+    assert (program.configured, program.closed) == ({"a": 1}, 1)
+
+
+def test_hubs_make_few_wedges(spark):
+    n = 100_000
+    leaves = spark.range(1, n + 1)
+    e = leaves.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(leaves.select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))
+    g = Graph.from_edges(e.withColumn("value", F.lit(0.0)))
+    assert basic.jaccard(g).agg(F.max("value"), F.count("*")).first() == (0.0, 2 * n)
+    assert basic.adamic_adar(g)[1].agg(F.max("value"), F.count("*")).first() == (0.0, 2 * n)
+    assert basic.clustering_coefficient(g).agg(F.max("value"), F.count("*")).first() == (0.0, n + 1)
+
+
+def test_similarities_against_brute_force(spark):
+    import random
+    from itertools import product
+    from math import log
+
+    r = random.Random(4)
+    e = sorted({(r.randrange(14), r.randrange(14)) for _ in range(60)})
+    g = graph(spark, [(a, b, 2.0) for a, b in e])
+    out, back = ({i: {y for x, y in es if x == i} for i in range(14)} for es in (e, [(b, a) for a, b in e]))
+    near = {i: out[i] | back[i] for i in range(14)}
+    ids = {i for p in e for i in p}
+    want = {i: (sum((b, z) in e for b, z in product(near[i], near[i])) / len(near[i]) / (len(near[i]) - 1) if len(near[i]) > 1 else 0.0) for i in ids}
+    close(pairs(basic.clustering_coefficient(g)), want, 9)
+    got = {(x["src"], x["dst"]): x["value"] for x in basic.jaccard(g).collect()}
+    close(got, {(a, b): len(out[a] & out[b]) / len(out[a] | out[b]) if (b, a) in e else 2.0 for a, b in e}, 9)
+    got = {(x["src"], x["dst"]): x["value"] for x in basic.adamic_adar(g)[1].collect()}
+    close(got, {(a, b): 2.0 + sum(log(1 / len(out[z])) for z in back[a] & back[b]) for a, b in e}, 9)
+
+
+def test_vertices_of_many_sizes_go_on_together(spark, monkeypatch):
+    import random
+
+    r = random.Random(7)
+    rows = sorted({(int(r.paretovariate(0.7)) % 9, r.randrange(12)) for _ in range(80)})
+    rows = [(u, i, float(r.randrange(1, 6))) for u, i in rows]
+    users, _ = factorization.sgd(ratings(spark, rows), dim=3, iterations=3, seed=1)
+    start = np.array(factorization._start(1, 3)(0), np.float32)
+    for u, got in vectors(users).items():
+        value = start.copy()
+        for _, _, seen in sorted(x for x in rows if x[0] == u):
+            err = np.float32(min(max(value @ start, 0.0), 5.0)) - np.float32(seen)
+            value = value + (value * np.float32(0.01) + start * err) * np.float32(-0.005)
+        assert got == pytest.approx(value.tolist(), abs=1e-7)

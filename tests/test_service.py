@@ -16,7 +16,11 @@ def test_import_prepare_run_result(spark, tmp_path):
     assert s.run(run)["state"] == "COMPLETED"
     assert {r["key"]: r["value"] for r in s.result(run).collect()} == {str(i): "0" if i < 10 else "10" for i in range(21)}
     assert [tuple(r) for r in s.result(run, "12").collect()] == [("12", "10")]
+    assert s.status(run)["superstep"] >= 1
+    table = s.runs[run].table
     s.delete(run)
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        table.collect()
     with pytest.raises(KeyError):
         s.status(run)
     assert s.health()["sharedFolder"] == "UP"
@@ -46,6 +50,13 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "e").write_text("1 2 5\n")
     main(["import", "-ef", str(tmp_path / "e"), "-et", str(tmp_path / "edges"), "-np", "1"])
     assert spark.read.parquet(str(tmp_path / "edges")).collect() == [(1, 2, 5)]
+    (tmp_path / "r").write_text("3 4 2.5\n")
+    main(["import", "-rf", str(tmp_path / "r"), "-et", str(tmp_path / "ratings"), "-np", "1"])
+    assert [tuple(map(tuple, r[:2])) + r[2:] for r in spark.read.parquet(str(tmp_path / "ratings")).collect()] == [((0, 3), (1, 4), 2.5)]
+    with pytest.raises(SystemExit):
+        main(["import", "-et", str(tmp_path / "none")])
+    main(["import", "-ef", str(tmp_path / "e"), "-et", str(tmp_path / "typed"), "-p", "long_double", "-np", "1"])
+    assert spark.read.parquet(str(tmp_path / "typed")).dtypes[2] == ("value", "double")
 
 
 def test_entry_and_oracles(spark):
