@@ -17,11 +17,12 @@ Documents are sets of word shingles. Those with equal sets form a class, by a 12
    central one of all its groups' centers, and exact sizes of intersections decide: near copies become one component
    in linear time. Only where a group still has several components, and members that met different centers, do they
    meet the group's own center too. Two documents of a group thus have the same component or a center in common.
-5. Two documents that did not both link to their common center may still link to one another. Beside a center a
-   document is its difference from it: the shingles it has beyond it, and those it lacks of it. What two documents
-   share follows from what their differences share, and so does how much that must be (see `signatures`): differences
-   are joined just as sets are, by the same prefixes and bands, with their own star first. Only documents that are
-   still in different components meet in pairs then.
+5. Two documents that did not both link to their common center may still link to one another. What most members of
+   a center have is their core, and a member is its difference from the core: the shingles it has beyond it, and
+   those it lacks of it. What two documents share follows from what their differences share, and so does how much
+   that must be (see `signatures`): differences are joined just as sets are, by the same prefixes and bands, with
+   their own star first. Those so light that they link without a token in common meet the lightest of them. Only
+   documents that are still in different components meet in pairs then.
 
 Every pair of documents over the threshold is either found by 4 or 5 or lies within one component by then.
 
@@ -345,15 +346,12 @@ def _sign(num: int, den: int):
     return run
 
 
-MET = (
-    "lead long, key long, a long, b long, weight long, band long, gap long, central long, linked boolean, rare long, "
-    "tokens binary"
-)
+MET = "lead long, key long, a long, b long, weight long, gap long, linked boolean, rare long, outs long, tokens binary"
 
 
 def _verify(num: int, den: int):
-    """Exact differences of documents from their centers: the core is what the center has that others have too, and
-    `central` is the weight of the center's own shingles, its difference from that core."""
+    """Exact differences of documents from what their center has that others have too: first the `outs` tokens beyond
+    that, then those that a document lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,9 +369,10 @@ def _verify(num: int, den: int):
                 shared = int(both.sum())
                 weight, gap, central = den * (len(core) - shared) + num * (n - shared), (den - num) * len(core), num * own
                 rest = np.concatenate([t[~both], core[~has]])
-                out.append((weight, _band(weight), gap, central, weight + central <= gap, int((~both[:rare]).sum()), rest.tobytes()))
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+                # The center's own shingles are its difference from the core.
+                out.append((weight, gap, weight + central <= gap, int((~both[:rare]).sum()), len(t) - shared, rest.tobytes()))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             keep = [batch.column(c) for c in ("lead", "key", "a", "b")]
             new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.record_batch([*keep, *new], [f.split()[0] for f in MET.split(", ")])
@@ -394,6 +393,49 @@ def _meet(pairs: DataFrame, cands: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("lead", "key", "a", "b", "own_a", "n", "rare", "ta", "tb").mapInArrow(_verify(num, den), MET)
 
 
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, token, lack) of every token of the differences."""
+    for batch in batches:
+        raw = [np.frombuffer(r, np.int64) for r in batch.column("tokens").to_pylist()]
+        outs = batch.column("outs").to_numpy(zero_copy_only=False)
+        size = np.array([len(r) for r in raw], np.int64)
+        lead = batch.column("lead").take(pa.array(np.repeat(np.arange(len(raw)), size)))
+        place = textkit.expand(np.zeros(len(raw), np.int64), size)
+        every = np.concatenate([np.zeros(0, np.int64), *raw])
+        yield pa.record_batch([lead, pa.array(every), pa.array(place >= np.repeat(outs, size))], ["lead", "token", "lack"])
+
+
+MEMBERS = "lead long, key long, b long, component long, linked boolean, weight long, band long, gap long, rare long, tokens binary"
+
+
+def _recentered(num: int, den: int):
+    """Differences from the core: tokens in which most members differ from the center change sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = ("lead", "key", "b", "component", "linked")
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("weight", "gap", "rare", "outs", "tokens", "join", "leave"))
+            for weight, gap, rare, outs, raw, join, leave in zip(*columns, strict=True):
+                t = np.frombuffer(raw, np.uint64)
+                o, lacks = t[:outs], t[outs:]
+                own = weight - den * len(lacks) - num * outs
+                join, leave = (np.array(x or [], np.int64).view(np.uint64) for x in (join, leave))
+                old_o, old_l = ~np.isin(o, join), ~np.isin(lacks, leave)
+                more_l, more_o = join[~np.isin(join, o)], leave[~np.isin(leave, lacks)]
+                # Tokens that changed sides come last, in one order for all.
+                tokens = np.concatenate([o[old_o], lacks[old_l], np.sort(np.concatenate([more_l, more_o]))])
+                weight = own + num * (int(old_o.sum()) + len(more_o)) + den * (int(old_l.sum()) + len(more_l))
+                gap += (den - num) * (len(join) - len(leave))
+                out.append((weight, _band(weight), gap, int(old_o[:rare].sum()), tokens.tobytes()))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.record_batch([*(batch.column(c) for c in keep), *new], [f.split()[0] for f in MEMBERS.split(", ")])
+
+    return run
+
+
 TERMS = "sig long, lead long, key long, weight long, gap long, room long, component long"
 
 
@@ -403,25 +445,23 @@ def _sign_differences(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, room = [np.zeros(0, np.uint64)], []
-            columns = ("lead", "weight", "gap", "central", "linked", "rare", "tokens", "near", "far")
+            sigs, count, room = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
+            columns = ("lead", "weight", "gap", "linked", "rare", "tokens", "near", "far")
             rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
-            for lead, weight, gap, central, linked, rare, raw, near, far in rows:
+            for lead, weight, gap, linked, rare, raw, near, far in rows:
                 tokens = np.frombuffer(raw, np.uint64)
                 salt = int(textkit.mix(np.array([lead], np.int64).view(np.uint64))[0])
-                # Those linked to the center are one component: their partners did not link to it. Others that weigh
-                # too little to need a token in common all meet under one signature.
-                low = gap - (central if linked else weight) + 1
+                # Those linked to the center are one component already.
                 bands = set(far) if linked else {*near, *far}
-                own = [signatures(weight, gap, low, tokens, rare, num, den, unit=(num + den) / 2, salt=salt, bands=bands)]
-                if weight <= gap and central:
-                    own.append(np.array([salt], np.uint64))
-                sigs += own
-                room.append(sum(map(len, own)))
-            of = np.repeat(np.arange(batch.num_rows), room)
-            size = [len(x) // 8 for x in batch.column("tokens").to_pylist()]
-            base = [batch.column(c).take(pa.array(of)) for c in ("lead", "key", "weight", "gap")]
-            tail = [pa.array(np.array(size, np.int64)[of]), batch.column("component").take(pa.array(of))]
+                own = signatures(weight, gap, gap - weight + 1, tokens, rare, num, den, unit=(num + den) / 2, salt=salt, bands=bands)
+                # Pairs that need no token in common meet under one signature, where none is counted on.
+                light = np.array([salt] if weight <= gap else [], np.uint64)
+                sigs += [own, light]
+                room += [np.full(len(own), len(tokens)), np.zeros(len(light), np.int64)]
+                count.append(len(own) + len(light))
+            of = pa.array(np.repeat(np.arange(batch.num_rows), count))
+            base = [batch.column(c).take(of) for c in ("lead", "key", "weight", "gap")]
+            tail = [pa.array(np.concatenate(room)), batch.column("component").take(of)]
             yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), *base, *tail], names)
 
     return run
@@ -493,18 +533,23 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = _joined(found, more.where("linked").select("a", "b"))
     runtime.forget(grouped)
 
-    # Differences from common centers, where these leave several components.
+    # Differences from common centers, where these leave several components, and then from what most members have.
     met = met.unionByName(more)
-    member = _with_component(met.select("lead", "key", "b", "linked", "band"), "b", found).drop("b")
-    member = runtime.staged(member, "members")
+    member = runtime.staged(_with_component(met.select("lead", "key", "b"), "b", found).drop("b"), "members")
+    mixed = member.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    mixed = runtime.staged(mixed.select("lead", "members"), "mixed")
+    member = runtime.swept(_merge(met, _merge(member, mixed, "lead"), ["lead", "key"]), "differences")
+    runtime.forget(more)
+    counted = member.select("lead", "outs", "tokens").mapInArrow(_token_rows, "lead long, token long, lack boolean")
+    counted = runtime.staged(counted.groupBy("lead", "token", "lack").agg(F.count("*").alias("n")).where("n > 1"), "token-counts")
+    most = _merge(counted, mixed, "lead").where("2 * n > members").groupBy("lead")
+    most = most.agg(*(F.collect_list(F.when(c, F.col("token"))).alias(n) for n, c in (("join", ~F.col("lack")), ("leave", F.col("lack")))))
+    member = _merge(member, runtime.staged(most, "cores"), "lead", "left").mapInArrow(_recentered(num, den), MEMBERS)
+    member = runtime.swept(member, "differences")
     # The bands of a center's members, linked to it or not: as many at most as there are bands.
     bands = [F.collect_set(F.when(c, F.col("band"))).alias(n) for n, c in (("near", F.col("linked")), ("far", ~F.col("linked")))]
-    mixed = member.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *bands)
-    mixed = runtime.staged(mixed.where("lo <> hi").select("lead", "near", "far"), "mixed")
-    member = _merge(member.drop("linked", "band"), mixed, "lead")
-    member = runtime.swept(_merge(met, member, ["lead", "key"]), "differences")
-    runtime.forget(more)
-    terms = runtime.staged(member.mapInArrow(_sign_differences(num, den), TERMS), "terms")
+    bands = runtime.staged(member.groupBy("lead").agg(*bands), "bands")
+    terms = runtime.staged(_merge(member, bands, "lead").mapInArrow(_sign_differences(num, den), TERMS), "terms")
     # The center of a group is its lightest member; the group's others meet it first.
     center = F.min(F.struct("weight", "key")).getField("key").alias("center")
     groups = terms.groupBy("sig").agg(center, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
