@@ -1,17 +1,22 @@
 """Line dedup by sharded minimal perfect hashing.
 
-1. Every task hashes its lines (128 bits) and pre-aggregates (documents, largest id) per key; one shuffle of
-   28-byte rows adds them up. Keys of at least `min_docs` documents stay: no other key can drop a line.
-2. The distinct hashes are dealt to shards of about `SHARD_KEYS` keys, and each shard becomes one row: a minimal
-   perfect hash function, and arrays of fingerprints, counts and largest ids in its order.
-3. Documents probe the arrays. Arrays of at most `broadcast_bytes` in all travel with the tasks; beyond that the
-   probes of each batch travel to the shards instead, as packed rows that meet a shard's one row.
+1. Every task hashes its lines (128 bits) and pre-aggregates (documents, largest id) per key; one shuffle of 32-byte
+   rows adds them up.
+2. All distinct hashes are dealt to shards of about `SHARD_KEYS` keys, and each shard becomes one row: a minimal
+   perfect hash function, and arrays of 32-bit fingerprints, 16-bit counts (as far as these go) and largest ids in
+   its order. The most frequent keys form a shard of their own, which travels with the tasks: those that at least one
+   in `hot_keys` of all incidences has, so there are `hot_keys` of them at most. So no other shard is probed by very
+   many lines of one key.
+3. Documents probe the arrays: what the shard of frequent keys does not know travels to its own shard, as packed rows
+   of a batch's probes. The count that a probe finds decides, and the numbers of dropped lines come back.
 
 Lines are split at "\\n". A key is the line without `[\\x20\\x09-\\x0D]` at both ends and with A-Z in lower case.
 Defined results: a null or empty text is one empty line and comes back as ""; keys shorter than `min_chars` code
 points stay; each row counts as a document, so repeated rows count again, and all rows of the largest id keep the
-line; a text whose lines all go becomes ""; an empty table gives an empty table; input columns named like the
-added ones are replaced; a row with a null id keeps all its lines and is not counted.
+line; rows that share an id but not their text are told apart by a hash of it; a text whose lines all go becomes "";
+an empty table gives an empty table; input columns named like the added ones are replaced, and _nos, _key, row_id and
+row_key are names of the operator's own: such columns don't come back; a row with a null id keeps all its lines and
+is not counted; ids are integers.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from arcfold.llm import runtime, textkit
 from arcfold.llm.textkit import U64
 
 SHARD_KEYS = 200_000
+#: Counts of the arrays go up to here.
+MOST_COUNT = (1 << 16) - 1
 #: Distinct keys a task holds before it hands over what it has added up.
 HELD_KEYS = 500_000
 
@@ -91,16 +98,16 @@ class Shard:
 
     def __init__(self, row: dict):
         self.mph = PerfectHash.load(row["mph"])
-        self.fingerprints = np.frombuffer(row["fingerprints"], np.uint64)
-        self.counts = np.frombuffer(row["counts"], np.int64)
+        self.fingerprints = np.frombuffer(row["fingerprints"], np.uint32)
+        self.counts = np.frombuffer(row["counts"], np.uint16)
         self.largest = np.frombuffer(row["largest"], np.int64)
 
-    def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which probes are keys, and the largest id of each that is."""
+    def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which probes are keys, and the count and largest id of each that is."""
         at = self.mph.index(h1)
         known = at >= 0
-        known[known] = self.fingerprints[at[known]] == h2[known]
-        return known, self.largest[at[known]]
+        known[known] = self.fingerprints[at[known]] == h2[known].astype(np.uint32)
+        return known, self.counts[at[known]], self.largest[at[known]]
 
 
 def lines(batch: pa.RecordBatch, text: str, min_chars: int) -> dict[str, np.ndarray]:
@@ -175,10 +182,13 @@ def _count(id_col: str, text_col: str, min_chars: int):
     return run
 
 
-def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(h1, h2, n, top) of each line key found in at least min_docs documents."""
+def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40) -> DataFrame:
+    """(h1, h2, n, top) of each line key: in how many documents it is, and the largest id of these."""
     part = docs.select(id_col, text_col).mapInArrow(_count(id_col, text_col, min_chars), "h1 long, h2 long, n long, top long")
-    return part.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs)
+    return part.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+
+
+ARRAYS = ("mph", "fingerprints", "counts", "largest")
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -189,8 +199,10 @@ def _build(table: pa.Table) -> pa.Table:
     mph = PerfectHash(h1[order])
     put = np.empty(len(order), np.int64)
     put[mph.index(h1[order])] = order
-    cell = lambda name: table[name].to_numpy()[put].tobytes()
-    return pa.table({"shard": table["shard"][:1], "mph": [mph.dump()], "fingerprints": [cell("h2")], "counts": [cell("n")], "largest": [cell("top")]}, schema=pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("mph", "fingerprints", "counts", "largest"))]))
+    h2, n, top = (table[c].to_numpy()[put] for c in ("h2", "n", "top"))
+    cells = [mph.dump(), h2.astype(np.uint32).tobytes(), np.minimum(n, MOST_COUNT).astype(np.uint16).tobytes(), top.tobytes()]
+    schema = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ARRAYS)])
+    return pa.table({"shard": table["shard"][:1]} | {n: [c] for n, c in zip(ARRAYS, cells, strict=True)}, schema=schema)
 
 
 def line_index(counts: DataFrame, shards: int) -> DataFrame:
@@ -217,35 +229,21 @@ def _rewrite(batch: pa.RecordBatch, text_col: str, x: dict[str, np.ndarray], dro
         else:
             keep = np.flatnonzero(~drop[first[i] : first[i + 1]]) + first[i]
             texts.append(b"\n".join([raw[a:b] for a, b in zip(x["start"][keep].tolist(), x["end"][keep].tolist(), strict=True)]))
-    kept = pa.array(texts, pa.binary()).cast(pa.string())
-    return pa.record_batch([kept if c == text_col else pa.array(n_lines) if c == "n_lines" else pa.array(n_dropped) if c == "n_dropped" else batch.column(c) for c in names], names)
-
+    new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines), "n_dropped": pa.array(n_dropped)}
+    return pa.record_batch([new[c] if c in new else batch.column(c) for c in names], names)
 
-def _probe_local(shards_bc, shards: int, id_col: str, text_col: str, min_chars: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = {k: Shard(v) for k, v in shards_bc.value.items()}
-        for batch in textkit.chunks(batches, text_col):
-            x = lines(batch, text_col, min_chars)
-            ids, known = _ids(batch, id_col)
-            mine = ids[x["row"][x["long"]]]
-            drop = np.zeros(len(x["row"]), bool)
-            shard = _shard_of(x["h1"], shards)
-            for k, a in arrays.items():
-                at = np.flatnonzero(shard == k)
-                hit, top = a.probe(x["h1"][at], x["h2"][at])
-                at = at[hit]
-                drop[x["long"][at[top != mine[at]]]] = True
-            drop &= known[x["row"]]
-            yield _rewrite(batch, text_col, x, drop, names)
 
-    return run
+PROBES = ("ids", "keys", "nos", "p1", "p2")
+#: Rows of both kinds: a shard's arrays (kind 0), and a batch's probes of that shard.
+DEALT = "shard int, kind int, " + ", ".join(f"{n} binary" for n in (*ARRAYS, *PROBES))
 
 
-def _probe_rows(shards: int, id_col: str, text_col: str, min_chars: int):
+def _probes(hot_bc, shards: int, id_col: str, text_col: str, min_chars: int):
     """Packed probes: a row per batch and shard. A row of docs is known by its id and the hash of its text, _key."""
-    schema = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "nos", "p1", "p2"))])
+    schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in (*ARRAYS, *PROBES))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Shard(hot_bc.value) if hot_bc.value else None
         for batch in textkit.chunks(batches, text_col, 4 * textkit.CHUNK):
             x = lines(batch, text_col, min_chars)
             ids, known = _ids(batch, id_col)
@@ -253,34 +251,57 @@ def _probe_rows(shards: int, id_col: str, text_col: str, min_chars: int):
             row = x["row"][x["long"]]
             no = x["long"] - np.searchsorted(x["row"], row)
             shard = _shard_of(x["h1"], shards)
+            asks = known[row] & ~(hot.probe(x["h1"], x["h2"])[0] if hot else np.zeros(len(row), bool))
             order = np.argsort(shard, kind="stable")
-            order = order[known[row[order]]]
+            order = order[asks[order]]
             cut = textkit.runs(shard[order])
             rows = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array([int(shard[r[0]]) for r in rows], pa.int32()), *(pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in (ids[row], keys[row], no.astype(np.int64), x["h1"], x["h2"]))], schema=schema)
+            packed = (ids[row], keys[row], no.astype(np.int64), x["h1"], x["h2"].astype(np.uint32))
+            out = [pa.array([int(shard[r[0]]) for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32())]
+            out += [pa.nulls(len(rows), pa.binary()) for _ in ARRAYS]
+            out += [pa.array([v[r].tobytes() for r in rows], pa.binary()) for v in packed]
+            yield pa.record_batch(out, schema=schema)
 
     return run
 
 
-def _probe_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row id, key of its text, numbers of its dropped lines) from packed probes beside their shard's arrays."""
+def _answers(min_docs: int):
+    """(row id, key of its text, numbers of its dropped lines) from a shard's arrays and the probes behind them."""
     schema = pa.schema([("row_id", pa.int64()), ("row_key", pa.int64()), ("nos", pa.list_(pa.int64()))])
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, keys, nos = (np.frombuffer(r[n], np.int64) for n in ("ids", "keys", "nos"))
-            hit, top = Shard(r).probe(np.frombuffer(r["p1"], np.uint64), np.frombuffer(r["p2"], np.uint64))
-            at = np.flatnonzero(hit)[top != ids[hit]]
-            cut = np.union1d(textkit.runs(ids[at]), textkit.runs(keys[at]))
-            first = at[cut[:-1]]
-            yield pa.record_batch([pa.array(ids[first]), pa.array(keys[first]), pa.array([nos[at[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if not r["kind"]:
+                    now, shard = r["shard"], Shard(r)
+                    continue
+                if r["shard"] != now:  # no key of this shard has been counted
+                    continue
+                ids, keys, nos = (np.frombuffer(r[n], np.int64) for n in ("ids", "keys", "nos"))
+                hit, n, top = shard.probe(np.frombuffer(r["p1"], np.uint64), np.frombuffer(r["p2"], np.uint32))
+                at = np.flatnonzero(hit)[(n >= min_docs) & (top != ids[hit])]
+                cut = np.union1d(textkit.runs(ids[at]), textkit.runs(keys[at]))
+                first = at[cut[:-1]]
+                gone = pa.array([nos[at[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(ids[first]), pa.array(keys[first]), gone], schema=schema)
+
+    return run
 
-def _cut(text_col: str, min_chars: int, names: list[str]):
+
+def _cut(hot_bc, id_col: str, text_col: str, min_chars: int, min_docs: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Shard(hot_bc.value) if hot_bc.value else None
         for batch in textkit.chunks(batches, text_col):
             x = lines(batch, text_col, min_chars)
-            first = np.searchsorted(x["row"], np.arange(batch.num_rows))
+            ids, known = _ids(batch, id_col)
             drop = np.zeros(len(x["row"]), bool)
+            if hot:
+                row = x["row"][x["long"]]
+                hit, n, top = hot.probe(x["h1"], x["h2"])
+                at = np.flatnonzero(hit)
+                drop[x["long"][at[(n >= min_docs) & (top != ids[row[at]]) & known[row[at]]]]] = True
+            first = np.searchsorted(x["row"], np.arange(batch.num_rows))
             for i, nos in enumerate(batch.column("_nos").to_pylist()):
                 drop[[first[i] + k for k in nos or ()]] = True
             yield _rewrite(batch, text_col, x, drop, names)
@@ -288,23 +309,29 @@ def _cut(text_col: str, min_chars: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, hot_keys: int = 65_536) -> DataFrame:
     """docs without its frequent lines, which stay in the largest id alone: text_col holds the kept lines, n_lines
     and n_dropped are added."""
+    if not 0 < min_docs <= MOST_COUNT:
+        raise ValueError(f"min_docs is 1 to {MOST_COUNT}")
     spark = docs.sparkSession
-    docs = runtime.without(docs, "n_lines", "n_dropped")
-    counts = runtime.swept(line_counts(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs), "line-counts")
-    shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
-    index = line_index(counts, shards)
+    docs = runtime.without(docs, "n_lines", "n_dropped", "_nos", "_key", "row_id", "row_key")
+    counts = runtime.swept(line_counts(docs, id_col, text_col, min_chars=min_chars), "line-counts")
+    keys, incidences = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = max(min_docs, incidences // hot_keys + 1)
+    row = next(iter(line_index(counts.where(F.col("n") >= least), 1).drop("shard").collect()), None)
+    hot = spark.sparkContext.broadcast(row and row.asDict())
+    shards = max(1, math.ceil(keys / SHARD_KEYS))
+    index = line_index(counts.where(F.col("n") < least), shards).withColumn("kind", F.lit(0))
+    index = index.select("shard", "kind", *ARRAYS, *(F.lit(None).cast("binary").alias(n) for n in PROBES))
+    probes = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_key")).mapInArrow(_probes(hot, shards, id_col, text_col, min_chars), DEALT)
+    dealt = index.unionByName(probes).repartition(runtime.partitions(spark), "shard").sortWithinPartitions("shard", "kind")
+    drops = dealt.mapInArrow(_answers(min_docs), "row_id long, row_key long, nos array<long>")
+    drops = runtime.swept(drops.groupBy("row_id", "row_key").agg(F.flatten(F.collect_list("nos")).alias("_nos")), "dropped-lines")
+    runtime.forget(counts)
     fields = [f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields]
     schema = ", ".join([*fields, "n_lines long", "n_dropped long"])
     names = [*docs.columns, "n_lines", "n_dropped"]
-    if counts.count() * 28 <= broadcast_bytes:
-        arrays = spark.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.collect()})
-        return docs.mapInArrow(_probe_local(arrays, shards, id_col, text_col, min_chars, names), schema)
-    index = runtime.swept(index, "line-index")
-    probes = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_key")).mapInArrow(_probe_rows(shards, id_col, text_col, min_chars), "shard int, ids binary, keys binary, nos binary, p1 binary, p2 binary")
-    drops = probes.join(index, "shard").drop("shard").mapInArrow(_probe_joined, "row_id long, row_key long, nos array<long>")
-    drops = drops.groupBy("row_id", "row_key").agg(F.flatten(F.collect_list("nos")).alias("_nos"))
     same = (docs[id_col] == drops["row_id"]) & (F.xxhash64(docs[text_col]) == drops["row_key"])
-    return docs.join(drops, same, "left").drop(drops["row_id"], drops["row_key"]).mapInArrow(_cut(text_col, min_chars, names), schema)
+    out = docs.join(drops, same, "left").drop(drops["row_id"], drops["row_key"])
+    return out.mapInArrow(_cut(hot, id_col, text_col, min_chars, min_docs, names), schema)

@@ -23,11 +23,11 @@ def line_corpus(seed):
 
 
 def test_lines_against_brute_force(spark):
-    for seed, limit in ((1, 32 << 20), (2, 0)):
+    for seed, hot in ((1, 1 << 16), (2, 1), (3, 12)):
         texts = line_corpus(seed)
         ids = random.Random(seed).sample(range(-500, 500), len(texts))
         df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
-        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], brute.sha(r["text"])) for r in line_dedup.dedup_lines(df, broadcast_bytes=limit).collect()}
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], brute.sha(r["text"])) for r in line_dedup.dedup_lines(df, hot_keys=hot).collect()}
         assert got == brute.line_dedup(dict(zip(ids, texts, strict=True)))
 
 
@@ -38,8 +38,8 @@ def test_lines_of_repeated_ids_with_different_texts(spark):
     rows += [(i, often) for i in range(4, 9)] + [(8, often), (None, often)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([("3", own[0], 2, 1), ("3", own[1], 2, 1), ("3", f"{own[2]}\n{own[3]}", 3, 1), ("3", own[0], 1, 0), ("3", "", 1, 0), *((str(i), "", 1, 1) for i in range(4, 8)), *[("8", often, 1, 0)] * 2, ("None", often, 1, 0)])
-    for limit in (32 << 20, 0):
-        got = line_dedup.dedup_lines(df, broadcast_bytes=limit).collect()
+    for hot in (1 << 16, 1):
+        got = line_dedup.dedup_lines(df, hot_keys=hot).collect()
         assert sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in got) == want
 
 
@@ -82,6 +82,24 @@ def test_contamination_against_brute_force(spark):
         assert got == brute.contamination(dict(enumerate(docs)), [i for i in items if i[0] is not None and i[1] is not None])
 
 
+def test_benchmark_index_size_and_blocks(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(str(i), " ".join(r.choice(words) for _ in range(r.choice([3, 40, 200])))) for i in range(600)]
+    ws = decontaminate.WindowSet(items, 13, 3)
+    index = decontaminate.PrefixIndex(ws, {k: (h, np.ones(len(h), np.int64)) for k, h in ws.shingles().items()})
+    size = sum(len(t) for _, t in items)
+    assert index.nbytes() < 16 * size + (4 << 20)
+    for x in range(0, len(index.hash), 997):
+        text = index.words(x)
+        assert all(text.decode() in t for i, t in items if i in index.items(x)) and index.items(x)
+    docs = [(i, " ".join(r.choice(words) for _ in range(30)) + " " + items[i][1]) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.decontaminate(df, bench, block_bytes=size // 6).collect()
+    assert all(str(d["doc_id"]) in d["items"] for d in got)
+
+
 def test_contamination_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, None, 5)], "doc_id long, text string, items long")
     bench = spark.createDataFrame([("q", "A, b!")], "item_id string, text string")
