@@ -8,8 +8,10 @@ version line, the mandatory headers, the block length, the payload length and th
 
 Defined results: a null payload is empty; a null url has no Target-URI header; control characters in urls are
 percent-encoded; rows that share the smallest id of their payload are all responses; an empty table gives no
-archives. The dictionary is trained on at most `dict_rows` payloads, those of smallest id hash; with too little to
-train on, the sample itself is the dictionary, and an empty sample gives an archive without a dictionary frame.
+archives; ids are integers; other columns of the input, whatever their names, take no part. The dictionary is trained
+on at most `dict_rows` whole payloads, those of smallest id hash, as far as they make `dict_sample` bytes; with too
+little to train on, the sample itself is the dictionary, and an empty sample gives an archive without a dictionary
+frame. A record is built and checked whole in memory.
 """
 
 from __future__ import annotations
@@ -180,16 +182,38 @@ def _write(dictionary: bytes, level: int):
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, min_bytes: int = 100, dict_rows: int = 400, dict_bytes: int = 64 << 10, level: int = 3) -> DataFrame:
+def dictionary_of(rows: DataFrame, dict_rows: int, dict_bytes: int, dict_sample: int) -> bytes:
+    """A dictionary for the payloads of (page_id, payload): lengths decide which ones the driver reads."""
+    chosen, size = [], 0
+    for r in runtime.sample(rows, F.col("page_id"), dict_rows, F.octet_length("payload").alias("n")):
+        if r["n"] and size + r["n"] <= dict_sample:
+            chosen.append(r["h"])
+            size += r["n"]
+    hashed = rows.select(F.xxhash64("page_id").alias("h"), "payload").where(F.col("h").isin(chosen))
+    # Rows that share an id share its hash, so there may be more of them than were chosen.
+    return train([r["payload"].encode() for r in hashed.orderBy("h", "payload").limit(dict_rows).collect()] if chosen else [], dict_bytes)
+
+
+def write_archives(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    payload_col: str = "html",
+    *,
+    min_bytes: int = 100,
+    dict_rows: int = 400,
+    dict_bytes: int = 64 << 10,
+    dict_sample: int = 8 << 20,
+    level: int = 3,
+) -> DataFrame:
     """(name, content): the archives of all pages."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    sample = rows.select("page_id", F.substring("payload", 1, 20_000).alias("payload")).orderBy(F.xxhash64("page_id"), "page_id").limit(dict_rows).select("payload")
-    dictionary = train([r[0].encode() for r in sample.collect()], dict_bytes)
-    raw = F.col("payload").cast("binary")
-    rows = rows.withColumn("digest", F.sha2(raw, 256))
-    large = rows.where(F.octet_length("payload") >= min_bytes)
+    dictionary = dictionary_of(rows, dict_rows, dict_bytes, dict_sample)
+    rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
+    large = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    # A table of known size: payloads are shuffled only if there are too many repeated digests to broadcast.
+    rows = rows.join(runtime.staged(first, "repeated"), "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
     return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_write(dictionary, level), "name string, content binary")
 
 
