@@ -3,12 +3,12 @@
 Bytes are embedded, filters of several widths run over fixed-length windows, the largest answer of each filter over
 a window is kept, and a softmax layer gives the window's language. A text is cut into windows from start to end
 (the last one padded with zero bytes); its score for a language is the mean over its windows, weighted by their
-bytes. Training takes stretches of at most `SAMPLE_ROWS` labelled rows (those of smallest id hash), `STRETCHES`
-stretches of `STRETCH_CHARS` characters each at places given by the id's hash: a bounded sample, stated here.
+bytes. Training reads the whole texts of at most `SAMPLE_ROWS` labelled rows, those of smallest id hash (a bounded
+sample, stated here), and takes `STEPS` steps of `BATCH` rows, each with a window drawn from anywhere in its text.
 
 Defined results: a null text or one without a letter is `und` with score 0; a tie goes to the language that sorts
 first; without any labelled row every text is `und`; repeated rows get equal results; an empty table gives an empty
-table; input columns named like the added ones are replaced.
+table; input columns named like the added ones are replaced; ids may be of any type that casts to text.
 """
 
 from __future__ import annotations
@@ -27,13 +27,11 @@ WINDOW = 128
 DIM = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-SAMPLE_ROWS = 4000
-STRETCHES = 2
-STRETCH_CHARS = 256
-EPOCHS = 6
+SAMPLE_ROWS = 2000
+STEPS = 900
 BATCH = 128
-#: Steps of training at least: small samples are gone over more often.
-LEAST_STEPS = 900
+#: Windows with fewer bytes are not learned from.
+LEAST_BYTES = 8
 
 
 def held_out(id_col: str) -> Column:
@@ -89,20 +87,23 @@ class Network:
             demb[:, d] = np.bincount(byte, back[..., d].ravel(), 256)
         return {"emb": demb, "w": np.einsum("bfk,bf->kf", own, dh) * self.mask, "b": dh.sum(0), "out": h.T @ dz, "c": dz.sum(0)}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 4e-3, seed: int = 5) -> Network:
-        r, m, v, t = np.random.default_rng(seed), {}, {}, 0
-        batches = max(1, -(-len(x) // BATCH))
-        epochs = max(epochs, -(-LEAST_STEPS // batches))
-        steps = epochs * batches
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for i in range(0, len(x), BATCH):
-                some, t = order[i : i + BATCH], t + 1
-                for k, g in self.grads(x[some], y[some]).items():
-                    m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-                    v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
-                    step = rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
-                    self.p[k] = (self.p[k] - step).astype(np.float32)
+    def fit(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, *, steps: int = STEPS, rate: float = 4e-3, seed: int = 5) -> Network:
+        """Learns from windows x of the rows `of` (in order), whose labels are y[of]; all rows count alike."""
+        r, m, v = np.random.default_rng(seed), {}, {}
+        rows, first, count = np.unique(of, return_index=True, return_counts=True)
+        if not len(rows):
+            return self
+        queue = np.zeros(0, np.int64)
+        for t in range(1, steps + 1):
+            while len(queue) < BATCH:
+                queue = np.append(queue, r.permutation(len(rows)))
+            some, queue = queue[:BATCH], queue[BATCH:]
+            at = first[some] + r.integers(0, count[some])
+            for k, g in self.grads(x[at], y[rows[some]]).items():
+                m[k] = 0.9 * m.get(k, 0) + 0.1 * g
+                v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
+                step = rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+                self.p[k] = (self.p[k] - step).astype(np.float32)
         return self
 
 
@@ -111,32 +112,30 @@ def cut(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, off = textkit.flat(column)
     count = -(-np.diff(off) // WINDOW)
     of = np.repeat(np.arange(len(count)), count)
-    no = textkit.expand(np.zeros(len(count), np.int64), count)
-    start = off[of] + no * WINDOW
-    size = np.minimum(off[of + 1] - start, WINDOW)
-    at = start[:, None] + np.arange(WINDOW)
-    inside = np.arange(WINDOW) < size[:, None]
-    padded = np.append(data, np.uint8(0))
-    return np.where(inside, padded[np.minimum(at, len(data))], 0).astype(np.uint8), of, size
+    out, at = np.zeros(int(count.sum()) * WINDOW, np.uint8), 0
+    size = np.full(len(of), WINDOW, np.int64)
+    last = np.cumsum(count)[count > 0] - 1
+    size[last] = (np.diff(off) - (count - 1) * WINDOW)[count > 0]
+    for a, b, n in zip(off[:-1].tolist(), off[1:].tolist(), count.tolist(), strict=True):
+        out[at : at + b - a] = data[a:b]
+        at += n * WINDOW
+    return out.reshape(-1, WINDOW), of, size
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network fitted on the labelled rows that are not held out."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(True)))
-    places = [F.substring(F.col("t"), F.pmod(F.xxhash64("i", F.lit(k)), F.greatest(F.length("t") - STRETCH_CHARS, F.lit(1))).cast("int") + 1, F.lit(STRETCH_CHARS)) for k in range(STRETCHES)]
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    # Only ids pass the top-k sort; the texts of the chosen come by a join that AQE may broadcast.
-    cutoff = rows.select(F.xxhash64("i").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if cutoff is None:
+    # Only hashes pass the top-k sort; the texts of the chosen follow.
+    chosen = runtime.sample(rows.select("i"), F.col("i"), sample_rows)
+    if not chosen:
         return None
-    got = rows.where(F.xxhash64("i") <= cutoff).select("i", "l", *(p.alias(f"s{k}") for k, p in enumerate(places))).limit(2 * sample_rows).collect()
-    got.sort(key=lambda r: (r["i"], r["l"]))
+    got = rows.where(F.xxhash64("i") <= chosen[-1]["h"]).orderBy(F.xxhash64("i"), "l", "t").limit(sample_rows).collect()
     labels = sorted({r["l"] for r in got})
-    texts = [(r[f"s{k}"], labels.index(r["l"])) for r in got for k in range(STRETCHES)]
-    x, of, size = cut(pa.array([t for t, _ in texts], pa.string()))
-    y = np.array([y for _, y in texts], np.int64)[of]
-    full = size >= 8
-    return Network(labels).fit(x[full], y[full])
+    x, of, size = cut(pa.array([r["t"] for r in got], pa.string()))
+    y = np.array([labels.index(r["l"]) for r in got], np.int64)
+    full = size >= LEAST_BYTES
+    return Network(labels).fit(x[full], y, of[full])
 
 
 def _predict(model_bc, text_col: str, names: list[str]):
