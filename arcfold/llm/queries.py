@@ -103,7 +103,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.suffix_dedup import dedup_suffixes
 
     out = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    n_spans = F.size("removed_spans").cast("long").alias("n_spans")
+    return out.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Suffix-array dedup by two-stage sorting.
 
-Winnowed anchors deal the windows of `window` bytes to blocks in which all equal windows meet, and drop those that
-cannot repeat; a run of windows that occurs twice as a whole is a repeat as it stands, and takes part in its block
-once. The suffixes of a block are sorted in two stages: those smaller than their successor directly, by eight bytes
-at a time in groups that still tie (and longer stretches at once where all of a group agree), the others by scanning
-the buckets of first bytes in order and putting each suffix behind its successor's place. Common prefixes of
-neighbours then tell which windows occur again.
+Winnowed anchors deal the windows of `report` bytes to blocks in which all equal windows meet, and drop those that
+cannot repeat. Runs of windows that are equal as a whole, with what lies within `window` bytes of them, are one kind:
+its first run is sorted for all of them, twice if there are more. The suffixes of a block are sorted in two stages:
+those smaller than their successor directly, by eight bytes at a time in groups that still tie (and longer stretches
+at once where all of a group agree), the others by scanning the buckets of first bytes in order and putting each
+suffix behind its successor's place. Common prefixes of neighbours then tell which windows occur again: those of
+`window` bytes are removed, those of `report` bytes (shorter passages that repeat) are only reported.
 
 An anchor with over `HOT_RUNS` different runs, such as that of a very common passage, is split: its runs are cut to
 stretches of `CORE` windows at places counted from the anchor, and dealt by the bytes all these windows have in
@@ -13,8 +14,8 @@ common, so they meet only where they can be equal.
 
 Defined results: texts are UTF-8 bytes; null is empty; matches lie within one text each, equal windows of one text
 count, and so do those of repeated rows; bytes left of a cut character stay as they are, so kept text is binary; a
-null id takes part; an empty table gives an empty table; input columns named like the added ones are replaced, and
-k1, k2 and _marks are names of the operator's own: such columns don't come back.
+null id takes part; ids are integers; an empty table gives an empty table; input columns named like the added ones are
+replaced, and k1, k2 and _marks are names of the operator's own: such columns don't come back.
 """
 
 from __future__ import annotations
@@ -186,15 +187,29 @@ class Suffixes:
         return np.append(0, np.minimum(out, room))[: len(self.order)]
 
 
+def occurrences(strings: list[bytes], counts: np.ndarray, sizes: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each size and string, which of the string's first counts[i] places begin a stretch of that many bytes that
+    begins at another of these places too."""
+    s = Suffixes(strings, max(sizes), counts)
+    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in strings])])[:-1]
+    asked = np.zeros(len(s.text), bool)
+    asked[textkit.expand(starts, counts)] = True
+    at = np.flatnonzero(asked[s.order])
+    places = s.order[at]
+    out = []
+    # Between two places that are asked for, the least common prefix on the way is theirs.
+    common = np.minimum.reduceat(s.common(), at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)
+    for size in sizes:
+        again = np.zeros(len(s.text), bool)
+        near = common >= size
+        again[places[1:][near]] = again[places[:-1][near]] = True
+        out.append([again[a : a + n] for a, n in zip(starts.tolist(), counts.tolist(), strict=True)])
+    return out
+
+
 def repeated(strings: list[bytes], window: int) -> list[np.ndarray]:
     """For each string, which of its windows occur again in any of the strings."""
-    s = Suffixes(strings, window, np.array([max(0, len(x) - window + 1) for x in strings]))
-    common = s.common() >= window
-    again = np.zeros(len(s.text), bool)
-    again[s.order[common]] = True
-    again[s.order[np.flatnonzero(common) - 1]] = True
-    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in strings])])
-    return [again[a : a + max(0, len(x) - window + 1)] for a, x in zip(starts[:-1].tolist(), strings, strict=True)]
+    return occurrences(strings, np.array([max(0, len(x) - window + 1) for x in strings]), (window,))[0]
 
 
 def units(column) -> tuple[textkit.Sums, np.ndarray]:
@@ -202,7 +217,10 @@ def units(column) -> tuple[textkit.Sums, np.ndarray]:
     return textkit.byte_sums(data), off
 
 
-def _split(window: int):
+FINE = "k1 long, k2 long, start long, count long, anchor long, content long, twice boolean, of_anchor long, of_content long, shift long"
+
+
+def _split(report: int, window: int):
     """Runs of hot anchors cut to stretches of CORE windows, dealt by the bytes these have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +229,8 @@ def _split(window: int):
             lists = batch.column("runs").to_pylist()
             doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             flat = [r for x in lists for r in x]
-            start, count, anchor, place = (np.array([r[c] for r in flat], np.int64) for c in ("start", "count", "anchor", "place"))
+            columns = ("start", "count", "anchor", "content", "place", "twice")
+            start, count, anchor, kind, place, twice = (np.array([r[c] for r in flat], np.int64) for c in columns)
             # Windows by their distance to the anchor: those with one quotient share the bytes of a core.
             no, lowest = (place - start) // CORE, (place - start - count + 1) // CORE
             n = no - lowest + 1
@@ -220,41 +239,54 @@ def _split(window: int):
             first = np.maximum(place[of] - q * CORE - (CORE - 1), start[of])
             stop = np.minimum(place[of] - q * CORE + 1, start[of] + count[of])
             core, base = place[of] - q * CORE, off[doc[of]]
-            h = sums.hash(base + core, base + core - (CORE - 1) + window)
+            h = sums.hash(base + core, base + core - (CORE - 1) + report)
             key = textkit.mix(h ^ textkit.mix(anchor[of].view(np.uint64) + q.astype(np.uint64)))
-            content = sums.hash(base + first, base + stop - 1 + window)
+            content = sums.hash(base + first, np.minimum(base + stop - 1 + window, off[doc[of] + 1]))
             keys = batch.select(["k1", "k2"]).take(pa.array(doc[of]))
-            yield pa.record_batch([*keys.columns, pa.array(first), pa.array(stop - first), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(place[of])], ["k1", "k2", "start", "count", "anchor", "content", "place"])
+            new = (first, stop - first, key.view(np.int64), content.view(np.int64), twice[of] > 0, anchor[of], kind[of], first - start[of])
+            yield pa.record_batch([*keys.columns, *map(pa.array, new)], [f.split()[0] for f in FINE.split(", ")])
 
     return run
 
 
+PIECES = "start long, count long, anchor long, content long, twice boolean, piece binary"
+
+
 def _strings(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.chunks(batches, "text"):
             data, off = textkit.flat(batch.column("text"))
             raw = data.tobytes()
             for i, runs in enumerate(batch.column("runs").to_pylist()):
-                n = len(runs)
-                text = [raw[off[i] + r["start"] : off[i] + r["start"] + r["count"] + window - 1] for r in runs]
-                key = batch.select(["k1", "k2"]).take(pa.array([i] * n))
-                yield pa.record_batch([*key.columns, pa.array([r["start"] for r in runs], pa.int64()), pa.array([r["anchor"] for r in runs], pa.int64()), pa.array([r["again"] for r in runs], pa.bool_()), pa.array(text, pa.binary())], ["k1", "k2", "start", "anchor", "again", "piece"])
+                end = int(off[i + 1])
+                text = [raw[off[i] + r["start"] : min(off[i] + r["start"] + r["count"] + window - 1, end)] for r in runs]
+                columns = [pa.array([r[c] for r in runs], pa.int64()) for c in ("start", "count", "anchor", "content")]
+                columns += [pa.array([r["twice"] for r in runs], pa.bool_()), pa.array(text, pa.binary())]
+                yield pa.record_batch(columns, [f.split()[0] for f in PIECES.split(", ")])
 
     return run
 
 
-def _solve(window: int):
-    """Marks of the windows that occur again, from pieces in the order of their anchors."""
-    names = ["k1", "k2", "a", "b"]
+SOLVED = "anchor long, content long, kind int, a long, b long"
+
+
+def _solve(window: int, report: int):
+    """Marks of what occurs again, counted from the start of each run, from pieces in the order of their anchors. Kind
+    0 is windows, kind 1 reported ones."""
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def close(held: list[dict]) -> pa.RecordBatch:
-        rows: list[list] = [[], [], [], []]
-        for r, again in zip(held, repeated([r["piece"] for r in held], window), strict=True):
-            if not r["again"] and again.any():
-                a, b = textkit.merge(np.flatnonzero(again), np.flatnonzero(again) + window)
-                for c, v in zip(rows, ([r["k1"]] * len(a), [r["k2"]] * len(a), (a + r["start"]).tolist(), (b + r["start"]).tolist()), strict=True):
-                    c.extend(v)
-        return pa.record_batch([pa.array(c, pa.int64()) for c in rows], names)
+        rows: list[list] = [[], [], [], [], []]
+        every = held + [r for r in held if r["twice"]]
+        counts = np.array([r["count"] for r in every], np.int64)
+        for kind, (size, found) in enumerate(zip((window, report), occurrences([r["piece"] for r in every], counts, (window, report)), strict=True)):
+            for r, again in zip(held, found, strict=False):
+                if again.any():
+                    at = np.flatnonzero(again)
+                    a, b = textkit.merge(at, at + size)
+                    for c, v in zip(rows, ([r["anchor"]] * len(a), [r["content"]] * len(a), [kind] * len(a), a.tolist(), b.tolist()), strict=True):
+                        c.extend(v)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, anchor = [], 0, None
@@ -265,15 +297,23 @@ def _solve(window: int):
                     held, size = [], 0
                 anchor = r["anchor"]
                 held.append(r)
-                size += len(r["piece"])
+                size += len(r["piece"]) * (1 + r["twice"])
         if held:
             yield close(held)
 
     return run
 
 
+Marks = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _spans(marks: Marks) -> pa.Array:
+    rows = [[{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)] for a, b in marks]
+    return pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+
 def _cut(text_col: str):
-    def cut(batch: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, pa.Array]:
+    def cut(batch: pa.RecordBatch, marks: Marks, reported: Marks) -> dict[str, pa.Array]:
         data, off = textkit.flat(batch.column(text_col))
         gone = np.zeros(len(data), bool)
         for i, (a, b) in enumerate(marks):
@@ -281,49 +321,62 @@ def _cut(text_col: str):
                 gone[textkit.expand(off[i] + a, b - a)] = True
         removed = np.concatenate([[0], np.cumsum(gone)])[off]
         kept = textkit.binary_rows(data[~gone], off - removed)
-        spans = pa.array([[{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)] for a, b in marks], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return {"kept": kept, "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(removed)), "removed_spans": spans}
+        again = pa.array([int((b - a).sum()) for a, b in reported], pa.int64())
+        out = {"kept": kept, "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(removed)), "n_repeated": again}
+        return out | {"removed_spans": _spans(marks), "repeated_spans": _spans(reported)}
 
     return cut
 
 
-def _classify(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of runs that share anchors: those that occur again as a whole, and one of each kind of an anchor with several
-    kinds, with the number of kinds and whether it occurs again."""
-    held = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "start", "count", "place")))
-    held = runtime.staged(held, "kinds")
-    whole = runs.join(held.where("n > 1").select("anchor", "content"), ["anchor", "content"])
-    kinds = held.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    return whole, held.join(kinds, "anchor").withColumn("again", F.col("n") > 1)
+ADDED = {
+    "kept": "binary",
+    "n_bytes": "long",
+    "n_removed": "long",
+    "n_repeated": "long",
+    "removed_spans": "array<struct<start:long,end:long>>",
+    "repeated_spans": "array<struct<start:long,end:long>>",
+}
 
 
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 400) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 400, report: int = 256) -> DataFrame:
     """docs with kept (the bytes that stay), n_bytes, n_removed and removed_spans (maximal, in bytes). Bytes covered
-    by a string of `window` bytes that starts anywhere else too are removed, in all places."""
+    by a string of `window` bytes that starts anywhere else too are removed, in all places. Those covered by such a
+    string of `report` bytes are counted and listed in n_repeated and repeated_spans."""
+    if not SEED + CORE <= report <= window:
+        raise ValueError(f"report is {SEED + CORE} to window bytes")
     spark = docs.sparkSession
-    docs = runtime.without(docs, "kept", "n_bytes", "n_removed", "removed_spans", "k1", "k2", "_marks")
+    docs = runtime.without(docs, *ADDED, "k1", "k2", "_marks")
     keyed = anchors.keyed(docs, id_col, text_col)
     texts = keyed.where(F.col(text_col).isNotNull()).select("k1", "k2", F.col(text_col).alias("text"))
-    every = runtime.staged(anchors.find_runs(texts, units, window, SEED), "runs")
+    every = runtime.staged(anchors.find_runs(texts, units, report, SEED, window), "runs")
     runs = runtime.swept(anchors.shared(every), "shared-runs")
     runtime.forget(every)
-    whole, open_runs = _classify(runs)
-    open_runs = runtime.swept(open_runs, "open-runs")
-    mark = lambda df: df.select("k1", "k2", *anchors.stretch(F.col("start"), F.col("count"), window))
-    marks, cols = mark(whole), ("k1", "k2", "start", "count", "anchor", "again")
-    hot = open_runs.where(F.col("kinds") > HOT_RUNS)
-    pieces = open_runs.where(F.col("kinds") <= HOT_RUNS).select(*cols)
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "count")]
+    kinds = runs.groupBy("anchor", "content").agg((F.count("*") > 1).alias("twice"), F.first("place").alias("place"), *one)
+    kinds = runtime.staged(kinds, "kinds")
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_RUNS).select("anchor", F.lit(True).alias("hot"))
+    kinds = runtime.staged(kinds.join(runtime.staged(many, "hot-anchors"), "anchor", "left"), "kinds")
+    cols = ("k1", "k2", "start", "count", "anchor", "content", "twice")
+    pieces, fine = kinds.where("hot is null").select(*cols), None
+    hot = kinds.where("hot")
     if not hot.isEmpty():
-        # What a kind that occurs again holds is marked as a whole already; here it only lets others match.
-        finer = anchors.beside_texts(texts, hot, "anchor", "place").mapInArrow(_split(window), anchors.RUNS)
+        finer = anchors.beside_texts(texts, hot, "anchor", "content", "place", "twice").mapInArrow(_split(report, window), FINE)
         every = runtime.staged(finer, "fine-runs")
-        finer = runtime.swept(anchors.shared(every), "fine-shared-runs")
+        often = every.groupBy("anchor").agg(((F.count("*") > 1) | F.max("twice")).alias("often")).where("often").drop("often")
+        fine = runtime.swept(every.join(runtime.staged(often, "anchors"), "anchor"), "fine-shared-runs")
         runtime.forget(every)
-        more, fine = _classify(finer)
-        marks = marks.unionByName(mark(more))
-        pieces = pieces.unionByName(fine.select(*cols))
-    strings = anchors.beside_texts(texts, pieces, "anchor", "again").mapInArrow(_strings(window), "k1 long, k2 long, start long, anchor long, again boolean, piece binary")
-    solved = strings.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_solve(window), "k1 long, k2 long, a long, b long")
-    marks = runtime.swept(marks.unionByName(solved), "marks")
-    added = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "removed_spans": "array<struct<start:long,end:long>>"}
-    return anchors.marked(keyed, marks, text_col, _cut(text_col), added)
+        more = fine.groupBy("anchor", "content").agg(((F.count("*") > 1) | F.max("twice")).alias("twice"), *one)
+        pieces = pieces.unionByName(more.select(*cols))
+    strings = anchors.beside_texts(texts, pieces, "anchor", "content", "twice").mapInArrow(_strings(window), PIECES)
+    dealt = strings.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor")
+    solved = runtime.swept(dealt.mapInArrow(_solve(window, report), SOLVED), "solved")
+    if fine is not None:
+        # What was found in a stretch of a run holds for all runs of its kind.
+        place = fine.select("anchor", "content", "of_anchor", "of_content", "shift")
+        again = solved.join(place, ["anchor", "content"])
+        again = again.select(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), "kind", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
+        solved = runtime.staged(solved.unionByName(again), "solved")
+    marks = runs.join(solved, ["anchor", "content"]).select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "kind")
+    marks = runtime.swept(marks, "marks")
+    runtime.forget(runs, kinds)
+    return anchors.marked(keyed, marks, text_col, _cut(text_col), ADDED, kinds=2)

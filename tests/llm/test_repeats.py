@@ -28,8 +28,9 @@ def corpus(seed, words):
     return [" ".join(w) for w in out] + ["", None, " \n "]
 
 
-@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 5)])
-def test_substrings_against_brute_force(spark, seed, parts):
+@pytest.mark.parametrize("seed,parts,hot", [(1, 1, 64), (2, 5, 2)])
+def test_substrings_against_brute_force(spark, monkeypatch, seed, parts, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_KINDS", hot)
     texts = corpus(seed, [f"w{i}" for i in range(400)] + ["é", "W1"])
     ids = random.Random(seed).sample(range(-900, 900), len(texts))
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(parts, "doc_id")
@@ -50,8 +51,11 @@ def test_suffixes_against_brute_force(spark, monkeypatch, hot, parts):
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
     texts = corpus(4, [f"w{i}é" for i in range(300)])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts, "doc_id")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed_spans"]), brute.sha(bytes(r["kept"]))) for r in suffix_dedup.dedup_suffixes(df).collect()}
+    rows = suffix_dedup.dedup_suffixes(df).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed_spans"]), brute.sha(bytes(r["kept"]))) for r in rows}
     assert got == brute.repeated_bytes(dict(enumerate(texts)))
+    shorter = brute.repeated_bytes(dict(enumerate(texts)), 256)
+    assert {r["doc_id"]: (r["n_repeated"], len(r["repeated_spans"])) for r in rows} == {k: v[1:3] for k, v in shorter.items()}
 
 
 def test_suffixes_odd_rows(spark):
@@ -60,6 +64,8 @@ def test_suffixes_odd_rows(spark):
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in suffix_dedup.dedup_suffixes(df).collect())
     assert got == [("1", 500), ("1", 500), ("2", 0), ("3", 401), ("5", 0), ("None", 400)]
     assert suffix_dedup.dedup_suffixes(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup_suffixes(df, report=401)
 
 
 @settings(max_examples=150, deadline=None)
@@ -89,5 +95,6 @@ def test_sliding_minimum():
 
 def test_queries(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op9_suffix_dedup(spark, SF).collect()}
-    assert got == brute.repeated_bytes(texts)
+    rows = queries.op9_suffix_dedup(spark, SF).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute.repeated_bytes(texts)
+    assert {r["doc_id"]: r["n_repeated"] for r in rows} == {k: v[1] for k, v in brute.repeated_bytes(texts, 256).items()}
