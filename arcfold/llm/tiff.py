@@ -353,6 +353,8 @@ def _digest(names: list[str]):
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["page"] != (now["pages"] if now and r["page"] else 0):
+                    raise ValueError("the pages of a file don't follow one another")
                 if r["page"] == 0:
                     close()
                     now = {"keep": {n: r[n] for n in (*names, "media_bytes", "media_sha256")}, "sha": hashlib.sha256(), "n": 0, "sum": 0, "pages": 0, "rows": 0, "tail": b"", "how": r["compression"], "kinds": np.zeros(256, np.int64)}

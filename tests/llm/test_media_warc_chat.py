@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,3 +184,43 @@ def test_network_gradients():
         net.p[k][at] = v - eps
         assert abs((up - loss()) / (2 * eps) - g[k][at]) < 1e-4
         net.p[k][at] = v
+
+
+def test_network_against_loops():
+    r = np.random.default_rng(2)
+    net = langid.Network(["a", "b", "c"])
+    net.p["b"] = r.normal(0, 0.3, net.p["b"].shape).astype(np.float32)
+    net.p["c"] = r.normal(0, 0.3, 3).astype(np.float32)
+    texts = ["é" * 100 + "x" * 40, "ab", "", None, "y" * langid.WINDOW]
+    x, of, size = langid.cut(pa.array(texts, pa.string()))
+    raw = [(t or "").encode() for t in texts]
+    pieces = [(i, b[p : p + langid.WINDOW]) for i, b in enumerate(raw) for p in range(0, len(b), langid.WINDOW)]
+    assert [(i, bytes(w[:n])) for i, w, n in zip(of, x, size, strict=True)] == pieces and not any(w[n:].any() for w, n in zip(x, size, strict=True))
+    got = net.predict(x)
+    taps = max(langid.WIDTHS)
+    for row, window in zip(got, x, strict=True):
+        top = []
+        for f in range(langid.FILTERS * len(langid.WIDTHS)):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            answers = []
+            for place in range(langid.WINDOW):
+                total = 0.0
+                for t in range(width):
+                    byte = window[place + t] if place + t < langid.WINDOW else 0
+                    total += sum(float(net.p["emb"][byte, d]) * float(net.p["w"][t * langid.DIM + d, f]) for d in range(langid.DIM))
+                answers.append(total)
+            assert not net.p["w"][width * langid.DIM : taps * langid.DIM, f].any()
+            top.append(max(0.0, max(answers) + float(net.p["b"][f])))
+        z = [sum(h * float(net.p["out"][f, k]) for f, h in enumerate(top)) + float(net.p["c"][k]) for k in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        assert np.allclose(row, np.array(e) / sum(e), atol=1e-4)
+
+
+def test_pages_out_of_order_are_refused():
+    files = tiff.write_tiff(bytes(640 * 3), page_rows=10)
+    pages = [p | {"media_bytes": 1, "media_sha256": "", "error": None, "doc_id": 1} for p in tiff.read_tiff(files)]
+    schema = pa.schema([("doc_id", pa.int64()), *tiff.PAGE.items()])
+    run = tiff._digest(["doc_id"])
+    assert sum(b.num_rows for b in run(iter([pa.RecordBatch.from_pylist(pages, schema)]))) == 1
+    with pytest.raises(ValueError):
+        list(run(iter([pa.RecordBatch.from_pylist([pages[1], pages[0], pages[2]], schema)])))
