@@ -107,6 +107,27 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
+#: Bytes in windows of 400 (removed) and 256 (reported) that start elsewhere too, merged to spans; what lies between
+#: the spans of 400 is kept.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, hash(b[p + 1 : p + 256]) AS short, CASE WHEN p + 400 <= octet_length(b) THEN hash(b[p + 1 : p + 400]) END AS long
+      FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 255)) AS p FROM d)),
+m AS (SELECT doc_id, p, count(*) OVER (PARTITION BY short) > 1 AS short, long IS NOT NULL AND count(*) OVER (PARTITION BY long) > 1 AS long FROM w),
+x AS (SELECT doc_id, p, 400 AS n FROM m WHERE long UNION ALL SELECT doc_id, p, 256 FROM m WHERE short),
+g AS (SELECT doc_id, n, p, sum(new) OVER (PARTITION BY doc_id, n ORDER BY p) AS no
+      FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, n ORDER BY p) + n THEN 0 ELSE 1 END AS new FROM x)),
+s AS (SELECT doc_id, n, no, min(p) AS a, max(p) + n AS z FROM g GROUP BY doc_id, n, no),
+t AS (SELECT doc_id, sum(z - a) FILTER (WHERE n = 400) AS n_removed, count(*) FILTER (WHERE n = 400) AS n_spans, sum(z - a) FILTER (WHERE n = 256) AS n_repeated FROM s GROUP BY doc_id),
+cuts AS (SELECT doc_id, a, z FROM s WHERE n = 400 UNION ALL SELECT doc_id, octet_length(b), octet_length(b) FROM d),
+k AS (SELECT cuts.doc_id, string_agg(hex(b[coalesce(before, 0) + 1 : a]), '' ORDER BY a, z) AS kept
+      FROM (SELECT *, lag(z) OVER (PARTITION BY doc_id ORDER BY a, z) AS before FROM cuts) cuts JOIN d ON d.doc_id = cuts.doc_id GROUP BY cuts.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(kept)) AS kept_sha256, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.warc import archive_table, read_archives
 
@@ -172,4 +193,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 """
 
 QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op5_substring_dedup, op6_warc, op7_language, op8_chat, op9_suffix_dedup, op10_dedup_lines)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op10_dedup_lines": OP10_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_dedup_lines": OP10_SQL}
