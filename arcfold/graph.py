@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +156,23 @@ class Graph:
         empty = F.array().cast(dict(lists.dtypes)["_list"])
         return self.vertices.join(lists, "id", "left").select("id", f(F.col("value"), F.coalesce("_list", empty)).alias("value"))
 
+    def group_apply_on_edges(self, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, direction: str = OUT) -> DataFrame:
+        """What f(vertex, its edges) gives for every vertex, as one frame of `schema`: both are pandas frames, the
+        first of one row (id, value). For functions that no Column expresses; a vertex's edges are in one task."""
+        end, _ = ends(direction)
+        return self._applied(self.edges.select("src", "dst", "value"), end, f, schema)
+
+    def group_apply_on_neighbors(self, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, direction: str = OUT) -> DataFrame:
+        """The same with (src, dst, value, neighbor); neighbor is the vertex value there."""
+        end, _ = ends(direction)
+        return self._applied(self._beside_neighbors(direction).select("src", "dst", "value", "neighbor"), end, f, schema)
+
+    def _applied(self, rows: DataFrame, end: str, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        def run(vertex: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+            return f(vertex, edges.sort_values(["src", "dst"])) if len(vertex) else pd.DataFrame()
+
+        return self.vertices.groupBy("id").cogroup(rows.groupBy(end)).applyInPandas(run, schema)
+
     def aggregate_edges(self, aggregate: Callable[[Column, Column, Column], Column], direction: str = OUT, finish: Callable[[Column, Column], Column] = lambda _, a: a) -> DataFrame:
         """group_reduce_on_edges() with an aggregate of (src, dst, value), which combines before the shuffle; finish
         gets the vertex value and the aggregate, null without edges."""

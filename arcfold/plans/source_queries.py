@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from arcfold.__main__ import main
 from arcfold.graph import Graph
 from arcfold.operators import aggregators, factorization, traversal
 from arcfold.operators.pregel import Vertex, VertexProgram, pregel
-from arcfold.plans.graph_queries import ORACLES, QUERIES, WCC, E, V, graph, query, rounded
+from arcfold.plans.graph_queries import ORACLES, QUERIES, WCC, E, S, V, graph, query, rounded, stream
 from arcfold.plans.lineage import shared_dir
 from arcfold.service import Service
 from arcfold.sources import datasets, logs, text
@@ -156,6 +157,29 @@ def supply_degrees(spark, d):
     return both.where("value is not null").select("id", "value.degree", "value.weight")
 
 
+@query(f"WITH {V}, {E} SELECT id, count(src) AS n, round(coalesce(sum(e.value) FILTER (WHERE dst > id), 0), 2) AS up FROM v LEFT JOIN e ON src = id GROUP BY id")
+def group_apply_on_edges(spark, d):
+    def totals(vertex: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        up = edges.loc[edges["dst"] > vertex["id"].iloc[0], "value"].sum()
+        return pd.DataFrame({"id": vertex["id"], "n": [len(edges)], "up": [round(float(up), 2)]})
+
+    return rounded(graph(spark, d).group_apply_on_edges(totals, "id long, n long, up double"), "up", digits=2)
+
+
+@query(f"WITH {V}, {E} SELECT id, coalesce(string_agg(src, ',' ORDER BY src), '') AS sources FROM v LEFT JOIN e ON dst = id GROUP BY id")
+def group_apply_on_neighbors(spark, d):
+    def sources(vertex: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": vertex["id"], "sources": [",".join(map(str, edges["neighbor"]))]})
+
+    return graph(spark, d).group_apply_on_neighbors(sources, "id long, sources string", "IN")
+
+
+@query(f"WITH {S} SELECT src, dst, array_to_string(list_sort(list_distinct(list(dst) OVER (PARTITION BY src ORDER BY ts, seq))), ',') AS neighbors FROM s")
+def stream_neighborhood_rows(spark, d):
+    rows = drained(stream(spark, d).neighborhood_rows(order=("ts", "seq")), "append")
+    return rows.select("src", "dst", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
 # Vertex programs
 
 

@@ -1,16 +1,20 @@
 """Edge streams: a streaming (or bounded) DataFrame of (src, dst, value, ts), seen once.
 
-Running results are aggregations in update or complete mode. State that would grow for ever is bounded by a watermark
-on ts, 24 hours unless told otherwise.
+Running results are aggregations in update or complete mode. distinct() and windows bound their state by a watermark on
+ts, 24 hours unless told otherwise. Results by vertex (vertices, degrees, aggregates, neighbourhoods) are running totals
+over all of the stream: their state holds each vertex, or each distinct neighbour, once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from arcfold.functions.reducers import Reducer, fold_column, reduce_column
 from arcfold.graph import BOTH, IN, OUT
@@ -105,6 +109,30 @@ class EdgeStream:
         edges = self.edges if directed else self.undirected().edges
         return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("neighbors"))
 
+    def neighborhood_rows(self, directed: bool = True, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+        """(src, dst, neighbors) for every edge: the sorted ids that edges of its source have led to, up to and with
+        this one. The ids of a source are the state of a stream, which grows with its distinct edges."""
+        edges = self.edges if directed else self.undirected().edges
+        edges = edges.select("src", "dst", *order)
+        if not edges.isStreaming:
+            so_far = Window.partitionBy("src").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return edges.select("src", "dst", F.array_sort(F.collect_set("dst").over(so_far)).alias("neighbors"))
+        ids = dict(edges.dtypes)["dst"]
+
+        def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            known = list(state.get[0]) if state.exists else []
+            seen, rows = set(known), []
+            for dst in pd.concat(list(frames)).sort_values(list(order))["dst"]:
+                if dst not in seen:
+                    seen.add(dst)
+                    bisect.insort(known, dst)
+                rows.append((key[0], dst, list(known)))
+            state.update((known,))
+            yield pd.DataFrame(rows, columns=["src", "dst", "neighbors"])
+
+        out = f"src {ids}, dst {ids}, neighbors array<{ids}>"
+        return edges.groupBy("src").applyInPandasWithState(run, out, f"neighbors array<{ids}>", "append", "NoTimeout")
+
     # Windows
 
     def slice(self, size: str, slide: str | None = None, direction: str = OUT) -> WindowedStream:
