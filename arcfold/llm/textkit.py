@@ -42,17 +42,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
+    """base**i and base**-i modulo 2**64 for i < n. Those for a chunk's bytes are kept, those for longer texts not."""
     have = _POWERS.get(kind)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // 65_536) * 65_536
         base = int(_BASES[kind])
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, U64(b))
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        have = _POWERS[kind] = (out[0], out[1])
+        have = (out[0], out[1])
+        if n <= 2 * CHUNK:
+            _POWERS[kind] = have
     return have
 
 
