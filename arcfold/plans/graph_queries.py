@@ -22,7 +22,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: The order graph and its vertices as SQL views.
 V = "v AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey AS BIGINT) AS value FROM customer)"
-E = "e AS (SELECT src, dst, min(p) AS value FROM (SELECT CAST(o_custkey AS BIGINT) AS src, CAST((o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS BIGINT) AS dst, o_totalprice AS p FROM orders) WHERE src <> dst GROUP BY src, dst)"
+E = (
+    "e AS (SELECT src, dst, min(p) AS value FROM (SELECT CAST(o_custkey AS BIGINT) AS src, CAST((o_orderkey * 7 + 3) % (SELECT count(*)"
+    " FROM customer) AS BIGINT) AS dst, o_totalprice AS p FROM orders) WHERE src <> dst GROUP BY src, dst)"
+)
 S = "s AS (SELECT CAST(user_id AS BIGINT) AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst, value, ts, event_id AS seq FROM events)"
 
 
@@ -91,7 +94,10 @@ def map_edges(spark, d):
     return graph(spark, d).map_edges(lambda s, t, v: v / 100 + s).edges
 
 
-@query(f"WITH {V}, t AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation) SELECT v.id, CASE WHEN t.id IS NULL THEN value ELSE value + r END AS value FROM v LEFT JOIN t ON t.id = v.id")
+@query(
+    f"WITH {V}, t AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation) SELECT v.id,"
+    f" CASE WHEN t.id IS NULL THEN value ELSE value + r END AS value FROM v LEFT JOIN t ON t.id = v.id"
+)
 def join_with_vertices(spark, d):
     t = datasets.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("value"))
     return graph(spark, d).join_with_vertices(t, lambda a, b: a + b).vertices
@@ -170,7 +176,10 @@ def complete_graph(spark, d):
     return generators.complete_graph(spark, 25).edges
 
 
-@query("SELECT i AS src, i + s AS dst, CAST(1 AS BIGINT) AS value FROM range(100) x(i), (VALUES (10), (1)) y(s) WHERE CASE s WHEN 10 THEN i < 90 ELSE i % 10 < 9 END")
+@query(
+    "SELECT i AS src, i + s AS dst, CAST(1 AS BIGINT) AS value FROM range(100) x(i), (VALUES (10), (1)) y(s) WHERE"
+    " CASE s WHEN 10 THEN i < 90 ELSE i % 10 < 9 END"
+)
 def grid_graph(spark, d):
     return generators.grid_graph(spark, 10, 10).edges
 
@@ -192,7 +201,11 @@ def edge_count(spark, d):
     return basic.edge_count(graph(spark, d))
 
 
-@query(f"WITH RECURSIVE {V}, {E}, b AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n UNION SELECT e.dst, b.n + 1 FROM b JOIN e ON e.src = b.id WHERE b.n < 12) SELECT v.id, coalesce(min(n), 9223372036854775807) AS value FROM v LEFT JOIN b ON b.id = v.id GROUP BY v.id")
+@query(
+    f"WITH RECURSIVE {V}, {E}, b AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n UNION SELECT e.dst, b.n + 1 FROM b"
+    f" JOIN e ON e.src = b.id WHERE b.n < 12) SELECT v.id, coalesce(min(n), 9223372036854775807) AS value FROM v LEFT JOIN b ON b.id = v.id"
+    f" GROUP BY v.id"
+)
 def bfs(spark, d):
     return traversal.bfs(graph(spark, d), 0)
 
@@ -211,12 +224,19 @@ def _settled(rounds: int) -> str:
     return f"(SELECT CASE WHEN count(*) > 0 THEN error('more rounds are needed') ELSE true END FROM ({more}))"
 
 
-@query(f"WITH {V}, {E}, " + _rounds("SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS n", 30, "SELECT id, min(n) AS n FROM (SELECT id, n FROM {p} UNION ALL SELECT e.dst, p.n + e.value FROM {p} p JOIN e ON e.src = p.id) GROUP BY id") + " SELECT v.id, round(coalesce(n, CAST('inf' AS DOUBLE)), 6) AS value FROM v LEFT JOIN r30 ON r30.id = v.id WHERE " + _settled(30))
+@query(f"WITH {V}, {E}, " + _rounds("SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS n", 30,
+    "SELECT id, min(n) AS n FROM (SELECT id, n FROM {p} UNION ALL SELECT e.dst, p.n + e.value FROM {p} p JOIN e ON e.src = p.id) GROUP BY id") +
+    " SELECT v.id, round(coalesce(n, CAST('inf' AS DOUBLE)), 6) AS value FROM v LEFT JOIN r30 ON r30.id = v.id WHERE " + _settled(30))
 def sssp(spark, d):
     return rounded(traversal.sssp(graph(spark, d), 0), "value")
 
 
-@query(f"WITH {V}, {E}, " + _rounds("SELECT id, id AS landmark, CAST(0 AS DOUBLE) AS n FROM v WHERE id IN (0, 5, 17)", 30, "SELECT id, landmark, min(n) AS n FROM (SELECT id, landmark, n FROM {p} UNION ALL SELECT e.dst, p.landmark, p.n + e.value FROM {p} p JOIN e ON e.src = p.id) GROUP BY id, landmark") + " SELECT v.id, l.landmark, round(coalesce(n, CAST('inf' AS DOUBLE)), 6) AS value FROM v CROSS JOIN (VALUES (CAST(0 AS BIGINT)), (5), (17)) l(landmark) LEFT JOIN r30 ON r30.id = v.id AND r30.landmark = l.landmark WHERE " + _settled(30))
+@query(f"WITH {V}, {E}, " + _rounds(
+    "SELECT id, id AS landmark, CAST(0 AS DOUBLE) AS n FROM v WHERE id IN (0, 5, 17)", 30,
+    "SELECT id, landmark, min(n) AS n FROM (SELECT id, landmark, n FROM {p} UNION ALL SELECT e.dst, p.landmark, p.n + e.value FROM {p} p"
+    " JOIN e ON e.src = p.id) GROUP BY id, landmark") +
+    " SELECT v.id, l.landmark, round(coalesce(n, CAST('inf' AS DOUBLE)), 6) AS value FROM v CROSS"
+    " JOIN (VALUES (CAST(0 AS BIGINT)), (5), (17)) l(landmark) LEFT JOIN r30 ON r30.id = v.id AND r30.landmark = l.landmark WHERE " + _settled(30))
 def mssp(spark, d):
     return rounded(traversal.mssp(graph(spark, d), [0, 5, 17]), "value")
 
@@ -235,7 +255,10 @@ def wcc(spark, d):
     return components.wcc(graph(spark, d))
 
 
-LP = "SELECT x.id, greatest(x.n, coalesce(m.n, x.n)) AS n FROM {p} x LEFT JOIN (SELECT id, arg_max(n, (c, n)) AS n FROM (SELECT e.dst AS id, p.n AS n, count(*) AS c FROM {p} p JOIN e ON e.src = p.id GROUP BY e.dst, p.n) GROUP BY id) m ON m.id = x.id"
+LP = (
+    "SELECT x.id, greatest(x.n, coalesce(m.n, x.n)) AS n FROM {p} x LEFT JOIN (SELECT id, arg_max(n, (c, n)) AS n"
+    " FROM (SELECT e.dst AS id, p.n AS n, count(*) AS c FROM {p} p JOIN e ON e.src = p.id GROUP BY e.dst, p.n) GROUP BY id) m ON m.id = x.id"
+)
 
 
 @query(f"WITH {V}, {E}, " + _rounds("SELECT id, id AS n FROM v", 5, LP) + " SELECT id, n AS value FROM r5")
@@ -243,31 +266,53 @@ def label_propagation(spark, d):
     return components.label_propagation(graph(spark, d), 5)
 
 
-PR = "SELECT x.id, x.r + 0.85 * coalesce(m.s, 0) AS r, CASE WHEN m.s IS NULL THEN x.t ELSE x.r + 0.85 * m.s - x.r END AS t, m.s IS NOT NULL AS moved FROM {p} x LEFT JOIN (SELECT e.dst AS id, sum(p.t / g.n) AS s FROM {p} p JOIN e ON e.src = p.id JOIN g ON g.src = p.id WHERE p.moved AND p.t > 0.0001 GROUP BY e.dst) m ON m.id = x.id"
+PR = (
+    "SELECT x.id, x.r + 0.85 * coalesce(m.s, 0) AS r, CASE WHEN m.s IS NULL THEN x.t ELSE x.r + 0.85 * m.s - x.r END AS t, m.s IS NOT NULL AS"
+    " moved FROM {p} x LEFT JOIN (SELECT e.dst AS id, sum(p.t / g.n) AS s FROM {p} p JOIN e ON e.src = p.id JOIN g ON g.src = p.id"
+    " WHERE p.moved AND p.t > 0.0001 GROUP BY e.dst) m ON m.id = x.id"
+)
 DEG = "g AS (SELECT src, count(*) AS n FROM e GROUP BY src)"
 
 
-@query(f"WITH {V}, {E}, {DEG}, " + _rounds("SELECT id, 0.15::DOUBLE AS r, 0.15::DOUBLE AS t, true AS moved FROM v", 9, PR) + " SELECT id, round(r, 6) AS rank FROM r9")
+@query(f"WITH {V}, {E}, {DEG}, " + _rounds(
+    "SELECT id, 0.15::DOUBLE AS r, 0.15::DOUBLE AS t, true AS moved FROM v", 9, PR) + " SELECT id, round(r, 6) AS rank FROM r9"
+)
 def pagerank(spark, d):
     return rounded(ranking.pagerank(graph(spark, d), 10, tolerance=0.0001, reset_probability=0.15).select("id", "rank"), "rank")
 
 
-@query(f"WITH {V}, {E}, {DEG}, " + _rounds("SELECT id, CASE id WHEN 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS r, CASE id WHEN 3 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS t, true AS moved FROM v", 5, PR.replace("sum(p.t / g.n)", "sum(CASE WHEN isinf(p.t) THEN 1.0 ELSE p.t END / g.n)")) + " SELECT id, round(r, 6) AS rank FROM r5")
+@query(f"WITH {V}, {E}, {DEG}, " + _rounds(
+    "SELECT id, CASE id WHEN 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS r, CASE id WHEN 3 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS t, true AS moved"
+    " FROM v", 5, PR.replace("sum(p.t / g.n)", "sum(CASE WHEN isinf(p.t) THEN 1.0 ELSE p.t END / g.n)")) + " SELECT id, round(r, 6) AS rank FROM r5"
+)
 def pagerank_personalized(spark, d):
     out = ranking.pagerank(graph(spark, d), 6, tolerance=0.0001, reset_probability=0.15, source=3)
     return rounded(out.select("id", "rank"), "rank")
 
 
-@query(f"WITH {V}, {E}, n AS (SELECT src AS id, dst AS b FROM e UNION SELECT dst, src FROM e), c AS (SELECT id, count(*) AS k FROM n GROUP BY id), m AS (SELECT n.id, count(*) AS m FROM n JOIN e ON e.src = n.b JOIN n z ON z.id = n.id AND z.b = e.dst GROUP BY n.id) SELECT v.id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE coalesce(m, 0)::DOUBLE / k / (k - 1) END, 6) AS value FROM v LEFT JOIN c ON c.id = v.id LEFT JOIN m ON m.id = v.id")
+@query(
+    f"WITH {V}, {E}, n AS (SELECT src AS id, dst AS b FROM e UNION SELECT dst, src FROM e), c AS (SELECT id, count(*) AS k FROM n"
+    f" GROUP BY id), m AS (SELECT n.id, count(*) AS m FROM n JOIN e ON e.src = n.b JOIN n z ON z.id = n.id AND z.b = e.dst GROUP BY n.id)"
+    f" SELECT v.id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE coalesce(m, 0)::DOUBLE / k / (k - 1) END, 6) AS value FROM v LEFT"
+    f" JOIN c ON c.id = v.id LEFT JOIN m ON m.id = v.id"
+)
 def clustering_coefficient(spark, d):
     return rounded(basic.clustering_coefficient(graph(spark, d)), "value")
 
 
-SYBIL = "SELECT v.id, coalesce(s, 0) AS r FROM v LEFT JOIN (SELECT e.dst AS id, sum(p.r * e.value / g.d) AS s FROM {p} p JOIN u e ON e.src = p.id JOIN g ON g.src = p.id GROUP BY e.dst) m ON m.id = v.id"
+SYBIL = (
+    "SELECT v.id, coalesce(s, 0) AS r FROM v LEFT JOIN (SELECT e.dst AS id, sum(p.r * e.value / g.d) AS s FROM {p} p JOIN u e ON e.src = p.id"
+    " JOIN g ON g.src = p.id GROUP BY e.dst) m ON m.id = v.id"
+)
 UNDIRECTED = "u AS (SELECT src, dst, value FROM e UNION ALL SELECT a.dst, a.src, a.value FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src)"
 
 
-@query(f"WITH {V}, {E}, {UNDIRECTED}, g AS (SELECT src, sum(value) AS d FROM u GROUP BY src), k AS (SELECT count(*)::DOUBLE / count(*) FILTER (WHERE id % 50 = 0) AS t FROM v), " + _rounds("SELECT id, CASE WHEN id % 50 = 0 THEN t ELSE 0 END AS r FROM v, k", 3, SYBIL) + " SELECT r3.id, round(r / d * 1000, 6) AS rank, r3.id % 50 = 0 AS trusted FROM r3 LEFT JOIN g ON g.src = r3.id")
+@query(
+    f"WITH {V}, {E}, {UNDIRECTED}, g AS (SELECT src, sum(value) AS d FROM u GROUP BY src), k AS (SELECT count(*)::DOUBLE / count(*) FILTER"
+    f" (WHERE id % 50 = 0) AS t FROM v), " + _rounds(
+    "SELECT id, CASE WHEN id % 50 = 0 THEN t ELSE 0 END AS r FROM v, k", 3, SYBIL) +
+    " SELECT r3.id, round(r / d * 1000, 6) AS rank, r3.id % 50 = 0 AS trusted FROM r3 LEFT JOIN g ON g.src = r3.id"
+)
 def sybilrank_three_steps(spark, d):
     g = trust_graph(spark, d)
     # The multiplier makes it three steps at any scale, as the SQL takes; sybilrank takes the operator's own count.
@@ -285,17 +330,29 @@ def reverse_edges(spark, d):
     return basic.reverse_edges(graph(spark, d)).edges
 
 
-@query(f"WITH {E}, {UNDIRECTED}, c AS (SELECT src, count(*) AS n FROM u GROUP BY src), i AS (SELECT a.src, b.src AS dst, count(*) AS i FROM u a JOIN u b ON a.dst = b.dst GROUP BY ALL) SELECT u.src, u.dst, round(coalesce(i, 0)::DOUBLE / (x.n + y.n - coalesce(i, 0)), 6) AS value FROM u JOIN c x ON x.src = u.src JOIN c y ON y.src = u.dst LEFT JOIN i ON i.src = u.src AND i.dst = u.dst")
+@query(
+    f"WITH {E}, {UNDIRECTED}, c AS (SELECT src, count(*) AS n FROM u GROUP BY src), i AS (SELECT a.src, b.src AS dst, count(*) AS i FROM u a"
+    f" JOIN u b ON a.dst = b.dst GROUP BY ALL) SELECT u.src, u.dst, round(coalesce(i, 0)::DOUBLE / (x.n + y.n - coalesce(i, 0)), 6) AS value"
+    f" FROM u JOIN c x ON x.src = u.src JOIN c y ON y.src = u.dst LEFT JOIN i ON i.src = u.src AND i.dst = u.dst"
+)
 def jaccard_similarity(spark, d):
     return rounded(basic.jaccard(graph(spark, d).undirected()), "value")
 
 
-@query(f"WITH {E}, g AS (SELECT src, ln(1.0 / count(*)) AS w FROM e GROUP BY src), s AS (SELECT e.src, e.dst, sum(w) AS s FROM e JOIN e a ON a.dst = e.src JOIN e b ON b.dst = e.dst AND b.src = a.src JOIN g ON g.src = a.src GROUP BY ALL) SELECT e.src, e.dst, round(coalesce(s, 0), 6) AS value FROM e LEFT JOIN s ON s.src = e.src AND s.dst = e.dst")
+@query(
+    f"WITH {E}, g AS (SELECT src, ln(1.0 / count(*)) AS w FROM e GROUP BY src), s AS (SELECT e.src, e.dst, sum(w) AS s FROM e"
+    f" JOIN e a ON a.dst = e.src JOIN e b ON b.dst = e.dst AND b.src = a.src JOIN g ON g.src = a.src GROUP BY ALL)"
+    f" SELECT e.src, e.dst, round(coalesce(s, 0), 6) AS value FROM e LEFT JOIN s ON s.src = e.src AND s.dst = e.dst"
+)
 def adamic_adar(spark, d):
     return rounded(basic.adamic_adar(graph(spark, d).map_edges(lambda s, t, v: F.lit(0.0)))[1], "value")
 
 
-@query(f"WITH {E}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS count FROM (SELECT unnest([i, j, k, -1]) AS id FROM t) GROUP BY id")
+@query(
+    f"WITH {E}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x"
+    f" JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS count FROM (SELECT unnest([i, j, k, -1]) AS id FROM t)"
+    f" GROUP BY id"
+)
 def triangle_count(spark, d):
     return basic.triangles(graph(spark, d).edges)
 
@@ -320,10 +377,18 @@ def b_matching(spark, d):
     return matching.b_matching(g)
 
 
-KM = "SELECT cluster, list(m ORDER BY k) AS c FROM (SELECT cluster, k, avg(p[k]) AS m FROM (SELECT a.cluster, x.p, unnest(range(1, 65)) AS k FROM x JOIN (SELECT x.id, arg_min(r.cluster, (list_distance(x.p, r.c), r.cluster)) AS cluster FROM x, {p} r GROUP BY x.id) a ON a.id = x.id) GROUP BY cluster, k) GROUP BY cluster"
+KM = (
+    "SELECT cluster, list(m ORDER BY k) AS c FROM (SELECT cluster, k, avg(p[k]) AS m FROM (SELECT a.cluster, x.p, unnest(range(1, 65)) AS k"
+    " FROM x JOIN (SELECT x.id, arg_min(r.cluster, (list_distance(x.p, r.c), r.cluster)) AS cluster FROM x, {p} r"
+    " GROUP BY x.id) a ON a.id = x.id) GROUP BY cluster, k) GROUP BY cluster"
+)
 
 
-@query("WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS p FROM embeddings), " + _rounds("SELECT CAST(id AS INTEGER) AS cluster, p AS c FROM x WHERE id < 10", 3, KM) + " SELECT x.id, arg_min(r.cluster, (list_distance(x.p, r.c), r.cluster)) AS cluster FROM x, r3 r GROUP BY x.id")
+@query(
+    "WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS p FROM embeddings), " + _rounds(
+    "SELECT CAST(id AS INTEGER) AS cluster, p AS c FROM x WHERE id < 10", 3, KM) +
+    " SELECT x.id, arg_min(r.cluster, (list_distance(x.p, r.c), r.cluster)) AS cluster FROM x, r3 r GROUP BY x.id"
+)
 def kmeans(spark, d):
     p = datasets.points(spark, d)
     first = [list(r[0]) for r in p.where("id < 10").orderBy("id").select("point").collect()]
@@ -392,7 +457,10 @@ class Totals(VertexProgram):
         vertex.aggregate("largest", int(vertex.id))
 
 
-@query(f"WITH {V}, {E} SELECT 3 * (SELECT count(*) FROM v) AS vertices, round((SELECT sum(value) FROM e), 2) AS weight, (SELECT max(id) FROM v) AS largest")
+@query(
+    f"WITH {V}, {E} SELECT 3 * (SELECT count(*) FROM v) AS vertices, round((SELECT sum(value) FROM e), 2) AS weight, (SELECT max(id)"
+    f" FROM v) AS largest"
+)
 def pregel_aggregators(spark, d):
     a = pregel(graph(spark, d), Totals()).aggregates
     return spark.createDataFrame([(a["vertices"], round(a["weight"], 2), a["largest"])], "vertices long, weight double, largest long")
@@ -475,7 +543,10 @@ def stream_slice_reduce(spark, d):
     return drained(stream(spark, d).slice("1 day").reduce_on_edges("max")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "id", "value")
 
 
-@query(f"WITH {S}, h AS (SELECT unnest([time_bucket(INTERVAL 12 hour, ts), time_bucket(INTERVAL 12 hour, ts) - INTERVAL 12 hour]) AS start, dst AS id, src AS nbr, ts, seq FROM s) SELECT start, id, string_agg(nbr::VARCHAR, ',' ORDER BY ts, seq) AS value FROM h GROUP BY start, id")
+@query(
+    f"WITH {S}, h AS (SELECT unnest([time_bucket(INTERVAL 12 hour, ts), time_bucket(INTERVAL 12 hour, ts) - INTERVAL 12 hour]) AS start, dst AS"
+    f" id, src AS nbr, ts, seq FROM s) SELECT start, id, string_agg(nbr::VARCHAR, ',' ORDER BY ts, seq) AS value FROM h GROUP BY start, id"
+)
 def stream_slice_fold(spark, d):
     w = stream(spark, d).slice("1 day", "12 hours", IN)
     joined = lambda a, r: F.when(a == "", r["neighbor"].cast("string")).otherwise(F.concat_ws(",", a, r["neighbor"].cast("string")))
@@ -512,7 +583,11 @@ def stream_bipartiteness(spark, d):
     return summaries.Bipartiteness().run(stream(spark, d))
 
 
-@query(f"WITH {S}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS count FROM (SELECT unnest([i, j, k, -1]) AS id FROM t) GROUP BY id")
+@query(
+    f"WITH {S}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM s"
+    f" WHERE src <> dst), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b)"
+    f" SELECT id, count(*) AS count FROM (SELECT unnest([i, j, k, -1]) AS id FROM t) GROUP BY id"
+)
 def stream_triangles(spark, d):
     return summaries.Triangles().run(stream(spark, d))
 

@@ -59,7 +59,10 @@ def text_edges_small_types(spark, d):
     return text.read_edges(spark, path, "integer", "float")
 
 
-RATINGS = "SELECT CAST(l_suppkey AS BIGINT) AS user_id, CAST(l_partkey AS BIGINT) AS item_id, CAST(sum(l_linenumber) AS FLOAT) AS rating FROM lineitem GROUP BY ALL"
+RATINGS = (
+    "SELECT CAST(l_suppkey AS BIGINT) AS user_id, CAST(l_partkey AS BIGINT) AS item_id, CAST(sum(l_linenumber) AS FLOAT) AS rating"
+    " FROM lineitem GROUP BY ALL"
+)
 
 
 def whole_ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +100,10 @@ def import_ratings(spark, d):
 # Change logs
 
 
-@query("SELECT CAST(o_custkey AS BIGINT) AS id, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY o_custkey HAVING arg_max(o_totalprice, o_orderkey) >= 50000")
+@query(
+    "SELECT CAST(o_custkey AS BIGINT) AS id, arg_max(o_totalprice, o_orderkey) AS value FROM orders"
+    " GROUP BY o_custkey HAVING arg_max(o_totalprice, o_orderkey) >= 50000"
+)
 def change_log_table(spark, d):
     """The last order of each customer counts; one under 50000 deletes its key. The log is written in two parts."""
     path = folder(spark, "log")
@@ -157,7 +163,10 @@ def supply_degrees(spark, d):
     return both.where("value is not null").select("id", "value.degree", "value.weight")
 
 
-@query(f"WITH {V}, {E} SELECT id, count(src) AS n, round(coalesce(sum(e.value) FILTER (WHERE dst > id), 0), 2) AS up FROM v LEFT JOIN e ON src = id GROUP BY id")
+@query(
+    f"WITH {V}, {E} SELECT id, count(src) AS n, round(coalesce(sum(e.value) FILTER (WHERE dst > id), 0), 2) AS up FROM v LEFT JOIN e ON src = id"
+    f" GROUP BY id"
+)
 def group_apply_on_edges(spark, d):
     def totals(vertex: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         up = edges.loc[edges["dst"] > vertex["id"].iloc[0], "value"].sum()
@@ -174,7 +183,10 @@ def group_apply_on_neighbors(spark, d):
     return graph(spark, d).group_apply_on_neighbors(sources, "id long, sources string", "IN")
 
 
-@query(f"WITH {S} SELECT src, dst, array_to_string(list_sort(list_distinct(list(dst) OVER (PARTITION BY src ORDER BY ts, seq))), ',') AS neighbors FROM s")
+@query(
+    f"WITH {S} SELECT src, dst, array_to_string(list_sort(list_distinct(list(dst) OVER (PARTITION BY src ORDER BY ts, seq))), ',') AS neighbors"
+    f" FROM s"
+)
 def stream_neighborhood_rows(spark, d):
     rows = drained(stream(spark, d).neighborhood_rows(order=("ts", "seq")), "append")
     return rows.select("src", "dst", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
@@ -270,7 +282,10 @@ def pregel_every_aggregator(spark, d):
     return spark.createDataFrame([tuple(a.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in a.items()))
 
 
-@query(f"WITH {V}, {E} SELECT v.id, CASE WHEN v.id = 0 THEN 0 WHEN src IS NOT NULL THEN 1 ELSE 9223372036854775807 END AS value FROM v LEFT JOIN (SELECT * FROM e WHERE src = 0) ON dst = v.id")
+@query(
+    f"WITH {V}, {E} SELECT v.id, CASE WHEN v.id = 0 THEN 0 WHEN src IS NOT NULL THEN 1 ELSE 9223372036854775807 END AS value FROM v LEFT"
+    f" JOIN (SELECT * FROM e WHERE src = 0) ON dst = v.id"
+)
 def bfs_one_step(spark, d):
     """A number of iterations ends a run early."""
     return traversal.bfs(graph(spark, d), 0, max_iterations=1)
@@ -303,7 +318,10 @@ def service_result_by_key(spark, d):
     return s.result(run, "17")
 
 
-@query(f"WITH {V} SELECT 'Everything' AS algorithm, 'COMPLETED' AS state, 0 AS superstep, (SELECT CAST(sum(id) AS VARCHAR) FROM v) AS long_sum, '1' AS note, false AS known_after_delete, 'UP' AS health")
+@query(
+    f"WITH {V} SELECT 'Everything' AS algorithm, 'COMPLETED' AS state, 0 AS superstep, (SELECT CAST(sum(id) AS VARCHAR)"
+    f" FROM v) AS long_sum, '1' AS note, false AS known_after_delete, 'UP' AS health"
+)
 def service_status(spark, d):
     s, run = _served(spark, d, Everything(), {"note": "1"})
     status, note = s.status(run), s.configs(run)["note"]
