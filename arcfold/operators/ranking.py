@@ -50,7 +50,9 @@ def sybilrank(graph: Graph, *, total_trust: float | None = None, iteration_multi
     state = graph.vertices.select("id", F.when(F.col("value.trusted"), F.lit(float(share))).otherwise(0.0).alias("r"))
     for _ in range(max(1, math.ceil(iteration_multiplier * math.log10(max(n, 1))))):
         sums = edges.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("_to").alias("id")).agg(F.sum(F.col("r") * F.col("_w")).alias("s"))
-        state = staged(graph.vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("r")), "trust")
+        new = staged(graph.vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("r")), "trust")
+        forget(state)
+        state = new
     edges.unpersist()
     out = graph.vertices.select("id", F.col("value.trusted").alias("trusted")).join(state, "id").join(degree.withColumnRenamed("src", "id"), "id", "left")
     return out.select("id", (F.col("r") / F.col("_d")).alias("rank"), "trusted")
