@@ -2,7 +2,7 @@
 
 Winnowed anchors deal the windows of `report` bytes to blocks in which all equal windows meet, and drop those that
 cannot repeat. Runs of windows that are equal as a whole, with what lies within `window` bytes of them, are one kind:
-its first run is sorted for all of them, twice if there are more. The suffixes of a block are sorted in two stages:
+its first run is sorted for all of them, as a string that is there several times. The suffixes of a block are sorted in two stages:
 those smaller than their successor directly, by eight bytes at a time in groups that still tie (and longer stretches
 at once where all of a group agree), the others by scanning the buckets of first bytes in order and putting each
 suffix behind its successor's place. Common prefixes of neighbours then tell which windows occur again: those of
@@ -38,6 +38,11 @@ BLOCK = 1 << 20
 LEAP = 64
 
 
+#: Masks of the first k bytes of eight, and what the hash takes for each byte (and, first, the end of a string).
+HEADS = np.array([(1 << 64) - (1 << (64 - 8 * k)) for k in range(9)], np.uint64)
+VALUES = textkit.mix(np.arange(1, 258, dtype=np.uint64))
+
+
 class Suffixes:
     """The sorted suffixes of some strings, right in their first `depth` bytes: all of them, or the first counts[i] of
     each and those that these are induced from."""
@@ -54,11 +59,11 @@ class Suffixes:
         self.end = np.repeat(ends, size + 1)
         n = len(self.text)
         # Eight bytes from each place on, in sorting order; past the end of a string zeros.
-        b = np.append(np.maximum(self.text - 1, 0).astype(np.uint64), np.zeros(8, np.uint64))
-        self.eight = np.zeros(n, np.uint64)
-        for k in range(8):
-            self.eight |= np.where(np.arange(n) + k < self.end, b[k : k + n], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
-        self.sums = textkit.Sums(textkit.mix(self.text.astype(np.uint64) + np.uint64(1)))
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n][self.own] = np.frombuffer(raw, np.uint8)
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]
+        self.eight = np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64) & HEADS[np.minimum(self.end - np.arange(n), 8)]
+        self.sums = textkit.Sums(VALUES[self.text])
         self._smaller()
         self.wanted = np.ones(n, bool)
         if counts is not None:
@@ -187,24 +192,26 @@ class Suffixes:
         return np.append(0, np.minimum(out, room))[: len(self.order)]
 
 
-def occurrences(strings: list[bytes], counts: np.ndarray, sizes: tuple[int, ...]) -> list[list[np.ndarray]]:
+def occurrences(strings: list[bytes], counts: np.ndarray, sizes: tuple[int, ...], copies: np.ndarray | None = None) -> list[list[np.ndarray]]:
     """For each size and string, which of the string's first counts[i] places begin a stretch of that many bytes that
-    begins at another of these places too."""
+    begins at another of these places too. Strings marked in `copies` are there several times: each suffix of a copy
+    would lie right beside the first's and have all of it in common, so it is not sorted again."""
     s = Suffixes(strings, max(sizes), counts)
     starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in strings])])[:-1]
-    asked = np.zeros(len(s.text), bool)
-    asked[textkit.expand(starts, counts)] = True
-    at = np.flatnonzero(asked[s.order])
+    asked = textkit.expand(starts, counts)
+    wanted = np.zeros(len(s.text), bool)
+    wanted[asked] = True
+    at = np.flatnonzero(wanted[s.order])
     places = s.order[at]
-    out = []
     # Between two places that are asked for, the least common prefix on the way is theirs.
     common = np.minimum.reduceat(s.common(), at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)
-    for size in sizes:
-        again = np.zeros(len(s.text), bool)
-        near = common >= size
-        again[places[1:][near]] = again[places[:-1][near]] = True
-        out.append([again[a : a + n] for a, n in zip(starts.tolist(), counts.tolist(), strict=True)])
-    return out
+    most = np.zeros(len(s.text), np.int64)
+    most[places[1:]] = common
+    most[places[:-1]] = np.maximum(most[places[:-1]], common)
+    if copies is not None:
+        own = asked[np.repeat(copies, counts)]
+        most[own] = s.end[own] - own
+    return [[most[a : a + n] >= size for a, n in zip(starts.tolist(), counts.tolist(), strict=True)] for size in sizes]
 
 
 def repeated(strings: list[bytes], window: int) -> list[np.ndarray]:
@@ -277,14 +284,15 @@ def _solve(window: int, report: int):
 
     def close(held: list[dict]) -> pa.RecordBatch:
         rows: list[list] = [[], [], [], [], []]
-        every = held + [r for r in held if r["twice"]]
-        counts = np.array([r["count"] for r in every], np.int64)
-        for kind, (size, found) in enumerate(zip((window, report), occurrences([r["piece"] for r in every], counts, (window, report)), strict=True)):
-            for r, again in zip(held, found, strict=False):
+        counts, copies = np.array([r["count"] for r in held], np.int64), np.array([r["twice"] for r in held], bool)
+        solved = occurrences([r["piece"] for r in held], counts, (window, report), copies)
+        for kind, (size, found) in enumerate(zip((window, report), solved, strict=True)):
+            for r, again in zip(held, found, strict=True):
                 if again.any():
                     at = np.flatnonzero(again)
                     a, b = textkit.merge(at, at + size)
-                    for c, v in zip(rows, ([r["anchor"]] * len(a), [r["content"]] * len(a), [kind] * len(a), a.tolist(), b.tolist()), strict=True):
+                    new = ([r["anchor"]] * len(a), [r["content"]] * len(a), [kind] * len(a), a.tolist(), b.tolist())
+                    for c, v in zip(rows, new, strict=True):
                         c.extend(v)
         return pa.record_batch([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
@@ -297,7 +305,7 @@ def _solve(window: int, report: int):
                     held, size = [], 0
                 anchor = r["anchor"]
                 held.append(r)
-                size += len(r["piece"]) * (1 + r["twice"])
+                size += len(r["piece"])
         if held:
             yield close(held)
 
