@@ -525,25 +525,35 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Groups that are not one component yet, though not all of their members met the same center.
     info = _with_component(_merge(first, cands.select("key", "doc_id"), "key"), "doc_id", found).select("key", "first", "component")
-    spread = _merge(grouped, info, "key").groupBy("sig").agg(*(f(c).alias(f"{n}_{c}") for c in ("first", "component") for n, f in (("lo", F.min), ("hi", F.max))))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("first", "component") for n, f in (("lo", F.min), ("hi", F.max))]
+    spread = _merge(grouped, info, "key").groupBy("sig").agg(*ends)
     spread = runtime.staged(spread.where("lo_first <> hi_first and lo_component <> hi_component").select("sig"), "spread")
-    other = _merge(grouped, spread, "sig").where("lead <> key").select("lead", "key").distinct()
-    other = _merge(other, stars, ["lead", "key"], "left_anti")
-    more = runtime.staged(_meet(other, cands, num, den), "met")
-    found = _joined(found, more.where("linked").select("a", "b"))
+    if not spread.isEmpty():
+        other = _merge(grouped, spread, "sig").where("lead <> key").select("lead", "key").distinct()
+        other = _merge(other, stars, ["lead", "key"], "left_anti")
+        more = runtime.staged(_meet(other, cands, num, den), "met")
+        found = _joined(found, more.where("linked").select("a", "b"))
+        met = met.unionByName(more)
     runtime.forget(grouped)
+    found = _beside_centers(met, found, num, den)
+    out = _merge(sets, found.withColumnRenamed("id", "class"), "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component)
 
-    # Differences from common centers, where these leave several components, and then from what most members have.
-    met = met.unionByName(more)
+
+def _beside_centers(met: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """found, with the links among members of a center where these are several components: their differences from the
+    center, and then from what most members have, are joined."""
     member = runtime.staged(_with_component(met.select("lead", "key", "b"), "b", found).drop("b"), "members")
-    mixed = member.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    mixed = runtime.staged(mixed.select("lead", "members"), "mixed")
+    mixed = member.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    mixed = runtime.staged(mixed.where("lo <> hi").select("lead", "members"), "mixed")
+    if mixed.isEmpty():
+        return found
     member = runtime.swept(_merge(met, _merge(member, mixed, "lead"), ["lead", "key"]), "differences")
-    runtime.forget(more)
     counted = member.select("lead", "outs", "tokens").mapInArrow(_token_rows, "lead long, token long, lack boolean")
     counted = runtime.staged(counted.groupBy("lead", "token", "lack").agg(F.count("*").alias("n")).where("n > 1"), "token-counts")
-    most = _merge(counted, mixed, "lead").where("2 * n > members").groupBy("lead")
-    most = most.agg(*(F.collect_list(F.when(c, F.col("token"))).alias(n) for n, c in (("join", ~F.col("lack")), ("leave", F.col("lack")))))
+    sides = [F.collect_list(F.when(c, F.col("token"))).alias(n) for n, c in (("join", ~F.col("lack")), ("leave", F.col("lack")))]
+    most = _merge(counted, mixed, "lead").where("2 * n > members").groupBy("lead").agg(*sides)
     member = _merge(member, runtime.staged(most, "cores"), "lead", "left").mapInArrow(_recentered(num, den), MEMBERS)
     member = runtime.swept(member, "differences")
     # The bands of a center's members, linked to it or not: as many at most as there are bands.
@@ -552,25 +562,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     terms = runtime.staged(_merge(member, bands, "lead").mapInArrow(_sign_differences(num, den), TERMS), "terms")
     # The center of a group is its lightest member; the group's others meet it first.
     center = F.min(F.struct("weight", "key")).getField("key").alias("center")
-    groups = terms.groupBy("sig").agg(center, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    groups = runtime.staged(groups.select("sig", "center"), "groups")
+    apart = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    groups = runtime.staged(terms.groupBy("sig").agg(center, *apart).where("lo <> hi").select("sig", "center"), "groups")
+    if groups.isEmpty():
+        return found
     terms = runtime.staged(_merge(terms, groups, "sig"), "terms")
     star = terms.where("center <> key").select("lead", F.col("center").alias("x"), F.col("key").alias("y")).distinct()
     found = _joined(found, _meet_differences(star, member, num, den))
     # What is still apart meets in pairs.
     now = _with_component(member.select("lead", "key", "b"), "b", found).select("lead", "key", F.col("component").alias("now"))
     terms = _merge(terms, now, ["lead", "key"]).select("sig", "lead", "key", "weight", "gap", "room", F.col("now").alias("component"))
-    groups = terms.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    terms = runtime.staged(_merge(terms, runtime.staged(groups, "groups"), "sig"), "terms")
+    groups = runtime.staged(terms.groupBy("sig").agg(*apart).where("lo <> hi").select("sig"), "groups")
+    if groups.isEmpty():
+        return found
+    terms = runtime.staged(_merge(terms, groups, "sig"), "terms")
     x, y = terms.alias("x"), terms.select("sig", "key", "weight", "room", "component").alias("y").hint("merge")
     near = F.col("x.weight") + F.col("y.weight") - F.col("x.gap") <= F.least("x.room", "y.room") * (num + den)
-    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, apart & near).select("lead", F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
-    pairs = runtime.staged(pairs, "pairs")
-    found = _joined(found, _meet_differences(pairs, member, num, den))
-    out = _merge(sets, found.withColumnRenamed("id", "class"), "class", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class")).alias("component_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component)
+    differ = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    pairs = x.join(y, differ & near).select("lead", F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
+    return _joined(found, _meet_differences(runtime.staged(pairs, "pairs"), member, num, den))
 
 
 def _with_component(df: DataFrame, doc: str, found: DataFrame) -> DataFrame:
