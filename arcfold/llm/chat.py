@@ -10,7 +10,8 @@ formatted text reads back exactly.
 
 Defined results: rows are ordered by turn, ties by role and text, nulls first; a null text or role is empty; roles
 other than the three known ones render like users; a row without a conversation id belongs to the conversation
-null; repeated rows are turns of their own; an empty table gives no rows.
+null; repeated rows are turns of their own; an empty table gives no rows; conversation ids are integers (others are
+cast, and what can't be raises); other columns of the input, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -100,17 +101,47 @@ def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render) ->
     return _prefixes(turns, template)
 
 
-SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("turn_spans", pa.list_(pa.list_(pa.int64()))), ("loss_spans", pa.list_(pa.list_(pa.int64()))), ("loss_text", pa.string()), ("rewrites_history", pa.bool_())])
-DDL = "conv_id long, formatted string, roles array<string>, texts array<string>, turn_spans array<array<long>>, loss_spans array<array<long>>, loss_text string, rewrites_history boolean"
-
-
-def format_turns(conv_id: int | None, turns: list[Turn], template: Callable[[list[Turn]], str] = render, read: Callable[[str], Turn] = read_turn, undo: Callable[[str], str] = unescape) -> dict:
+_TEXTS, _SPANS = pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))
+SCHEMA = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("formatted", pa.string()),
+        ("roles", _TEXTS),
+        ("texts", _TEXTS),
+        ("turn_spans", _SPANS),
+        ("loss_spans", _SPANS),
+        ("loss_text", pa.string()),
+        ("rewrites_history", pa.bool_()),
+    ]
+)
+DDL = (
+    "conv_id long, formatted string, roles array<string>, texts array<string>, turn_spans array<array<long>>, "
+    "loss_spans array<array<long>>, loss_text string, rewrites_history boolean"
+)
+
+
+def format_turns(
+    conv_id: int | None,
+    turns: list[Turn],
+    template: Callable[[list[Turn]], str] = render,
+    read: Callable[[str], Turn] = read_turn,
+    undo: Callable[[str], str] = unescape,
+) -> dict:
     """One conversation's row; what it says of turns and loss is read back from the formatted text."""
     at = locate(turns, template)
     out, ok = at["formatted"], not at["rewritten"]
     back = [read(out[a:b]) for a, b in at["spans"]] if ok else []
     loss = [t for (role, _), t in zip(turns, at["texts"], strict=True) if role == "assistant" and t] if ok else []
-    return {"conv_id": conv_id, "formatted": out, "roles": [r for r, _ in back], "texts": [t for _, t in back], "turn_spans": [list(s) for s in at["spans"]] if ok else [], "loss_spans": [list(s) for s in loss], "loss_text": "".join(undo(out[a:b]) for a, b in loss), "rewrites_history": not ok}
+    return {
+        "conv_id": conv_id,
+        "formatted": out,
+        "roles": [r for r, _ in back],
+        "texts": [t for _, t in back],
+        "turn_spans": [list(s) for s in at["spans"]] if ok else [],
+        "loss_spans": [list(s) for s in loss],
+        "loss_text": "".join(undo(out[a:b]) for a, b in loss),
+        "rewrites_history": not ok,
+    }
 
 
 def _format(template, read, undo):

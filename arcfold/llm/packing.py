@@ -11,7 +11,8 @@ then looked up by hash; they end where the tokenizer ends a token in any context
 text.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no
-pieces; ids of null documents stay null. Sequence ids are unique but not dense.
+pieces; ids of null documents stay null; ids are integers (others are cast, and what can't be raises); other columns
+of the input, whatever their names, take no part. Sequence ids are unique but not dense.
 """
 
 from __future__ import annotations

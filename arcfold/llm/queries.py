@@ -28,7 +28,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcfold.llm.decontaminate import decontaminate
 
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    n_items = F.size("items").cast("long").alias("n_items")
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", n_items, items, "contaminated")
 
 
 OP2_SQL = r"""
@@ -160,7 +162,14 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = format_chats(rows)
     turns = F.concat_ws("", F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n"))))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return out.select("conv_id", F.size("roles").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return out.select(
+        "conv_id",
+        F.size("roles").cast("long").alias("n_turns"),
+        sha(turns).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        sha(F.col("loss_text")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 #: Length of a text with its backslashes doubled and its control strings broken by one.
@@ -192,5 +201,19 @@ m AS (SELECT doc_id, no, line, top IS NOT NULL AND top <> doc_id AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op5_substring_dedup, op6_warc, op7_language, op8_chat, op9_suffix_dedup, op10_dedup_lines)}
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_dedup_lines": OP10_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_tiff, op2_decontaminate, op3_pack, op4_jaccard_join, op5_substring_dedup),
+        *(op6_warc, op7_language, op8_chat, op9_suffix_dedup, op10_dedup_lines),
+    )
+}
+ORACLES = {
+    "op2_decontaminate": OP2_SQL,
+    "op4_jaccard_join": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op6_warc": OP6_SQL,
+    "op8_chat": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op10_dedup_lines": OP10_SQL,
+}
