@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcfold.__main__ import main
+from arcfold.functions.javarandom import JavaRandom
 from arcfold.graph import Graph
 from arcfold.operators import aggregators, factorization, traversal
 from arcfold.operators.pregel import Vertex, VertexProgram, pregel
-from arcfold.plans.graph_queries import ORACLES, QUERIES, WCC, E, S, V, graph, query, rounded, stream
+from arcfold.plans.graph_queries import ORACLES, QUERIES, SPREAD, WCC, E, S, V, _rounds, _settled, graph, query, rounded, stream
 from arcfold.plans.lineage import shared_dir
 from arcfold.service import Service
 from arcfold.sources import datasets, logs, text
+from arcfold.streaming import summaries
 from arcfold.streaming.runner import drained
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -352,3 +354,75 @@ def als_two_half_steps(spark, d):
     """Items after users and items were solved once each, with two factors."""
     items = factorization.als(whole_ratings(spark, d), dim=2, iterations=4, seed=0)[1]
     return rounded(items.select("id", F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2")), "f1", "f2", digits=3)
+
+
+def _fold(fields: str, first: str, rest: str, step: str) -> str:
+    """A left fold over a list of structs, in SQL."""
+    names = [f.strip() for f in fields.split(",")]
+    cast = lambda row: "{" + ", ".join(f"'{n}': CAST({x} AS FLOAT)" for n, x in zip(names, row.split(";"), strict=True)) + "}"
+    return f"list_reduce(list_prepend({cast(first)}, {rest.replace('ROW', cast('; '.join(['0'] * (len(names) - 1)) + '; rating'))}), lambda s, x: {cast(step)})"
+
+
+#: One vertex's ratings in the order of the others' ids.
+_SEEN = "list(ROW ORDER BY item_id)"
+
+
+def _sgd_sql() -> str:
+    u, lam, gamma = START, "CAST(0.01 AS FLOAT)", "CAST(0.005 AS FLOAT)"
+    err = f"(greatest(CAST(0 AS FLOAT), least(CAST(5 AS FLOAT), s.a * CAST({u[0]!r} AS FLOAT) + s.b * CAST({u[1]!r} AS FLOAT))) - x.r)"
+    step = "; ".join(f"s.{n} - (s.{n} * {lam} + CAST({u[k]!r} AS FLOAT) * {err}) * {gamma}" for k, n in enumerate("ab"))
+    fold = _fold("a, b, r", f"{u[0]!r}; {u[1]!r}; 0", _SEEN, step + "; 0")
+    return f"SELECT id, round(CAST(v.a AS DOUBLE), 4) AS f1, round(CAST(v.b AS DOUBLE), 4) AS f2 FROM (SELECT user_id AS id, {fold} AS v FROM ({RATINGS}) GROUP BY user_id)"
+
+
+@query(_sgd_sql())
+def sgd_user_step(spark, d):
+    """Users after they went through all their ratings once, with two factors."""
+    users = factorization.sgd(whole_ratings(spark, d), dim=2, iterations=3, seed=0)[0]
+    return rounded(users.select("id", F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2")), "f1", "f2", digits=4)
+
+
+def _svdpp_sql() -> str:
+    draws = JavaRandom(0)
+    x = [float(factorization.SCALE * draws.next_float()) for _ in range(2)]
+    p, bu = x, float(draws.next_float())
+    draws = JavaRandom(0)
+    x = [float(factorization.SCALE * draws.next_float()) for _ in range(4)]
+    (q, y), bi = (x[::2], x[1::2]), float(draws.next_float())
+    f = lambda v: f"CAST({v!r} AS FLOAT)"
+    guess = f"s.m + s.base + {f(bi)} + ({f(q[0])} * (s.p1 + s.s1) + {f(q[1])} * (s.p2 + s.s2))"
+    err = f"(greatest(CAST(0 AS FLOAT), least(CAST(5 AS FLOAT), {guess})) - x.r)"
+    step = f"s.base + {f(0.005)} * ({err} - {f(0.01)} * s.base); "
+    step += "; ".join(f"s.p{k + 1} + (s.p{k + 1} * -{f(0.00005)} + {f(q[k])} * ({err} * {f(0.005)}))" for k in (0, 1))
+    fold = _fold("base, p1, p2, s1, s2, m, r", f"{bu!r}; {p[0]!r}; {p[1]!r}; sqrt(count(*)) * {y[0]!r}; sqrt(count(*)) * {y[1]!r}; any_value(m); 0", _SEEN, step + "; s.s1; s.s2; s.m; 0")
+    return (
+        f"WITH r AS ({RATINGS}), m AS (SELECT sum(CAST(rating AS DOUBLE)) / (2 * count(*)) AS m FROM r)"
+        " SELECT id, round(CAST(v.base AS DOUBLE), 3) AS baseline, round(CAST(v.p1 AS DOUBLE), 3) AS f1, round(CAST(v.p2 AS DOUBLE), 3) AS f2"
+        f" FROM (SELECT user_id AS id, {fold} AS v FROM r, m GROUP BY user_id)"
+    )
+
+
+@query(_svdpp_sql())
+def svdpp_user_step(spark, d):
+    users = factorization.svdpp(whole_ratings(spark, d), dim=2, iterations=3, seed=0)[0]
+    out = users.select("id", F.col("baseline").cast("double").alias("baseline"), F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2"))
+    return rounded(out, "baseline", "f1", "f2", digits=3)
+
+
+# Summaries
+
+
+class LatestComponents(summaries.ConnectedComponents):
+    """Components of the last window alone."""
+
+    transient = True
+
+
+@query(
+    f"WITH {S}, w AS (SELECT *, time_bucket(INTERVAL 10 day, ts, TIMESTAMP '1970-01-01') AS w FROM s), x AS (SELECT src, dst FROM w WHERE w = (SELECT max(w) FROM w)),"
+    " u AS (SELECT src AS a, dst AS b FROM x UNION SELECT dst, src FROM x), "
+    + _rounds("SELECT DISTINCT a AS id, a AS n FROM u", 20, SPREAD)
+    + f" SELECT id, n AS component FROM r20 WHERE {_settled(20)}"
+)
+def transient_components(spark, d):
+    return LatestComponents().over(datasets.event_edges(spark, d), window="10 days").select("id", "component")
