@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -300,27 +299,25 @@ def clustering_coefficient(spark, d):
     return rounded(basic.clustering_coefficient(graph(spark, d)), "value")
 
 
-SYBIL = (
-    "SELECT v.id, coalesce(s, 0) AS r FROM v LEFT JOIN (SELECT e.dst AS id, sum(p.r * e.value / g.d) AS s FROM {p} p JOIN u e ON e.src = p.id"
-    " JOIN g ON g.src = p.id GROUP BY e.dst) m ON m.id = v.id"
-)
 UNDIRECTED = "u AS (SELECT src, dst, value FROM e UNION ALL SELECT a.dst, a.src, a.value FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src)"
 
 
-@query(
-    f"WITH {V}, {E}, {UNDIRECTED}, g AS (SELECT src, sum(value) AS d FROM u GROUP BY src), k AS (SELECT count(*)::DOUBLE / count(*) FILTER"
-    f" (WHERE id % 50 = 0) AS t FROM v), " + _rounds(
-    "SELECT id, CASE WHEN id % 50 = 0 THEN t ELSE 0 END AS r FROM v, k", 3, SYBIL) +
-    " SELECT r3.id, round(r / d * 1000, 6) AS rank, r3.id % 50 = 0 AS trusted FROM r3 LEFT JOIN g ON g.src = r3.id"
-)
-def sybilrank_three_steps(spark, d):
-    g = trust_graph(spark, d)
-    # The multiplier makes it three steps at any scale, as the SQL takes; sybilrank takes the operator's own count.
-    n = g.vertices.count()
-    return rounded(ranking.sybilrank(g, iteration_multiplier=3 / math.log10(n) - 1e-9).withColumn("rank", F.col("rank") * 1000), "rank")
+def _sybil_sql(most: int = 9) -> str:
+    """As many steps as the logarithm of the vertices asks for, up to `most`."""
+    step = (
+        "SELECT x.id, CASE WHEN {i} <= k.steps THEN coalesce(s, 0) ELSE x.r END AS r FROM r{p} x CROSS JOIN k LEFT JOIN"
+        " (SELECT e.dst AS id, sum(p.r * e.value / g.d) AS s FROM r{p} p JOIN u e ON e.src = p.id JOIN g ON g.src = p.id GROUP BY e.dst) m ON m.id = x.id"
+    )
+    rounds = ", ".join(f"r{i} AS ({step.format(i=i, p=i - 1)})" for i in range(1, most + 1))
+    return (
+        f"WITH {V}, {E}, {UNDIRECTED}, g AS (SELECT src, sum(value) AS d FROM u GROUP BY src),"
+        " k AS (SELECT count(*)::DOUBLE / count(*) FILTER (WHERE id % 50 = 0) AS t, greatest(1, ceil(log10(count(*)))) AS steps FROM v),"
+        f" r0 AS (SELECT id, CASE WHEN id % 50 = 0 THEN t ELSE 0 END AS r FROM v, k), {rounds}"
+        f" SELECT r{most}.id, round(r / d * 1000, 6) AS rank, r{most}.id % 50 = 0 AS trusted FROM r{most} LEFT JOIN g ON g.src = r{most}.id"
+    )
 
 
-@query(None)
+@query(_sybil_sql())
 def sybilrank(spark, d):
     return rounded(ranking.sybilrank(trust_graph(spark, d)).withColumn("rank", F.col("rank") * 1000), "rank")
 
