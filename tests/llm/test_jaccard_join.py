@@ -58,9 +58,9 @@ def test_more_copies_than_are_broadcast(spark, monkeypatch):
 
 
 def test_large_arrow_batches(spark):
-    n = 33_000
-    pair = lambda i: [(2 * i + k, " ".join(f"p{i}w{j}" for j in range(20)) + " end" * k) for k in (0, 1)]
-    df = spark.createDataFrame([r for i in range(n) for r in pair(i)], "doc_id long, text string").coalesce(1)
+    n = 33_000  # pairs: more documents than 16 bits tell apart, in one batch
+    words = "array_join(transform(sequence(0, 19), j -> concat('p', id div 2, 'w', j)), ' ')"
+    df = spark.range(0, 2 * n, 1, 1).selectExpr("id AS doc_id", f"concat({words}, if(id % 2 = 1, ' end', '')) AS text")
     had = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
