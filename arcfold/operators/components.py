@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcfold.graph import Graph
-from arcfold.plans.lineage import forget, staged
+from arcfold.plans.lineage import forget, measured, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.select("b", "m").where("b <> m").toDF("a", "b").unionByName(least.toDF("a", "b")).distinct()
-        new = staged(small, "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        new, now = measured(small, "edges", rows=F.count("*"), hashes=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         forget(e)
         e = new
-        if now == mark or not now[0]:
+        if now == mark or not now["rows"]:
             break
         mark = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcfold.graph import Graph
-from arcfold.plans.lineage import forget, staged
+from arcfold.plans.lineage import forget, measured, staged
 
 
 def pagerank(graph: Graph, max_iterations: int, *, tolerance: float, reset_probability: float, source=None) -> DataFrame:
@@ -20,20 +20,22 @@ def pagerank(graph: Graph, max_iterations: int, *, tolerance: float, reset_proba
     edges = graph.edges.select("src", F.col("dst").alias("_to")).join(degree, "src").select("src", "_to", (F.lit(1.0) / F.col("_n")).alias("_w")).persist()
     first = 0.0 if personal else reset_probability / damp
     state = graph.vertices.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("delta"), F.lit(False).alias("moved"))
+    sends = F.col("moved") & (F.col("delta") > tolerance)
+    seen: dict = {}
     for step in range(1, max_iterations + 1):
         if step == 1:
             heard = state.withColumn("sum", F.lit(first))
         else:
-            front = state.where(F.col("moved") & (F.col("delta") > tolerance))
-            if front.isEmpty():
+            if not seen["sends"]:
                 break
+            front = state.where(sends)
             sums = edges.join(front.select(F.col("id").alias("src"), "delta"), "src").groupBy(F.col("_to").alias("id")).agg(F.sum(F.col("delta") * F.col("_w")).alias("sum"))
             heard = state.join(sums, "id", "left")
         rank = F.when(F.col("sum").isNull(), F.col("rank")).otherwise(F.col("rank") + F.lit(damp) * F.col("sum"))
         if personal and step == 1:
             rank = F.when(F.col("id") == source, F.lit(1.0)).otherwise(rank)
         new = heard.select("id", rank.alias("rank"), F.when(F.col("sum").isNull(), F.col("delta")).otherwise(rank - F.col("rank")).alias("delta"), F.col("sum").isNotNull().alias("moved"))
-        new = staged(new, "ranks")
+        new, seen = measured(new, "ranks", sends=F.coalesce(F.bool_or(sends), F.lit(False)))
         forget(state)
         state = new
     edges.unpersist()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcfold.graph import Graph
-from arcfold.plans.lineage import forget, staged
+from arcfold.plans.lineage import forget, measured
 
 UNREACHED = (1 << 63) - 1
 
@@ -18,16 +18,16 @@ def _relax(edges: DataFrame, state: DataFrame, keys: list[str], cost: Column, mo
     """state (id, *keys, dist, moved): lowest distances over (src, dst, cost) edges, and the steps taken."""
     keys = ["id", *keys]
     edges = edges.select("src", F.col("dst").alias("_to"), cost.alias("_cost")).persist()
-    state, steps = staged(state, "paths"), 0
-    while most is None or steps < most:
+    moved = F.coalesce(F.bool_or("moved"), F.lit(False))
+    (state, seen), steps = measured(state, "paths", moved=moved), 0
+    while seen["moved"] and (most is None or steps < most):
         front = state.where("moved")
-        if front.isEmpty():
-            break
         sent = edges.join(front.withColumnRenamed("id", "src"), "src")
         offers = sent.groupBy(F.col("_to").alias("id"), *keys[1:]).agg(F.min(F.col("dist") + F.col("_cost")).alias("offer"))
         better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
         new = state.drop("moved").join(offers, keys, "left" if len(keys) == 1 else "full")
-        new = staged(new.select(*keys, F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), F.coalesce(better, F.lit(False)).alias("moved")), "paths")
+        new = new.select(*keys, F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), F.coalesce(better, F.lit(False)).alias("moved"))
+        new, seen = measured(new, "paths", moved=moved)
         forget(state)
         state, steps = new, steps + 1
     edges.unpersist()

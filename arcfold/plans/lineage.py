@@ -12,8 +12,9 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """staged(), and aggregates of all rows that are taken while they are written, without a job of their own."""
+    seen = Observation()
+    out = staged(df.observe(seen, *(c.alias(n) for n, c in aggregates.items())), name)
+    return out, seen.get
+
+
 def swept(df: DataFrame, name: str) -> DataFrame:
     """staged(), and lets the files of earlier shuffles go: for large steps."""
     out = staged(df, name)
