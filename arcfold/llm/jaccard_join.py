@@ -394,15 +394,15 @@ def _meet(pairs: DataFrame, cands: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lead, token, lack) of every token of the differences."""
+    """(lead, members, token, lack) of every token of the differences."""
     for batch in batches:
         raw = [np.frombuffer(r, np.int64) for r in batch.column("tokens").to_pylist()]
         outs = batch.column("outs").to_numpy(zero_copy_only=False)
         size = np.array([len(r) for r in raw], np.int64)
-        lead = batch.column("lead").take(pa.array(np.repeat(np.arange(len(raw)), size)))
+        base = batch.select(["lead", "members"]).take(pa.array(np.repeat(np.arange(len(raw)), size)))
         place = textkit.expand(np.zeros(len(raw), np.int64), size)
         every = np.concatenate([np.zeros(0, np.int64), *raw])
-        yield pa.record_batch([lead, pa.array(every), pa.array(place >= np.repeat(outs, size))], ["lead", "token", "lack"])
+        yield pa.record_batch([*base.columns, pa.array(every), pa.array(place >= np.repeat(outs, size))], ["lead", "members", "token", "lack"])
 
 
 MEMBERS = "lead long, key long, b long, component long, linked boolean, weight long, band long, gap long, rare long, tokens binary"
@@ -550,10 +550,10 @@ def _beside_centers(met: DataFrame, found: DataFrame, num: int, den: int) -> Dat
     if mixed.isEmpty():
         return found
     member = runtime.swept(_merge(met, _merge(member, mixed, "lead"), ["lead", "key"]), "differences")
-    counted = member.select("lead", "outs", "tokens").mapInArrow(_token_rows, "lead long, token long, lack boolean")
-    counted = runtime.staged(counted.groupBy("lead", "token", "lack").agg(F.count("*").alias("n")).where("n > 1"), "token-counts")
+    tokens = member.select("lead", "members", "outs", "tokens").mapInArrow(_token_rows, "lead long, members long, token long, lack boolean")
+    most = tokens.groupBy("lead", "members", "token", "lack").agg(F.count("*").alias("n")).where("2 * n > members")
     sides = [F.collect_list(F.when(c, F.col("token"))).alias(n) for n, c in (("join", ~F.col("lack")), ("leave", F.col("lack")))]
-    most = _merge(counted, mixed, "lead").where("2 * n > members").groupBy("lead").agg(*sides)
+    most = most.groupBy("lead").agg(*sides)
     member = _merge(member, runtime.staged(most, "cores"), "lead", "left").mapInArrow(_recentered(num, den), MEMBERS)
     member = runtime.swept(member, "differences")
     # The bands of a center's members, linked to it or not: as many at most as there are bands.
