@@ -165,7 +165,10 @@ def _format(template, read, undo):
     return run
 
 
-def format_chats(rows: DataFrame, *, template: Callable[[list[Turn]], str] = render, read: Callable[[str], Turn] = read_turn, undo: Callable[[str], str] = unescape) -> DataFrame:
+def format_chats(
+    rows: DataFrame, *, template: Callable[[list[Turn]], str] = render, read: Callable[[str], Turn] = read_turn,
+    undo: Callable[[str], str] = unescape,
+) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text): formatted text, turns as read back, their spans, the
     spans under the loss mask and their text, and whether the template rewrites history (then without spans)."""
     rows = rows.select(F.col("conv_id").cast("long"), "turn", "role", "text")

@@ -169,7 +169,10 @@ def _count(shingles_bc, text_col: str):
                 seen[k] += np.bincount(x.find(w.grams(k)[2])[1], minlength=len(x.keys))
         for k, x in lookups.items():
             some = np.flatnonzero(seen[k])
-            yield pa.record_batch([pa.array(np.full(len(some), k, np.int32)), pa.array(x.keys[some].view(np.int64)), pa.array(seen[k][some])], schema=schema)
+            yield pa.record_batch(
+                [pa.array(np.full(len(some), k, np.int32)), pa.array(x.keys[some].view(np.int64)), pa.array(seen[k][some])],
+                schema=schema,
+            )
 
     return run
 
@@ -195,7 +198,10 @@ def _mark(index_bc, text_col: str, state: list[str]):
                     own = own | np.unpackbits(np.frombuffer(bits[d], np.uint8), count=len(own)).astype(bool)
                 n_hit[d] = int(own.sum())
                 bits[d], lists[d] = np.packbits(own).tobytes(), sorted({*lists[d], *items[d]})
-            new = {"_hit": pa.array(bits, pa.binary()), "_items": pa.array(lists, pa.list_(pa.string())), "_words": pa.array(n_words), "_n": pa.array(n_hit, pa.int64())}
+            new = {
+                "_hit": pa.array(bits, pa.binary()), "_items": pa.array(lists, pa.list_(pa.string())),
+                "_words": pa.array(n_words), "_n": pa.array(n_hit, pa.int64()),
+            }
             yield pa.record_batch([new[c] if c in new else batch.column(c) for c in state], state)
 
     return run
@@ -217,10 +223,15 @@ def decontaminate(
     occur, as sorted strings) and contaminated (at least one word in `one_in` is hit)."""
     spark = docs.sparkSession
     docs = runtime.without(docs, *ADDED, "_hit", "_items", "_words", "_n")
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(
+        F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"),
+    ).where("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_bytes))
-    out = docs.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>"), "_words": F.lit(0).cast("long"), "_n": F.lit(0).cast("long")})
+    out = docs.withColumns({
+        "_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>"), "_words": F.lit(0).cast("long"),
+        "_n": F.lit(0).cast("long"),
+    })
     schema, state = out.schema, out.columns
     dealt = F.pmod(F.xxhash64("item"), F.lit(blocks))
     done = 0

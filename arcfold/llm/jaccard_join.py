@@ -123,7 +123,11 @@ def _pack(size: int, bits: int):
         cut = np.searchsorted(split(h), np.arange((1 << bits) + 1))
         for k in np.flatnonzero(np.diff(cut)).tolist():
             t = h[cut[k] : cut[k + 1]]
-            yield {"bucket": k, "batch": batch, "lo": t.astype(np.uint32).tobytes(), "hi": (t >> U64(32)).astype(np.uint16).tobytes(), "local": None if local is None else local[cut[k] : cut[k + 1]].tobytes()}
+            yield {
+                "bucket": k, "batch": batch, "lo": t.astype(np.uint32).tobytes(),
+                "hi": (t >> U64(32)).astype(np.uint16).tobytes(),
+                "local": None if local is None else local[cut[k] : cut[k + 1]].tobytes(),
+            }
 
     def flush(batch: int, parts: list) -> Iterator[pa.RecordBatch]:
         h, local = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
@@ -134,7 +138,10 @@ def _pack(size: int, bits: int):
         often = np.diff(cut) >= FREQUENT
         hot = np.repeat(often, np.diff(cut))
         token = (split(h[hot]).astype(np.uint64) << U64(48)) | (h[hot] & LOW)
-        rows: list[dict] = [{"bucket": -1 - batch, "batch": batch, "lo": token.tobytes(), "local": local[hot].tobytes(), "docs": docs.tobytes(), "sizes": sizes.tobytes()}]
+        rows: list[dict] = [{
+            "bucket": -1 - batch, "batch": batch, "lo": token.tobytes(), "local": local[hot].tobytes(),
+            "docs": docs.tobytes(), "sizes": sizes.tobytes(),
+        }]
         for source in (by_bucket(batch, h[~hot], local[~hot]), by_bucket(batch, h[cut[:-1][often]], None)):
             for r in source:
                 rows.append(r)
@@ -181,14 +188,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(t)
             some = own > 1
             if r["local"] is not None and some.any():
-                out.append({"batch": r["batch"], "token": ((U64(bucket) << U64(48)) | t[some]).tobytes(), "df": own[some].astype(np.uint8).tobytes(), "local": np.frombuffer(r["local"], np.uint16)[some].tobytes()})
+                out.append({
+                    "batch": r["batch"], "token": ((U64(bucket) << U64(48)) | t[some]).tobytes(),
+                    "df": own[some].astype(np.uint8).tobytes(),
+                    "local": np.frombuffer(r["local"], np.uint16)[some].tobytes(),
+                })
 
     bucket, held = None, []
     for batch in batches:
         for r in batch.to_pylist():
             if r["bucket"] < 0:
                 n = len(r["lo"]) // 8
-                out.append({"batch": r["batch"], "token": r["lo"], "df": np.full(n, FREQUENT, np.uint8).tobytes(), "local": r["local"], "docs": r["docs"], "sizes": r["sizes"]})
+                out.append({
+                    "batch": r["batch"], "token": r["lo"], "df": np.full(n, FREQUENT, np.uint8).tobytes(),
+                    "local": r["local"], "docs": r["docs"], "sizes": r["sizes"],
+                })
                 continue
             if r["bucket"] != bucket:
                 if held:

@@ -45,7 +45,10 @@ class Network:
         self.labels = labels
         #: Filters narrower than the widest have zero weights at their last taps.
         self.mask = np.repeat(np.array([[t < w for w in WIDTHS] for t in range(taps)]), FILTERS, axis=1).repeat(DIM, axis=0).astype(np.float32)
-        self.p = {"emb": r.normal(0, 1, (256, DIM)), "w": r.normal(0, 0.25, (taps * DIM, n)) * self.mask, "b": np.zeros(n), "out": r.normal(0, 0.1, (n, len(labels))), "c": np.zeros(len(labels))}
+        self.p = {
+            "emb": r.normal(0, 1, (256, DIM)), "w": r.normal(0, 0.25, (taps * DIM, n)) * self.mask, "b": np.zeros(n),
+            "out": r.normal(0, 0.1, (n, len(labels))), "c": np.zeros(len(labels)),
+        }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def patches(self, x: np.ndarray) -> np.ndarray:
@@ -122,7 +125,10 @@ def cut(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out.reshape(-1, WINDOW), of, size
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS) -> Network | None:
+def train(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+    sample_rows: int = SAMPLE_ROWS,
+) -> Network | None:
     """A network fitted on the labelled rows that are not held out."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(True)))
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -160,7 +166,10 @@ def _predict(model_bc, text_col: str, names: list[str]):
     return run
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(
+    docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
     """docs with lang_pred and score, by a network fitted on `labelled` (by default docs itself)."""
     model = train(docs if labelled is None else labelled, id_col, text_col, lang_col, sample_rows=sample_rows)
     docs = runtime.without(docs, "lang_pred", "score")

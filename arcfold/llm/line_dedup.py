@@ -309,7 +309,10 @@ def _cut(hot_bc, id_col: str, text_col: str, min_chars: int, min_docs: int, name
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, hot_keys: int = 65_536) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5,
+    hot_keys: int = 65_536,
+) -> DataFrame:
     """docs without its frequent lines, which stay in the largest id alone: text_col holds the kept lines, n_lines
     and n_dropped are added."""
     if not 0 < min_docs <= MOST_COUNT:

@@ -86,7 +86,10 @@ class Encoder:
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             raw = data.tobytes()
-            coded = self.tok.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], add_special_tokens=False)
+            coded = self.tok.encode_batch(
+                [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)],
+                add_special_tokens=False,
+            )
             ids = [c.ids for c in coded]
             size = np.array([len(i) for i in ids], np.int64)
             place = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -158,7 +161,10 @@ class Packer:
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, SCHEMA.types, strict=True)], schema=SCHEMA)
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
+])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -197,7 +203,10 @@ def _pack_again(level: int, last: bool, length: int, windows: int, max_pad: int)
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, length: int = 2048, windows: int = 32, max_pad: int = 16) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1,
+    length: int = 2048, windows: int = 32, max_pad: int = 16,
+) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): where every stretch of every
     document's tokens lies. `tokenizer` is the path of a vocabulary file that all executors have."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -158,7 +158,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    rows = rows.unionByName(spark.createDataFrame(
+        [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string",
+    ))
     out = format_chats(rows)
     turns = F.concat_ws("", F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n"))))
     sha = lambda c: F.sha2(c.cast("binary"), 256)

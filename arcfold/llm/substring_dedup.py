@@ -156,7 +156,10 @@ def _cut(text_col: str):
         drop = (np.cumsum(size) - 1)[last]
         chars = np.bincount(of, size, batch.num_rows).astype(np.int64) - (np.bincount(of, minlength=batch.num_rows) > 0)
         kept = textkit.binary_rows(np.delete(out, drop), np.concatenate([[0], np.cumsum(chars)])).cast(pa.string())
-        spans = pa.array([[{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)] for a, b in marks], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        spans = pa.array(
+            [[{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)] for a, b in marks],
+            pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+        )
         return {text_col: kept, "n_words": pa.array(np.diff(word_off)), "n_removed": pa.array(n_removed), "removed_spans": spans}
 
     return cut

@@ -382,9 +382,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # What was found in a stretch of a run holds for all runs of its kind.
         place = fine.select("anchor", "content", "of_anchor", "of_content", "shift")
         again = solved.join(place, ["anchor", "content"])
-        again = again.select(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), "kind", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
+        again = again.select(
+            F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), "kind",
+            (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"),
+        )
         solved = runtime.staged(solved.unionByName(again), "solved")
-    marks = runs.join(solved, ["anchor", "content"]).select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "kind")
+    marks = runs.join(solved, ["anchor", "content"]).select(
+        "k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "kind",
+    )
     marks = runtime.swept(marks, "marks")
     runtime.forget(runs, kinds)
     return anchors.marked(keyed, marks, text_col, _cut(text_col), ADDED, kinds=2)

@@ -177,4 +177,7 @@ def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def binary_rows(data: bytes | np.ndarray, off: np.ndarray) -> pa.Array:
     """A binary column from one buffer and its offsets."""
-    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data if isinstance(data, bytes) else data.tobytes())])
+    return pa.Array.from_buffers(
+        pa.binary(), len(off) - 1,
+        [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data if isinstance(data, bytes) else data.tobytes())],
+    )

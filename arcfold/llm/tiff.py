@@ -153,7 +153,10 @@ def lzw_decode(raw: bytes) -> bytes:
 
 
 def compress(raw: bytes, kind: int) -> bytes:
-    return {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), OLD_DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}[kind](raw)
+    return {
+        PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1),
+        OLD_DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits,
+    }[kind](raw)
 
 
 def decompress(raw: bytes, kind: int) -> bytes:
@@ -165,7 +168,10 @@ def decompress(raw: bytes, kind: int) -> bytes:
         raise ValueError(str(e)) from e
 
 
-def write_tiff(payload: bytes, *, kind: int = DEFLATE, tiled: bool = False, predictor: bool = False, width: int = WIDTH, page_rows: int = PAGE_ROWS) -> bytes:
+def write_tiff(
+    payload: bytes, *, kind: int = DEFLATE, tiled: bool = False, predictor: bool = False, width: int = WIDTH,
+    page_rows: int = PAGE_ROWS,
+) -> bytes:
     """payload, whose length is a positive multiple of `width`, as a little-endian file of grey pages."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out, link = bytearray(b"II*\x00\x00\x00\x00\x00"), 4
@@ -175,7 +181,9 @@ def write_tiff(payload: bytes, *, kind: int = DEFLATE, tiled: bool = False, pred
         blocks = [page[i : i + step] for i in range(0, len(page), step)]
         if tiled:
             across = -(-width // TILE)
-            blocks = [np.pad(b[:, TILE * j : TILE * (j + 1)], ((0, TILE - len(b)), (0, max(0, TILE * (j + 1) - width)))) for b in blocks for j in range(across)]
+            blocks = [np.pad(
+                b[:, TILE * j : TILE * (j + 1)], ((0, TILE - len(b)), (0, max(0, TILE * (j + 1) - width))),
+            ) for b in blocks for j in range(across)]
         places, sizes = [], []
         for b in blocks:
             if predictor:
@@ -184,8 +192,13 @@ def write_tiff(payload: bytes, *, kind: int = DEFLATE, tiled: bool = False, pred
             places.append(len(out))
             sizes.append(len(raw))
             out += raw + b"\x00" * (len(raw) % 2)
-        fields = {IMAGE_WIDTH: [width], IMAGE_LENGTH: [len(page)], BITS: [8], COMPRESSION: [kind], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [2 if predictor else 1]}
-        fields |= {TILE_WIDTH: [TILE], TILE_LENGTH: [TILE], TILE_OFFSETS: places, TILE_COUNTS: sizes} if tiled else {STRIP_OFFSETS: places, ROWS_PER_STRIP: [STRIP_ROWS], STRIP_COUNTS: sizes}
+        fields = {
+            IMAGE_WIDTH: [width], IMAGE_LENGTH: [len(page)], BITS: [8], COMPRESSION: [kind], PHOTOMETRIC: [1],
+            SAMPLES: [1], PREDICTOR: [2 if predictor else 1],
+        }
+        fields |= {
+            TILE_WIDTH: [TILE], TILE_LENGTH: [TILE], TILE_OFFSETS: places, TILE_COUNTS: sizes,
+        } if tiled else {STRIP_OFFSETS: places, ROWS_PER_STRIP: [STRIP_ROWS], STRIP_COUNTS: sizes}
         entries = b""
         for tag, values in sorted(fields.items()):
             data = struct.pack(f"<{len(values)}I", *values)
@@ -265,13 +278,20 @@ def _page(raw: bytes, f: dict[int, list[int]]) -> dict:
         elif get(PREDICTOR, 1) != 1:
             raise ValueError("unknown predictor")
         image[y : y + rows, x : x + bw] = block
-    return {"width": width, "height": height, "samples": samples, "compression": NAMES[kind] + ("+tiles" if tiled else "") + ("+differences" if get(PREDICTOR, 1) == 2 else ""), "pixels": image[:height, :width].tobytes()}
+    return {
+        "width": width, "height": height, "samples": samples,
+        "compression": NAMES[kind] + ("+tiles" if tiled else "") + ("+differences" if get(PREDICTOR, 1) == 2 else ""),
+        "pixels": image[:height, :width].tobytes(),
+    }
 
 
 def layout(payload: bytes) -> dict:
     """How a payload is stored: mostly in deflated strips, by its checksum sometimes otherwise."""
     k = zlib.crc32(payload) % 8
-    return {0: {"kind": LZW, "tiled": True, "predictor": False}, 1: {"kind": PACKBITS}, 2: {"kind": DEFLATE, "predictor": True}, 3: {"kind": DEFLATE, "tiled": True}}.get(k, {"kind": DEFLATE})
+    return {
+        0: {"kind": LZW, "tiled": True, "predictor": False}, 1: {"kind": PACKBITS},
+        2: {"kind": DEFLATE, "predictor": True}, 3: {"kind": DEFLATE, "tiled": True},
+    }.get(k, {"kind": DEFLATE})
 
 
 def _store(text_col: str, names: list[str]):
@@ -295,10 +315,16 @@ def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with their texts as TIFF files: n_bytes and media instead of text_col."""
     docs = runtime.without(docs, "n_bytes", "media")
     rest = docs.drop(text_col)
-    return docs.mapInArrow(_store(text_col, [*rest.columns, "n_bytes", "media"]), ", ".join(x for x in (_ddl(rest), "n_bytes long", "media binary") if x))
+    return docs.mapInArrow(
+        _store(text_col, [*rest.columns, "n_bytes", "media"]),
+        ", ".join(x for x in (_ddl(rest), "n_bytes long", "media binary") if x),
+    )
 
 
-PAGE = {"page": pa.int64(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int64(), "compression": pa.string(), "pixels": pa.binary(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "error": pa.string()}
+PAGE = {
+    "page": pa.int64(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int64(), "compression": pa.string(),
+    "pixels": pa.binary(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "error": pa.string(),
+}
 
 
 def _read(media_col: str, names: list[str], strict: bool):
@@ -338,7 +364,10 @@ def read_pages(files: DataFrame, media_col: str = "media", *, strict: bool = Tru
     return files.mapInArrow(_read(media_col, rest.columns, strict), ", ".join(x for x in (_ddl(rest), added) if x))
 
 
-DIGEST = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+DIGEST = {
+    "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
+    "media_sha256": pa.string(), "feature": pa.string(),
+}
 
 
 def _digest(names: list[str]):
@@ -349,7 +378,11 @@ def _digest(names: list[str]):
         def close() -> None:
             if now:
                 mean = now["sum"] / max(now["n"], 1)
-                rows.append(now["keep"] | {"payload_bytes": now["n"], "payload_sha256": now["sha"].hexdigest(), "tail_crc32": zlib.crc32(now["tail"]), "feature": f"pages={now['pages']};rows={now['rows']};{now['how']};mean={mean:.4f};bytes={now['kinds'].astype(bool).sum()}"})
+                rows.append(now["keep"] | {
+                    "payload_bytes": now["n"], "payload_sha256": now["sha"].hexdigest(),
+                    "tail_crc32": zlib.crc32(now["tail"]),
+                    "feature": f"pages={now['pages']};rows={now['rows']};{now['how']};mean={mean:.4f};bytes={now['kinds'].astype(bool).sum()}",
+                })
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -357,7 +390,11 @@ def _digest(names: list[str]):
                     raise ValueError("the pages of a file don't follow one another")
                 if r["page"] == 0:
                     close()
-                    now = {"keep": {n: r[n] for n in (*names, "media_bytes", "media_sha256")}, "sha": hashlib.sha256(), "n": 0, "sum": 0, "pages": 0, "rows": 0, "tail": b"", "how": r["compression"], "kinds": np.zeros(256, np.int64)}
+                    now = {
+                        "keep": {n: r[n] for n in (*names, "media_bytes", "media_sha256")}, "sha": hashlib.sha256(),
+                        "n": 0, "sum": 0, "pages": 0, "rows": 0, "tail": b"", "how": r["compression"],
+                        "kinds": np.zeros(256, np.int64),
+                    }
                 px = r["pixels"]
                 a = np.bincount(np.frombuffer(px, np.uint8), minlength=256)
                 now["sha"].update(px)
@@ -380,4 +417,7 @@ def _digest(names: list[str]):
 def page_digests(pages: DataFrame, *names: str) -> DataFrame:
     """Per file of read_pages(): the named columns, and digests of its samples over all its pages."""
     cols = pages.select(*names, "page", "height", "compression", "pixels", "media_bytes", "media_sha256")
-    return cols.mapInArrow(_digest(list(names)), f"{_ddl(pages.select(*names))}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return cols.mapInArrow(
+        _digest(list(names)),
+        f"{_ddl(pages.select(*names))}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+    )

@@ -102,7 +102,12 @@ def parse(raw: bytes) -> dict:
             raise ValueError("payload digest differs")
     elif kind != "revisit" or payload or "warc-refers-to" not in h:
         raise ValueError(f"bad record of type {kind[:20]}")
-    return {"page_id": _page(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": _page(h["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+    return {
+        "page_id": _page(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": kind,
+        "payload_bytes": size, "payload_digest": digest,
+        "refers_to": _page(h["warc-refers-to"]) if kind == "revisit" else None,
+        "payload": payload if kind == "response" else None,
+    }
 
 
 def frame_end(raw: bytes, at: int) -> int:
@@ -161,7 +166,10 @@ def _write(dictionary: bytes, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        codec = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
+        codec = zstandard.ZstdCompressor(
+            level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None,
+            write_checksum=True,
+        )
         lead = [struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary] if dictionary else []
         parts, size, n, part = list(lead), 0, 0, TaskContext.get().partitionId()
 
@@ -207,17 +215,26 @@ def write_archives(
     level: int = 3,
 ) -> DataFrame:
     """(name, content): the archives of all pages."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
+        F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
+    )
     dictionary = dictionary_of(rows, dict_rows, dict_bytes, dict_sample)
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     large = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # A table of known size: payloads are shuffled only if there are too many repeated digests to broadcast.
-    rows = rows.join(runtime.staged(first, "repeated"), "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    rows = rows.join(runtime.staged(first, "repeated"), "digest", "left").withColumn(
+        "refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")),
+    )
     return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_write(dictionary, level), "name string, content binary")
 
 
-READ = pa.schema([("name", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+READ = pa.schema([
+    ("name", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
+    ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("refers_to", pa.int64()), ("payload", pa.binary()),
+])
 
 
 def _read(with_payload: bool):
@@ -237,7 +254,10 @@ def _read(with_payload: bool):
 
 def read_archives(archives: DataFrame, *, with_payload: bool = True) -> DataFrame:
     """One row per record of each archive; raises ValueError for an archive that breaks the format."""
-    return archives.select("name", "content").mapInArrow(_read(with_payload), "name string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return archives.select("name", "content").mapInArrow(
+        _read(with_payload),
+        "name string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary",
+    )
 
 
 def archive_table(pages: DataFrame, **options) -> DataFrame:

@@ -74,7 +74,10 @@ def test_large_arrow_batches(spark):
 
 def test_rows_that_share_an_id(spark):
     words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
-    rows = [(5, words("a", 30)), (5, words("b", 30)), (3, words("b", 30)), (9, words("a", 31)), (2, words("c", 30)), (4, words("c", 30)), (4, words("d", 30)), (6, words("d", 31)), (1, words("e", 9))]
+    rows = [
+        (5, words("a", 30)), (5, words("b", 30)), (3, words("b", 30)), (9, words("a", 31)), (2, words("c", 30)),
+        (4, words("c", 30)), (4, words("d", 30)), (6, words("d", 31)), (1, words("e", 9)),
+    ]
     got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (2, 2), (4, 2), (6, 2), (1, 1)}
 
@@ -114,7 +117,10 @@ def test_other_thresholds_and_frequent_shingles(spark, monkeypatch):
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (7, "A b c d e f", 0), (8, None, 0)], "doc_id long, text string, component_id int")
+    df = spark.createDataFrame(
+        [(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (7, "A b c d e f", 0), (8, None, 0)],
+        "doc_id long, text string, component_id int",
+    )
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_sets(df).collect())
     assert got == [("1", 2, 1), ("1", 2, 1), ("7", 2, 1), ("8", 0, 8), ("None", 2, None)]
     kept = jaccard_join.keep_one(df)

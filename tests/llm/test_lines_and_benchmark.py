@@ -37,7 +37,10 @@ def test_lines_of_repeated_ids_with_different_texts(spark):
     rows = [(3, f"{often}\n{own[0]}"), (3, f"{own[1]}\n{often}"), (3, f"{own[2]}\n{own[3]}\n{often}"), (3, own[0]), (3, None)]
     rows += [(i, often) for i in range(4, 9)] + [(8, often), (None, often)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted([("3", own[0], 2, 1), ("3", own[1], 2, 1), ("3", f"{own[2]}\n{own[3]}", 3, 1), ("3", own[0], 1, 0), ("3", "", 1, 0), *((str(i), "", 1, 1) for i in range(4, 8)), *[("8", often, 1, 0)] * 2, ("None", often, 1, 0)])
+    want = sorted([
+        ("3", own[0], 2, 1), ("3", own[1], 2, 1), ("3", f"{own[2]}\n{own[3]}", 3, 1), ("3", own[0], 1, 0),
+        ("3", "", 1, 0), *((str(i), "", 1, 1) for i in range(4, 8)), *[("8", often, 1, 0)] * 2, ("None", often, 1, 0),
+    ])
     for hot in (1 << 16, 1):
         got = line_dedup.dedup_lines(df, hot_keys=hot).collect()
         assert sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in got) == want
@@ -78,7 +81,9 @@ def test_contamination_against_brute_force(spark):
         items, docs = benchmark_corpus(seed)
         df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
         bench = spark.createDataFrame(items, "item_id long, text string")
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["contaminated"]) for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()}
+        got = {r["doc_id"]: (
+            r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["contaminated"],
+        ) for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()}
         assert got == brute.contamination(dict(enumerate(docs)), [i for i in items if i[0] is not None and i[1] is not None])
 
 

@@ -13,7 +13,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=3000) | st.lists(st.sampled_from([b"ab", b"aaaaaaa", b"\x00" * 300, b"xyz"]), max_size=60).map(b"".join), st.sampled_from([tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]), st.booleans(), st.booleans())
+@given(
+    st.binary(max_size=3000) | st.lists(st.sampled_from([b"ab", b"aaaaaaa", b"\x00" * 300, b"xyz"]), max_size=60).map(b"".join),
+    st.sampled_from([tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]), st.booleans(), st.booleans(),
+)
 def test_tiff_round_trip(raw, kind, tiled, predictor):
     payload = raw + b"\x00" * ((-len(raw)) % 64 if raw else 64)
     pages = list(tiff.read_tiff(tiff.write_tiff(payload, kind=kind, tiled=tiled, predictor=predictor, page_rows=10)))
@@ -47,14 +50,19 @@ def test_tiff_query(spark):
         text = (r["text"] or "").encode()
         payload = text + b"\x00" * ((-len(text)) % 64 if text else 64)
         x = got[r["doc_id"]]
-        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (
+            len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+        )
         media = tiff.write_tiff(payload, **tiff.layout(payload))
         assert (x["media_bytes"], x["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
 
 
 def test_tiff_odd_rows(spark):
     long = "é" * 200_000
-    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x", "c"), (2, "", "b"), (3, long, "d")], "doc_id long, text string, media string")
+    df = spark.createDataFrame(
+        [(1, None, "a"), (2, "", "b"), (None, "x", "c"), (2, "", "b"), (3, long, "d")],
+        "doc_id long, text string, media string",
+    )
     pages = tiff.read_pages(tiff.store_texts(df))
     assert pages.where("doc_id = 3").count() == 2
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"]) for r in tiff.page_digests(pages, "doc_id", "n_bytes").collect())
@@ -92,13 +100,19 @@ def test_warc_revisits_and_odd_rows(spark):
 def test_warc_record_validation():
     good = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse(good)["payload"] == b"payload"
-    for bad in (good[:-1], good.replace(b"payload\r\n", b"paylond\r\n"), good.replace(b"WARC-Date", b"Date"), good.replace(b"WARC/1.1", b"WARX/1.1"), good.replace(b"WARC-Type: response", b"WARC-Type: revisit")):
+    for bad in (
+        good[:-1], good.replace(b"payload\r\n", b"paylond\r\n"), good.replace(b"WARC-Date", b"Date"),
+        good.replace(b"WARC/1.1", b"WARX/1.1"), good.replace(b"WARC-Type: response", b"WARC-Type: revisit"),
+    ):
         with pytest.raises(ValueError):
             warc.parse(bad)
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "[INST]\\"]), st.text(st.sampled_from("<s>/[INST] \\\né"), max_size=30)), max_size=6))
+@given(st.lists(
+    st.tuples(st.sampled_from(["user", "assistant", "system", "[INST]\\"]), st.text(st.sampled_from("<s>/[INST] \\\né"), max_size=30)),
+    max_size=6,
+))
 def test_chat_reads_back(turns):
     got = chat.format_turns(1, turns)
     assert not got["rewrites_history"]
@@ -147,7 +161,10 @@ def test_chat_query(spark):
 
 
 def test_chat_odd_rows(spark):
-    df = spark.createDataFrame([(1, 1, "assistant", None, 0), (1, 0, None, "q", 0), (None, 0, "user", "x", 0)], "conv_id long, turn long, role string, text string, formatted int")
+    df = spark.createDataFrame(
+        [(1, 1, "assistant", None, 0), (1, 0, None, "q", 0), (None, 0, "user", "x", 0)],
+        "conv_id long, turn long, role string, text string, formatted int",
+    )
     got = {r["conv_id"]: (r["roles"], r["texts"]) for r in chat.format_chats(df).collect()}
     assert got == {1: (["", "assistant"], ["q", ""]), None: (["user"], ["x"])}
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -163,7 +180,10 @@ def test_language_query(spark):
 
 
 def test_language_odd_rows(spark):
-    df = spark.createDataFrame([(i, t, lang, 1) for i, (t, lang) in enumerate([(None, "en"), ("", "en"), ("12 !?", "en"), ("the of and", "en"), ("der die das", "de"), ("the of and", None)])], "doc_id long, text string, lang string, Score int")
+    df = spark.createDataFrame(
+        [(i, t, lang, 1) for i, (t, lang) in enumerate([(None, "en"), ("", "en"), ("12 !?", "en"), ("the of and", "en"), ("der die das", "de"), ("the of and", None)])],
+        "doc_id long, text string, lang string, Score int",
+    )
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
     assert [got[i] for i in (0, 1, 2)] == ["und"] * 3 and got[3] == got[5] != "und"
     assert langid.identify(df.limit(0), df).count() == 0

@@ -13,7 +13,10 @@ from arcfold.llm import packing, queries
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOK = Tokenizer.from_file(PATH)
-PARTS = ["the", "The", "IT'S", "it's", "'s", " ", "  ", "\n", "\t", "\x1c", " ", "é", "H̱", "é", "İ", ".", ",", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "12", "!?", "…", "a.b", "ß", "Σ", "日本", "≮", "\x00"]
+PARTS = [
+    "the", "The", "IT'S", "it's", "'s", " ", "  ", "\n", "\t", "\x1c", " ", "é", "H̱", "é", "İ", ".", ",",
+    "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "12", "!?", "…", "a.b", "ß", "Σ", "日本", "≮", "\x00",
+]
 
 
 @settings(max_examples=300, deadline=None)

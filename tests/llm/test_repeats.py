@@ -60,7 +60,10 @@ def test_suffixes_against_brute_force(spark, monkeypatch, hot, parts):
 
 def test_suffixes_odd_rows(spark):
     t = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
-    df = spark.createDataFrame([(1, t, 0), (1, t, 0), (2, "x" * 399, 0), (3, "y" * 401, 0), (None, "z" + t[:400], 0), (5, None, 0)], "doc_id long, text string, kept int")
+    df = spark.createDataFrame(
+        [(1, t, 0), (1, t, 0), (2, "x" * 399, 0), (3, "y" * 401, 0), (None, "z" + t[:400], 0), (5, None, 0)],
+        "doc_id long, text string, kept int",
+    )
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in suffix_dedup.dedup_suffixes(df).collect())
     assert got == [("1", 500), ("1", 500), ("2", 0), ("3", 401), ("5", 0), ("None", 400)]
     assert suffix_dedup.dedup_suffixes(df.limit(0)).count() == 0
@@ -69,7 +72,19 @@ def test_suffixes_odd_rows(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([b"a", b"ab", b"b", b"\x00", b"\xff", b"aaaaaaaaaaaa", b"abcabcabc", b"xyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzy"]), max_size=20).map(b"".join), min_size=1, max_size=5), st.integers(1, 90))
+@given(
+    st.lists(
+        st.lists(
+            st.sampled_from([
+                b"a", b"ab", b"b", b"\x00", b"\xff", b"aaaaaaaaaaaa", b"abcabcabc",
+                b"xyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzyxyzzy",
+            ]),
+            max_size=20,
+        ).map(b"".join),
+        min_size=1, max_size=5,
+    ),
+    st.integers(1, 90),
+)
 def test_suffix_order_and_windows(strings, window):
     s = suffix_dedup.Suffixes(strings, window)
     assert sorted(s.order.tolist()) == list(range(len(s.text)))
