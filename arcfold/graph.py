@@ -173,14 +173,20 @@ class Graph:
 
         return self.vertices.groupBy("id").cogroup(rows.groupBy(end)).applyInPandas(run, schema)
 
-    def aggregate_edges(self, aggregate: Callable[[Column, Column, Column], Column], direction: str = OUT, finish: Callable[[Column, Column], Column] = lambda _, a: a) -> DataFrame:
+    def aggregate_edges(
+        self, aggregate: Callable[[Column, Column, Column], Column], direction: str = OUT,
+        finish: Callable[[Column, Column], Column] = lambda _, a: a,
+    ) -> DataFrame:
         """group_reduce_on_edges() with an aggregate of (src, dst, value), which combines before the shuffle; finish
         gets the vertex value and the aggregate, null without edges."""
         end, _ = ends(direction)
         part = self.edges.groupBy(F.col(end).alias("id")).agg(aggregate(F.col("src"), F.col("dst"), F.col("value")).alias("_agg"))
         return self.vertices.join(part, "id", "left").select("id", finish(F.col("value"), F.col("_agg")).alias("value"))
 
-    def aggregate_neighbors(self, aggregate: Callable[[Column, Column], Column], direction: str = OUT, finish: Callable[[Column, Column], Column] = lambda _, a: a) -> DataFrame:
+    def aggregate_neighbors(
+        self, aggregate: Callable[[Column, Column], Column], direction: str = OUT,
+        finish: Callable[[Column, Column], Column] = lambda _, a: a,
+    ) -> DataFrame:
         """The same over (edge value, neighbour's value)."""
         end, _ = ends(direction)
         part = self._beside_neighbors(direction).groupBy(F.col(end).alias("id")).agg(aggregate(F.col("value"), F.col("neighbor")).alias("_agg"))

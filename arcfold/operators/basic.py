@@ -60,7 +60,10 @@ def clustering_coefficient(graph: Graph) -> DataFrame:
     e = graph.edges.select("src", "dst").distinct()
     loops = e.where("src = dst").select(F.col("src").alias("id"))
     u = e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("k"))
-    ends = u.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nbr"), "k"), F.struct(F.col("b").alias("id"), F.col("a").alias("nbr"), "k"))).alias("e")).select("e.*")
+    ends = u.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.col("b").alias("nbr"), "k"),
+        F.struct(F.col("b").alias("id"), F.col("a").alias("nbr"), "k"),
+    )).alias("e")).select("e.*")
     n = ends.select("id").unionByName(loops).groupBy("id").agg(F.count("*").alias("n"))
     share = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("m"))
     m = _corners(u).select(F.explode(F.array(share("i", "pq"), share("p", "iq"), share("q", "ip"))).alias("s")).select("s.*")

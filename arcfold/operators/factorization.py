@@ -144,7 +144,10 @@ def rmse(ratings: DataFrame, users: DataFrame, items: DataFrame) -> float:
     return float(got) if got is not None else 0.0
 
 
-def _alternate(ratings: DataFrame, dim: int, iterations: int, target: float, seed: int | None, step: Callable[[str, str, DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _alternate(
+    ratings: DataFrame, dim: int, iterations: int, target: float, seed: int | None,
+    step: Callable[[str, str, DataFrame, DataFrame], DataFrame],
+) -> tuple[DataFrame, DataFrame]:
     ratings = ratings.select(F.col("user").cast("long"), F.col("item").cast("long"), F.col("rating").cast("float")).persist()
     state = {s: staged(_init(ratings, s, seed, dim), f"{s}s") for s in ("user", "item")}
     for k in range(3, iterations + 1):
@@ -158,12 +161,22 @@ def _alternate(ratings: DataFrame, dim: int, iterations: int, target: float, see
     return state["user"], state["item"]
 
 
-def als(ratings: DataFrame, *, dim: int = 50, lam: float = 0.01, iterations: int = 10, rmse_target: float = -1.0, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+def als(
+    ratings: DataFrame, *, dim: int = 50, lam: float = 0.01, iterations: int = 10, rmse_target: float = -1.0,
+    seed: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(id, factors) of users and of items, each side solved against the other in turn."""
-    return _alternate(ratings, dim, iterations, rmse_target, seed, lambda side, other, r, state: _solve(_beside(r, side, other, state[other]), dim, lam))
+    return _alternate(
+        ratings, dim, iterations, rmse_target, seed,
+        lambda side, other, r, state: _solve(_beside(r, side, other, state[other]), dim, lam),
+    )
 
 
-def sgd(ratings: DataFrame, *, dim: int = 50, lam: float = 0.01, gamma: float = 0.005, min_rating: float = 0.0, max_rating: float = 5.0, iterations: int = 10, rmse_target: float = -1.0, tolerance: float = -1.0, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+def sgd(
+    ratings: DataFrame, *, dim: int = 50, lam: float = 0.01, gamma: float = 0.005, min_rating: float = 0.0,
+    max_rating: float = 5.0, iterations: int = 10, rmse_target: float = -1.0, tolerance: float = -1.0,
+    seed: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(id, factors) of users and of items: each vertex goes down the gradient of one rating after the other, in the
     order of the senders. With a tolerance, vertices that moved by no more stop sending, so their neighbours hear only
     from the others."""
@@ -195,7 +208,11 @@ def sgd(ratings: DataFrame, *, dim: int = 50, lam: float = 0.01, gamma: float =
     return _alternate(ratings, dim, iterations, rmse_target, seed, step)
 
 
-def svdpp(ratings: DataFrame, *, dim: int = 50, factor_lambda: float = 0.01, factor_gamma: float = 0.005, bias_lambda: float = 0.01, bias_gamma: float = 0.005, min_rating: float = 0.0, max_rating: float = 5.0, iterations: int = 10, rmse_target: float = -1.0, seed: int | None = None, textbook: bool = False) -> tuple[DataFrame, DataFrame]:
+def svdpp(
+    ratings: DataFrame, *, dim: int = 50, factor_lambda: float = 0.01, factor_gamma: float = 0.005,
+    bias_lambda: float = 0.01, bias_gamma: float = 0.005, min_rating: float = 0.0, max_rating: float = 5.0,
+    iterations: int = 10, rmse_target: float = -1.0, seed: int | None = None, textbook: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(id, baseline, factors) of users and (id, baseline, factors, weight) of items.
 
     By default updates go the way of the reference, up the error and with half the mean rating; `textbook` goes down
@@ -241,7 +258,13 @@ def svdpp(ratings: DataFrame, *, dim: int = 50, factor_lambda: float = 0.01, fac
                 p[:n] += p[:n] * (-fl * fg) + q[row] * (err * fg)[:, None]
                 weight_step[:n] += q[row] * err[:, None]
             weight_step *= fg / root
-            yield pa.record_batch([pa.array(t.ids), pa.nulls(len(t.ids), pa.int64()), pa.array(base), _lists(p), _lists(np.zeros((len(t.ids), 0), f32)), pa.array(np.zeros(len(t.ids)))], names)
+            yield pa.record_batch(
+                [
+                    pa.array(t.ids), pa.nulls(len(t.ids), pa.int64()), pa.array(base), _lists(p),
+                    _lists(np.zeros((len(t.ids), 0), f32)), pa.array(np.zeros(len(t.ids))),
+                ],
+                names,
+            )
             of = np.empty(table.num_rows, np.int64)
             for n, row in t:
                 of[row] = np.arange(n)
@@ -268,7 +291,9 @@ def svdpp(ratings: DataFrame, *, dim: int = 50, factor_lambda: float = 0.01, fac
     steps = None
     for k in range(3, iterations + 1):
         if k % 2:
-            rows = ratings.select(F.col("user").alias("id"), F.col("item").alias("sender"), "rating").join(state["item"].withColumnRenamed("id", "sender"), "sender").join(own("user"), "id")
+            rows = ratings.select(
+                F.col("user").alias("id"), F.col("item").alias("sender"), "rating",
+            ).join(state["item"].withColumnRenamed("id", "sender"), "sender").join(own("user"), "id")
             both = staged(_by_id(rows, "sender").mapInArrow(users, step_ddl), "svdpp")
             state["user"] = both.where("item is null").select("id", "baseline", "factors", "weight")
             steps = both.where("item is not null").select(F.col("item").alias("id"), F.col("id").alias("sender"), "baseline", "factors", "weight")
@@ -280,9 +305,15 @@ def svdpp(ratings: DataFrame, *, dim: int = 50, factor_lambda: float = 0.01, fac
     return state["user"].drop("weight"), state["item"]
 
 
-def svdpp_predict(pairs: DataFrame, users: DataFrame, items: DataFrame, mean: float, *, min_rating: float = 0.0, max_rating: float = 5.0) -> DataFrame:
+def svdpp_predict(
+    pairs: DataFrame, users: DataFrame, items: DataFrame, mean: float, *, min_rating: float = 0.0,
+    max_rating: float = 5.0,
+) -> DataFrame:
     """(user, item, prediction): clip(mean + both baselines + product of factors), without the implicit term."""
     x = pairs.join(users.select(F.col("id").alias("user"), F.col("baseline").alias("bu"), F.col("factors").alias("p")), "user")
     x = x.join(items.select(F.col("id").alias("item"), F.col("baseline").alias("bi"), F.col("factors").alias("q")), "item")
     dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, v: a + v)
-    return x.select("user", "item", F.greatest(F.lit(min_rating), F.least(F.lit(max_rating), F.lit(mean) + F.col("bu") + F.col("bi") + dot)).alias("prediction"))
+    return x.select(
+        "user", "item",
+        F.greatest(F.lit(min_rating), F.least(F.lit(max_rating), F.lit(mean) + F.col("bu") + F.col("bi") + dot)).alias("prediction"),
+    )

@@ -25,7 +25,12 @@ def b_matching(graph: Graph) -> DataFrame:
         # The literal bound lets Spark keep only that many rows of a vertex before the shuffle, however large its hub.
         order = Window.partitionBy("src").orderBy(F.desc("value"), F.desc("dst"))
         wanted = live.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).where("_k <= room").select("src", "dst", "value")
-        met = staged(wanted.join(wanted.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").select("src", "dst", "value"), "matched")
+        met = staged(
+            wanted.join(
+                wanted.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi",
+            ).select("src", "dst", "value"),
+            "matched",
+        )
         if met.isEmpty():
             break
         done = met if done is None else done.unionByName(met)

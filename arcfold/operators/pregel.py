@@ -148,7 +148,10 @@ def _stepper(program: VertexProgram, registry: dict, last: dict, superstep: int)
                         agg.aggregate(name, x)
                 else:
                     v.halted = True
-                rows.append((i, v.new_value, [{"dst": d, "value": x} for d, x in v.edges.items()], v.halted, [{"id": t, "sender": i, "msg": m} for t, m in v.outbox], None))
+                rows.append((
+                    i, v.new_value, [{"dst": d, "value": x} for d, x in v.edges.items()], v.halted,
+                    [{"id": t, "sender": i, "msg": m} for t, m in v.outbox], None,
+                ))
             yield pd.DataFrame(rows, columns=columns)
         program.post_superstep(superstep, agg)
         yield pd.DataFrame([(None, None, [], True, [], pickle.dumps(agg.new))], columns=columns).astype({"id": "object"})

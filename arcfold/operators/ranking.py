@@ -34,7 +34,11 @@ def pagerank(graph: Graph, max_iterations: int, *, tolerance: float, reset_proba
         rank = F.when(F.col("sum").isNull(), F.col("rank")).otherwise(F.col("rank") + F.lit(damp) * F.col("sum"))
         if personal and step == 1:
             rank = F.when(F.col("id") == source, F.lit(1.0)).otherwise(rank)
-        new = heard.select("id", rank.alias("rank"), F.when(F.col("sum").isNull(), F.col("delta")).otherwise(rank - F.col("rank")).alias("delta"), F.col("sum").isNotNull().alias("moved"))
+        new = heard.select(
+            "id", rank.alias("rank"),
+            F.when(F.col("sum").isNull(), F.col("delta")).otherwise(rank - F.col("rank")).alias("delta"),
+            F.col("sum").isNotNull().alias("moved"),
+        )
         new, seen = measured(new, "ranks", sends=F.coalesce(F.bool_or(sends), F.lit(False)))
         forget(state)
         state = new

@@ -26,7 +26,10 @@ def _relax(edges: DataFrame, state: DataFrame, keys: list[str], cost: Column, mo
         offers = sent.groupBy(F.col("_to").alias("id"), *keys[1:]).agg(F.min(F.col("dist") + F.col("_cost")).alias("offer"))
         better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
         new = state.drop("moved").join(offers, keys, "left" if len(keys) == 1 else "full")
-        new = new.select(*keys, F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), F.coalesce(better, F.lit(False)).alias("moved"))
+        new = new.select(
+            *keys, F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"),
+            F.coalesce(better, F.lit(False)).alias("moved"),
+        )
         new, seen = measured(new, "paths", moved=moved)
         forget(state)
         state, steps = new, steps + 1
@@ -53,9 +56,14 @@ def mssp(graph: Graph, landmarks: Iterable, *, max_iterations: int | None = None
     marks = sorted(set(landmarks))
     ids = graph.vertices.select("id")
     start = ids.where(F.col("id").isin(marks)).select("id", F.col("id").alias("landmark"), F.lit(0.0).alias("dist"), F.lit(True).alias("moved"))
-    state, _ = _relax(graph.edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), start, ["landmark"], F.col("value").cast("double"), max_iterations)
+    state, _ = _relax(
+        graph.edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), start, ["landmark"],
+        F.col("value").cast("double"), max_iterations,
+    )
     every = ids.withColumn("landmark", F.explode(F.array(*(F.lit(m) for m in marks)).cast(f"array<{graph.types['id']}>")))
-    return every.join(state.select("id", "landmark", "dist"), ["id", "landmark"], "left").select("id", "landmark", F.coalesce("dist", F.lit(float("inf"))).alias("value"))
+    return every.join(state.select("id", "landmark", "dist"), ["id", "landmark"], "left").select(
+        "id", "landmark", F.coalesce("dist", F.lit(float("inf"))).alias("value"),
+    )
 
 
 def mssp_maps(graph: Graph, landmarks: Iterable, **options) -> DataFrame:

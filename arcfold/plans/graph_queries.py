@@ -147,7 +147,9 @@ def group_reduce_on_neighbors(spark, d):
 
 @query(f"WITH {V}, {E} SELECT id, CAST(coalesce(max(src), -1) AS BIGINT) AS value FROM v LEFT JOIN e ON dst = id GROUP BY id")
 def group_reduce_on_neighbors_in(spark, d):
-    return graph(spark, d).group_reduce_on_neighbors(lambda v, n: F.coalesce(F.array_max(F.transform(n, lambda x: x["neighbor"])), F.lit(-1).cast("long")), IN)
+    return graph(spark, d).group_reduce_on_neighbors(
+        lambda v, n: F.coalesce(F.array_max(F.transform(n, lambda x: x["neighbor"])), F.lit(-1).cast("long")), IN,
+    )
 
 
 @query(f"WITH {E} SELECT src AS id, CAST(sum(dst) AS BIGINT) AS value FROM e GROUP BY src")
@@ -537,7 +539,9 @@ def stream_neighborhood(spark, d):
 
 @query(f"WITH {S} SELECT time_bucket(INTERVAL 1 day, ts) AS start, src AS id, max(value) AS value FROM s GROUP BY ALL")
 def stream_slice_reduce(spark, d):
-    return drained(stream(spark, d).slice("1 day").reduce_on_edges("max")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "id", "value")
+    return drained(stream(spark, d).slice("1 day").reduce_on_edges("max")).select(
+        F.col("window.start").cast("timestamp_ntz").alias("start"), "id", "value",
+    )
 
 
 @query(

@@ -79,7 +79,10 @@ def text_ratings(spark, d):
     text.write_edges(whole_ratings(spark, d).toDF("src", "dst", "value"), path)
     out = text.read_ratings(spark, path)
     back = text.parse_rating_id(text.show_rating_id(F.col("src")))
-    return out.select(back["type"].cast("int").alias("user_type"), back["id"].alias("user_id"), text.show_rating_id(F.col("dst")).alias("item"), F.col("value").alias("rating"))
+    return out.select(
+        back["type"].cast("int").alias("user_type"), back["id"].alias("user_id"),
+        text.show_rating_id(F.col("dst")).alias("item"), F.col("value").alias("rating"),
+    )
 
 
 @query(f"WITH {E} SELECT src, dst, value FROM e")
@@ -110,7 +113,9 @@ def change_log_table(spark, d):
     """The last order of each customer counts; one under 50000 deletes its key. The log is written in two parts."""
     path = folder(spark, "log")
     price = F.when(F.col("o_totalprice") >= 50000, F.col("o_totalprice")).alias("value")
-    log = datasets.table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("id"), price, F.col("o_orderkey").cast("long").alias("offset"))
+    log = datasets.table(spark, d, "orders").select(
+        F.col("o_custkey").cast("long").alias("id"), price, F.col("o_orderkey").cast("long").alias("offset"),
+    )
     for part in (0, 1):
         logs.write_log(log.where(F.col("offset") % 2 == part), path)
     return logs.latest(logs.read_log(spark, path), ["id"])
@@ -133,7 +138,9 @@ def stream_of_collection(spark, d):
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS value FROM nation")
 def collection_of_table(spark, d):
     """A small table as a dictionary, and back."""
-    names = logs.map_from_table(datasets.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("value")))
+    names = logs.map_from_table(datasets.table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("value"),
+    ))
     return logs.table_from_collection(spark, names.items(), "id long, value string")
 
 
@@ -328,8 +335,14 @@ def service_status(spark, d):
     s, run = _served(spark, d, Everything(), {"note": "1"})
     status, note = s.status(run), s.configs(run)["note"]
     s.delete(run)
-    row = (status["algorithm"], status["state"], status["superstep"], status["aggregates"]["long_sum"], note, run in s.runs, s.health()["sharedFolder"])
-    return spark.createDataFrame([row], "algorithm string, state string, superstep int, long_sum string, note string, known_after_delete boolean, health string")
+    row = (
+        status["algorithm"], status["state"], status["superstep"], status["aggregates"]["long_sum"], note,
+        run in s.runs, s.health()["sharedFolder"],
+    )
+    return spark.createDataFrame(
+        [row],
+        "algorithm string, state string, superstep int, long_sum string, note string, known_after_delete boolean, health string",
+    )
 
 
 # Matrix factorization
@@ -353,7 +366,10 @@ START = factorization._start(0, 2)(0)
 def als_two_half_steps(spark, d):
     """Items after users and items were solved once each, with two factors."""
     items = factorization.als(whole_ratings(spark, d), dim=2, iterations=4, seed=0)[1]
-    return rounded(items.select("id", F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2")), "f1", "f2", digits=3)
+    return rounded(
+        items.select("id", F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2")),
+        "f1", "f2", digits=3,
+    )
 
 
 def _fold(fields: str, first: str, rest: str, step: str) -> str:
@@ -379,7 +395,10 @@ def _sgd_sql() -> str:
 def sgd_user_step(spark, d):
     """Users after they went through all their ratings once, with two factors."""
     users = factorization.sgd(whole_ratings(spark, d), dim=2, iterations=3, seed=0)[0]
-    return rounded(users.select("id", F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2")), "f1", "f2", digits=4)
+    return rounded(
+        users.select("id", F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2")),
+        "f1", "f2", digits=4,
+    )
 
 
 def _svdpp_sql() -> str:
@@ -394,7 +413,11 @@ def _svdpp_sql() -> str:
     err = f"(greatest(CAST(0 AS FLOAT), least(CAST(5 AS FLOAT), {guess})) - x.r)"
     step = f"s.base + {f(0.005)} * ({err} - {f(0.01)} * s.base); "
     step += "; ".join(f"s.p{k + 1} + (s.p{k + 1} * -{f(0.00005)} + {f(q[k])} * ({err} * {f(0.005)}))" for k in (0, 1))
-    fold = _fold("base, p1, p2, s1, s2, m, r", f"{bu!r}; {p[0]!r}; {p[1]!r}; sqrt(count(*)) * {y[0]!r}; sqrt(count(*)) * {y[1]!r}; any_value(m); 0", _SEEN, step + "; s.s1; s.s2; s.m; 0")
+    fold = _fold(
+        "base, p1, p2, s1, s2, m, r",
+        f"{bu!r}; {p[0]!r}; {p[1]!r}; sqrt(count(*)) * {y[0]!r}; sqrt(count(*)) * {y[1]!r}; any_value(m); 0", _SEEN,
+        step + "; s.s1; s.s2; s.m; 0",
+    )
     return (
         f"WITH r AS ({RATINGS}), m AS (SELECT sum(CAST(rating AS DOUBLE)) / (2 * count(*)) AS m FROM r)"
         " SELECT id, round(CAST(v.base AS DOUBLE), 3) AS baseline, round(CAST(v.p1 AS DOUBLE), 3) AS f1, round(CAST(v.p2 AS DOUBLE), 3) AS f2"
@@ -405,7 +428,10 @@ def _svdpp_sql() -> str:
 @query(_svdpp_sql())
 def svdpp_user_step(spark, d):
     users = factorization.svdpp(whole_ratings(spark, d), dim=2, iterations=3, seed=0)[0]
-    out = users.select("id", F.col("baseline").cast("double").alias("baseline"), F.col("factors")[0].cast("double").alias("f1"), F.col("factors")[1].cast("double").alias("f2"))
+    out = users.select(
+        "id", F.col("baseline").cast("double").alias("baseline"), F.col("factors")[0].cast("double").alias("f1"),
+        F.col("factors")[1].cast("double").alias("f2"),
+    )
     return rounded(out, "baseline", "f1", "f2", digits=3)
 
 

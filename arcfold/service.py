@@ -38,7 +38,10 @@ def _need(configs: dict, name: str, kind: type) -> Any:
 
 def _pagerank(g: Graph, c: dict, n: int | None) -> DataFrame:
     source = _need(c, "srcVertexId", int) if c.get("srcVertexId") is not None else None
-    out = ranking.pagerank(g, 1 << 20 if n is None else n, tolerance=_need(c, "tolerance", float), reset_probability=_need(c, "resetProbability", float), source=source)
+    out = ranking.pagerank(
+        g, 1 << 20 if n is None else n, tolerance=_need(c, "tolerance", float),
+        reset_probability=_need(c, "resetProbability", float), source=source,
+    )
     return out.select("id", F.struct("rank", "delta").alias("value"))
 
 
@@ -56,8 +59,14 @@ def _svdpp(g: Graph, c: dict, n: int | None) -> DataFrame:
     options = {k: type(v)(c.get(k, v)) for k, v in SVDPP.items()}
     ratings = g.edges.select(F.col("src.id").alias("user"), F.col("dst.id").alias("item"), F.col("value").alias("rating"))
     iterations = int(c["iterations"]) if c.get("iterations") is not None else (10 if n is None else n)
-    users, items = factorization.svdpp(ratings, seed=int(c["random.seed"]) if c.get("random.seed") not in (None, "") else None, iterations=iterations, **options)
-    end = lambda df, kind: df.select(F.struct(F.lit(kind).cast("tinyint").alias("type"), "id").alias("id"), F.struct("baseline", "factors").alias("value"))
+    users, items = factorization.svdpp(
+        ratings, seed=int(c["random.seed"]) if c.get("random.seed") not in (None, "") else None, iterations=iterations,
+        **options,
+    )
+    end = lambda df, kind: df.select(
+        F.struct(F.lit(kind).cast("tinyint").alias("type"), "id").alias("id"),
+        F.struct("baseline", "factors").alias("value"),
+    )
     return end(users, 0).unionByName(end(items, 1))
 
 
@@ -94,7 +103,10 @@ class Service:
     def __init__(self, spark: SparkSession):
         self.spark, self.runs, self.graphs = spark, {}, {}
 
-    def import_graph(self, name: str, edges: str, vertices: str | None = None, *, id_parser: text.Parser = "long", vertex_parser: text.Parser = "long", edge_parser: text.Parser = "long", ratings: bool = False) -> Graph:
+    def import_graph(
+        self, name: str, edges: str, vertices: str | None = None, *, id_parser: text.Parser = "long",
+        vertex_parser: text.Parser = "long", edge_parser: text.Parser = "long", ratings: bool = False,
+    ) -> Graph:
         """Text files to tables in the shared folder; without vertices the edges' ends are taken."""
         e = text.read_ratings(self.spark, edges) if ratings else text.read_edges(self.spark, edges, id_parser, edge_parser)
         v = text.read_vertices(self.spark, vertices, id_parser, vertex_parser) if vertices else Graph.from_edges(e).vertices
@@ -161,7 +173,10 @@ class Service:
     def status(self, run_id: str) -> dict:
         """superstep is the last one, from 0 (-1 before the run); aggregates are those of a vertex program."""
         r = self._get(run_id)
-        return {"id": run_id, "algorithm": r.algorithm, "state": r.state, "superstep": r.superstep, "runningTime": r.running_time, "aggregates": dict(r.aggregates)}
+        return {
+            "id": run_id, "algorithm": r.algorithm, "state": r.state, "superstep": r.superstep,
+            "runningTime": r.running_time, "aggregates": dict(r.aggregates),
+        }
 
     def configs(self, run_id: str) -> dict:
         return dict(self._get(run_id).configs)
@@ -172,7 +187,10 @@ class Service:
         if table is None:
             raise BadRequest(f"run {run_id} has no result")
         typed = dict(table.dtypes)["id"].startswith("struct")
-        out = table.select((text.show_rating_id(F.col("id")) if typed else F.col("id").cast("string")).alias("key"), F.col("value").cast("string").alias("value"))
+        out = table.select(
+            (text.show_rating_id(F.col("id")) if typed else F.col("id").cast("string")).alias("key"),
+            F.col("value").cast("string").alias("value"),
+        )
         return out if key is None else out.where(F.col("key") == key)
 
     def delete(self, run_id: str) -> None:

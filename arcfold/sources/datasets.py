@@ -26,7 +26,10 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     v = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"))
     n = v.count()
     o = table(spark, sf_dir, "orders")
-    e = o.select(F.col("o_custkey").cast("long").alias("src"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("dst"), F.col("o_totalprice").alias("value"))
+    e = o.select(
+        F.col("o_custkey").cast("long").alias("src"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("dst"),
+        F.col("o_totalprice").alias("value"),
+    )
     e = e.where("src <> dst").groupBy("src", "dst").agg(F.min("value").alias("value"))
     return Graph(v.withColumn("value", F.col("id")), e)
 
@@ -34,7 +37,9 @@ def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user, item, rating): suppliers rate parts with a tenth of the mean quantity."""
     x = table(spark, sf_dir, "lineitem")
-    return x.groupBy(F.col("l_suppkey").cast("long").alias("user"), F.col("l_partkey").cast("long").alias("item")).agg((F.avg("l_quantity") / 10).cast("float").alias("rating"))
+    return x.groupBy(
+        F.col("l_suppkey").cast("long").alias("user"), F.col("l_partkey").cast("long").alias("item"),
+    ).agg((F.avg("l_quantity") / 10).cast("float").alias("rating"))
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,10 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_edges(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return events.select(F.col("user_id").cast("long").alias("src"), k.alias("dst"), "value", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return events.select(
+        F.col("user_id").cast("long").alias("src"), k.alias("dst"), "value", F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+    )
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ from arcfold.graph import Graph
 def complete_graph(spark: SparkSession, n: int) -> Graph:
     """All ordered pairs of different vertices; all values 1."""
     i = spark.range(n)
-    e = i.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst")) if n else spark.createDataFrame([], "src long, dst long")
+    e = i.select(
+        F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst"),
+    ) if n else spark.createDataFrame([], "src long, dst long")
     return Graph(i.withColumn("value", F.lit(1).cast("long")), e.where("src <> dst").withColumn("value", F.lit(1).cast("long")))
 
 

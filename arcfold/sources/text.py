@@ -30,7 +30,10 @@ def read_vertices(spark: SparkSession, path: str, id_parser: Parser = "long", va
 def read_edges(spark: SparkSession, path: str, id_parser: Parser = "long", value_parser: Parser = "long") -> DataFrame:
     """(src, dst, value)"""
     f = [F.get("f", F.lit(i)) for i in range(3)]
-    return _fields(spark, path).select(parse(f[0], id_parser).alias("src"), parse(f[1], id_parser).alias("dst"), parse(f[2], value_parser).alias("value"))
+    return _fields(spark, path).select(
+        parse(f[0], id_parser).alias("src"), parse(f[1], id_parser).alias("dst"),
+        parse(f[2], value_parser).alias("value"),
+    )
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:

@@ -68,7 +68,10 @@ class Bipartiteness(Summary):
 
     def merge(self, state: DataFrame | None, batch: DataFrame) -> DataFrame:
         plus = lambda c, k: F.shiftleft(F.col(c).cast("long"), 1) + k
-        pairs = F.array(F.struct(plus("src", 0).alias("a"), plus("dst", 1).alias("b")), F.struct(plus("src", 1).alias("a"), plus("dst", 0).alias("b")))
+        pairs = F.array(
+            F.struct(plus("src", 0).alias("a"), plus("dst", 1).alias("b")),
+            F.struct(plus("src", 1).alias("a"), plus("dst", 0).alias("b")),
+        )
         new = batch.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
         if state is not None:
             new = new.unionByName(state.select(F.col("id").alias("a"), F.col("component").alias("b")))
@@ -76,11 +79,20 @@ class Bipartiteness(Summary):
 
     def transform(self, state: DataFrame) -> DataFrame:
         rows = state.select(F.shiftright("id", 1).alias("id"), (F.col("id") % 2 == 0).alias("plus"), "component")
-        each = rows.groupBy("id").agg(F.min(F.when(F.col("plus"), F.col("component"))).alias("p"), F.min(F.when(~F.col("plus"), F.col("component"))).alias("m"))
+        each = rows.groupBy("id").agg(
+            F.min(F.when(F.col("plus"), F.col("component"))).alias("p"),
+            F.min(F.when(~F.col("plus"), F.col("component"))).alias("m"),
+        )
         odd = each.agg(F.coalesce(F.bool_or(F.col("p") == F.col("m")), F.lit(False)).alias("odd"))
         good = each.crossJoin(F.broadcast(odd)).where("not odd")
-        good = good.select(F.shiftright(F.least("p", "m"), 1).alias("component"), "id", (F.col("p") < F.col("m")).alias("sign"), F.lit(True).alias("bipartite"))
-        bad = odd.where("odd").select(F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("sign"), F.lit(False).alias("bipartite"))
+        good = good.select(
+            F.shiftright(F.least("p", "m"), 1).alias("component"), "id", (F.col("p") < F.col("m")).alias("sign"),
+            F.lit(True).alias("bipartite"),
+        )
+        bad = odd.where("odd").select(
+            F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("id"),
+            F.lit(None).cast("boolean").alias("sign"), F.lit(False).alias("bipartite"),
+        )
         return good.unionByName(bad)
 
 

@@ -63,7 +63,10 @@ def test_sybilrank(spark):
 
 
 def test_closed_forms(spark):
-    close(pairs(basic.clustering_coefficient(graph(spark, [(a, b, 1.0) for a, b in LCC7]))), {0: 0.5, 1: 1 / 3, 2: 1 / 3, 3: 0.08333333333333333, 4: 0.0, 5: 0.0})
+    close(
+        pairs(basic.clustering_coefficient(graph(spark, [(a, b, 1.0) for a, b in LCC7]))),
+        {0: 0.5, 1: 1 / 3, 2: 1 / 3, 3: 0.08333333333333333, 4: 0.0, 5: 0.0},
+    )
     assert basic.reverse_edges(graph(spark, TWO_CHAINS)).edges.count() == 38
     assert (basic.vertex_count(graph(spark, TWO_CHAINS)).first()[0], basic.edge_count(graph(spark, TWO_CHAINS)).first()[0]) == (21, 19)
     base = [(1, 2, 0), (1, 3, 0), (1, 4, 0), (2, 4, 0), (2, 5, 0), (3, 4, 0), (4, 5, 0)]
@@ -74,7 +77,11 @@ def test_closed_forms(spark):
     assert far[5, 6] == 1.7976931348623157e308 and far[1, 2] == pytest.approx(4.0)
     v, e = basic.adamic_adar(graph(spark, both(base)))
     close(pairs(v), {1: math.log(1 / 3), 2: math.log(1 / 3), 3: math.log(1 / 2), 4: math.log(1 / 4), 5: math.log(1 / 2)})
-    want = {(1, 2): -1.3862943611198906, (1, 3): -1.3862943611198906, (2, 5): -1.3862943611198906, (1, 4): -1.791759469228055, (2, 4): -1.791759469228055, (3, 4): -1.0986122886681098, (4, 5): -1.0986122886681098}
+    want = {
+        (1, 2): -1.3862943611198906, (1, 3): -1.3862943611198906, (2, 5): -1.3862943611198906,
+        (1, 4): -1.791759469228055, (2, 4): -1.791759469228055, (3, 4): -1.0986122886681098,
+        (4, 5): -1.0986122886681098,
+    }
     close({(r["src"], r["dst"]): r["value"] for r in e.collect()}, {**want, **{(b, a): x for (a, b), x in want.items()}})
 
 
@@ -99,9 +106,14 @@ def test_kmeans(spark):
 
 def test_semi_clusters(spark):
     g = graph(spark, both([(1, 2, 1), (1, 3, 1), (2, 3, 2), (3, 4, 2), (3, 5, 1), (4, 5, 1)]))
-    got = {r["id"]: [(tuple(c["vertices"]), c["score"], c["inner"], c["boundary"]) for c in r["clusters"]] for r in clustering.semi_clusters(g, capacity=2).collect()}
+    got = {r["id"]: [(
+        tuple(c["vertices"]), c["score"], c["inner"], c["boundary"],
+    ) for c in r["clusters"]] for r in clustering.semi_clusters(g, capacity=2).collect()}
     # The scores of the clusters that the golden lists.
-    scores = {(1, 5): (-2, 0, 4), (1, 3): (-2, 1, 6), (2, 5): (-2.5, 0, 5), (2, 3): (-0.5, 2, 5), (3, 4): (-0.5, 2, 5), (3,): (0, 0, 6), (4, 5): (-0.5, 1, 3), (5,): (0, 0, 2)}
+    scores = {
+        (1, 5): (-2, 0, 4), (1, 3): (-2, 1, 6), (2, 5): (-2.5, 0, 5), (2, 3): (-0.5, 2, 5), (3, 4): (-0.5, 2, 5),
+        (3,): (0, 0, 6), (4, 5): (-0.5, 1, 3), (5,): (0, 0, 2),
+    }
     seen = {c[0]: c[1:] for cs in got.values() for c in cs}
     assert got.keys() == {1, 2, 3, 4, 5} and all(i in c[0] for i, cs in got.items() for c in cs)
     assert len(seen.keys() & scores.keys()) > 2 and all(seen[k] == pytest.approx(scores[k]) for k in seen.keys() & scores.keys())
@@ -117,7 +129,11 @@ def vectors(df):
 
 def test_sgd_and_als(spark):
     users, items = factorization.sgd(ratings(spark), dim=2, iterations=5, seed=0)
-    close({("u", k): v for k, v in vectors(users).items()} | {("i", k): v for k, v in vectors(items).items()}, {("u", 1): [0.007530, 0.008566], ("u", 2): [0.007827, 0.008902], ("i", 1): [0.007459, 0.008485], ("i", 2): [0.007534, 0.008570]}, 6)
+    close(
+        {("u", k): v for k, v in vectors(users).items()} | {("i", k): v for k, v in vectors(items).items()},
+        {("u", 1): [0.007530, 0.008566], ("u", 2): [0.007827, 0.008902], ("i", 1): [0.007459, 0.008485], ("i", 2): [0.007534, 0.008570]},
+        6,
+    )
     users, items = factorization.als(ratings(spark), dim=2, iterations=5, seed=0)
     close(vectors(users), {1: [1.1009, 1.2520], 2: [2.4888, 2.8309]}, 2)
     assert factorization.rmse(ratings(spark), users, items) < 0.5
@@ -217,7 +233,9 @@ def test_combined_mail_and_lifecycle(spark):
 def test_hubs_make_few_wedges(spark):
     n = 100_000
     leaves = spark.range(1, n + 1)
-    e = leaves.select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(leaves.select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))
+    e = leaves.select(
+        F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"),
+    ).unionByName(leaves.select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))
     g = Graph.from_edges(e.withColumn("value", F.lit(0.0)))
     assert basic.jaccard(g).agg(F.max("value"), F.count("*")).first() == (0.0, 2 * n)
     assert basic.adamic_adar(g)[1].agg(F.max("value"), F.count("*")).first() == (0.0, 2 * n)

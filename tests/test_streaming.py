@@ -17,7 +17,10 @@ def batch(spark, pairs):
 
 def stream(spark, tmp_path, pairs, per_batch=2):
     df = batch(spark, pairs)
-    return EdgeStream(logs.stream_from_collection(spark, df.collect(), df.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "in"), per_batch=per_batch))
+    return EdgeStream(logs.stream_from_collection(
+        spark, df.collect(), df.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "in"),
+        per_batch=per_batch,
+    ))
 
 
 def test_running_aggregates(spark, tmp_path):
@@ -72,7 +75,10 @@ def test_spanner(spark, tmp_path):
 def test_summaries_go_on_after_a_restart(spark, tmp_path):
     schema = "src long, dst long, value double, ts timestamp, seq long"
     state, source = f"file://{tmp_path}/state", str(tmp_path / "in")
-    for k, (pairs, want) in enumerate([([(1, 2), (3, 4)], {1: 1, 2: 1, 3: 3, 4: 3}), ([(4, 2), (5, 6)], {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}), ([], {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5})]):
+    for k, (pairs, want) in enumerate([
+        ([(1, 2), (3, 4)], {1: 1, 2: 1, 3: 3, 4: 3}), ([(4, 2), (5, 6)], {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}),
+        ([], {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}),
+    ]):
         if pairs:
             batch(spark, pairs).coalesce(1).write.mode("append").parquet(source)
         edges = EdgeStream(spark.readStream.schema(schema).parquet(source))

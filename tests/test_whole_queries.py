@@ -13,7 +13,9 @@ T0 = dt.datetime(2024, 1, 1)
 
 def events(spark, path, pairs):
     rows = [(i, T0 + dt.timedelta(minutes=i), a, float(i), json.dumps({"k": b})) for i, (a, b) in enumerate(pairs, 1)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame(
+        rows, "event_id long, ts timestamp_ntz, user_id long, value double, props string",
+    ).coalesce(1).write.parquet(f"{path}/events.parquet")
     return lambda name: graph_queries.QUERIES[name](spark, str(path))
 
 
@@ -21,7 +23,10 @@ def orders(spark, path, customers, edges):
     """Tables whose order graph has these edges (src, dst, value)."""
     key = lambda dst, k: next(i for i in range(k * customers, (k + 1) * customers) if (i * 7 + 3) % customers == dst)
     spark.createDataFrame([(i,) for i in range(customers)], "c_custkey long").write.parquet(f"{path}/customer.parquet")
-    spark.createDataFrame([(key(b, k), a, v) for k, (a, b, v) in enumerate(edges)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(
+        [(key(b, k), a, v) for k, (a, b, v) in enumerate(edges)],
+        "o_orderkey long, o_custkey long, o_totalprice double",
+    ).write.parquet(f"{path}/orders.parquet")
     return lambda name: graph_queries.QUERIES[name](spark, str(path))
 
 
