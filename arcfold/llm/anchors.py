@@ -40,7 +40,7 @@ def window_runs(sums: textkit.Sums, off: np.ndarray, window: int, seed: int, rea
     if not len(start):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     at = np.arange(int(off[-1]) - seed + 1)
-    h = (sums.sums[at + seed] - sums.sums[at]) * sums.inverse[at]
+    h = (sums.sums[at + seed] - sums.sums[at]) * sums.inverse(at)
     h = (h ^ (h >> U64(29))) * U64(0xBF58476D1CE4E5B9)
     low = sliding_minimum((h & U64(0xFFFFFFFF00000000)) | at.astype(np.uint64), window - seed + 1)
     place = (low[start] & U64(0xFFFFFFFF)).astype(np.int64)

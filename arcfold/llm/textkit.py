@@ -3,6 +3,7 @@ whole Arrow batch at once, so no Python code runs per word, line or shingle."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,10 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers of a base are products of one below STEP and one of a multiple of it, so no table of all of them is kept.
+SHIFT = 11
+STEP = 1 << SHIFT
+_LOW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that one numpy pass takes at once; a longer text makes a pass of its own.
 CHUNK = 2 << 20
 
@@ -41,21 +45,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def _powers(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n. Those for a chunk's bytes are kept, those for longer texts not."""
-    have = _POWERS.get(kind)
-    if have is None or len(have[0]) < n:
-        size = -(-n // 65_536) * 65_536
-        base = int(_BASES[kind])
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, U64(b))
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = (out[0], out[1])
-        if n <= 2 * CHUNK:
-            _POWERS[kind] = have
-    return have
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < n."""
+    p = np.full(n, U64(base % (1 << 64)))
+    p[:1] = 1
+    return np.multiply.accumulate(p)
 
 
 class Sums:
@@ -63,12 +57,27 @@ class Sums:
 
     def __init__(self, values: np.ndarray, kind: int = 0):
         n = len(values)
-        power, self.inverse = _powers(n + 1, kind)
+        base = int(_BASES[kind])
+        back = pow(base, -1, 1 << 64)
+        if kind not in _LOW:
+            _LOW[kind] = _powers(base, STEP), _powers(back, STEP)
+        low, self._low = _LOW[kind]
+        blocks = n // STEP + 1
+        high, self._high = (_powers(pow(b, STEP, 1 << 64), blocks) for b in (base, back))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * power[:n], out=self.sums[1:])
+        whole, full = n - n % STEP, self.sums[1:]
+        rows = full[:whole].reshape(-1, STEP)
+        np.multiply(values[:whole].reshape(-1, STEP), low, out=rows)
+        rows *= high[: blocks - 1, None]
+        full[whole:] = values[whole:] * low[: n - whole] * high[-1]
+        np.cumsum(full, out=full)
+
+    def inverse(self, at: np.ndarray) -> np.ndarray:
+        """base**-i modulo 2**64 for each place i."""
+        return self._low[at & (STEP - 1)] * self._high[at >> SHIFT]
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        return mix((self.sums[end] - self.sums[start]) * self.inverse(start) + (end - start).astype(np.uint64))
 
 
 def byte_sums(data: np.ndarray, kind: int = 0) -> Sums:
@@ -90,8 +99,15 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def release() -> None:
+    """Gives what is free back to the system: a worker stays for later tasks and would keep it beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `size` bytes of `column`."""
+    """The same rows in batches of about `size` bytes of `column`; what they took goes back after the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,6 +119,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) ->
             stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
 
 
 def spans(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -139,3 +142,31 @@ def test_small_helpers():
     assert (at.tolist(), doc.tolist()) == ([2, 3, 4, 7], [1, 1, 1, 3])
     big = pa.record_batch({"text": pa.array(["x" * 10, None, "y" * 3, "z" * 30])})
     assert [c.num_rows for c in textkit.chunks(iter([big]), "text", 12)] == [2, 1, 1]
+
+
+def test_sums_against_their_definition():
+    values = np.random.default_rng(1).integers(0, 1 << 63, 2 * textkit.STEP + 77, dtype=np.uint64)
+    for n in (0, 1, textkit.STEP - 1, textkit.STEP, textkit.STEP + 1, len(values)):
+        for kind, base in enumerate(int(b) for b in textkit._BASES):
+            start = np.array([0, n // 3, max(n - 2, 0), n])
+            end = np.array([n, n // 2, n, n])
+            sums = [sum(int(values[i]) * pow(base, i - a, 1 << 64) for i in range(a, b)) + b - a for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            want = textkit.mix(np.array([int(s) % (1 << 64) for s in sums], np.uint64))
+            assert textkit.Sums(values[:n], kind).hash(start, end).tolist() == want.tolist()
+
+
+def test_a_worker_keeps_little_after_counting_lines():
+    code = """
+import re
+from pathlib import Path
+import pyarrow.parquet as pq
+from arcfold.llm import line_dedup
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+batches = list(pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(1000))
+before = held()
+assert sum(b.num_rows for b in line_dedup._count("doc_id", "text", 40)(iter(batches)))
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(done.stdout.split()[-1]) < 60
