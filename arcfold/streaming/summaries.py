@@ -6,7 +6,6 @@ its state with every batch (or window of it).
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Hashable, Iterable
 
 import pandas as pd
@@ -182,29 +181,53 @@ class DisjointSet:
 
 
 class AdjacencyGraph:
-    """An undirected graph in one process."""
+    """An undirected graph in one process. Edges are only added, so what was once found near stays near: pairs joined by
+    two hops are remembered, MET of them at most, so that a hub's many neighbours are not met anew for each edge."""
+
+    MET = 1_000_000
 
     def __init__(self):
         self.near: dict[Hashable, set[Hashable]] = {}
+        self.met: set[tuple[Hashable, Hashable]] = set()
 
     def add_edge(self, a: Hashable, b: Hashable) -> None:
         self.near.setdefault(a, set()).add(b)
         self.near.setdefault(b, set()).add(a)
 
     def within(self, a: Hashable, b: Hashable, k: int) -> bool:
-        """Whether a path of at most k hops joins a and b."""
-        if a not in self.near:
+        """Whether a path of at most k hops joins a and b. Both ends are gone out from, the one with fewer vertices
+        first, until two hops are left between them."""
+        near = self.near
+        if a not in near or b not in near:
+            return False
+        if a == b:
+            return True
+        if k < 1:
             return False
-        seen, todo = {a}, deque([(a, 0)])
-        while todo:
-            x, hops = todo.popleft()
-            if x == b:
+        if b in near[a]:
+            return True
+        if k == 1:
+            return False
+        one, two, seen_one, seen_two = [a], [b], {a}, {b}
+        for _ in range(k - 2):
+            if sum(len(near[x]) for x in one) > sum(len(near[y]) for y in two):
+                one, two, seen_one, seen_two = two, one, seen_two, seen_one
+            one = set().union(*(near[x] for x in one)) - seen_one
+            if not seen_two.isdisjoint(one):
                 return True
-            if hops < k:
-                fresh = self.near[x] - seen
-                seen |= fresh
-                todo.extend((y, hops + 1) for y in fresh)
-        return False
+            seen_one |= one
+        return any(self._meet(x, y) for x in one for y in two)
+
+    def _meet(self, x: Hashable, y: Hashable) -> bool:
+        """Whether two different vertices are joined by at most two hops."""
+        if (x, y) in self.met or y in self.near[x]:
+            return True
+        if self.near[x].isdisjoint(self.near[y]):
+            return False
+        if len(self.met) >= self.MET:
+            self.met.clear()
+        self.met.add((x, y))
+        return True
 
     def merge(self, other: AdjacencyGraph, k: int) -> None:
         """Takes in the edges of another spanner that this one does not span."""

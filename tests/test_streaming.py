@@ -113,3 +113,21 @@ def test_disjoint_set_and_bounded_search():
             g.add_edge(a, b)
             kept.append((a, b))
     assert kept == [(2, 3), (3, 4), (8, 9), (8, 6)]
+
+
+def test_bounded_search_does_not_walk_a_hubs_neighbours():
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            self.looked += 1
+            return super().__getitem__(key)
+
+    g = AdjacencyGraph()
+    for leaf in range(2, 3000):
+        g.add_edge(leaf % 2, leaf)
+    g.add_edge(0, 3)
+    g.near = Counted(g.near)
+    assert all(g.within(leaf, 1 - leaf % 2, 3) for leaf in range(2, 3000))
+    assert not g.within(2, 5, 2) and g.within(2, 5, 4) and not g.within(2, 5000, 9)
+    assert g.near.looked < 30 * 3000
