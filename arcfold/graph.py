@@ -7,16 +7,21 @@ an iterable, the callback gets an array Column, or, better at scale, an aggregat
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcfold.functions.reducers import Reducer, reduce_column
+from arcfold.plans.lineage import partitions
 
 IN, OUT, BOTH = "IN", "OUT", "BOTH"
+#: Groups of ids a task, for functions over pandas frames.
+BUCKETS = 16
 
 
 def ends(direction: str) -> tuple[str, str]:
@@ -28,6 +33,37 @@ def ends(direction: str) -> tuple[str, str]:
     raise NotImplementedError(f"direction {direction} is not supported here")
 
 
+def _slices(rows: pd.DataFrame, key: str, columns: list[str], whole: list[str]) -> Iterator[tuple[Any, pd.DataFrame]]:
+    """(id, its rows) of rows in the order of ids. Whole numbers and booleans come with a column that says where they
+    are null; only a frame with such a null has floats or objects in their place."""
+    ids = rows[key].to_numpy()
+    gone = {c: g for c in whole if (g := rows[f"_no_{c}"].to_numpy()).any()}
+    rows = rows[columns]
+    cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        part = rows.iloc[a:b].copy()
+        part.index = pd.RangeIndex(b - a)
+        for c, g in gone.items():
+            if g[a:b].any():
+                part[c] = part[c].astype(object).where(~g[a:b], None) if part[c].dtype == bool else part[c].astype("float64").where(~g[a:b])
+        yield ids[a], part
+
+
+def _stacked(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """One frame of many; where they differ in a column's type, every cell keeps its own."""
+    frames = [f for f in frames if len(f)]
+    if not frames:
+        return pd.DataFrame()
+    names = list(frames[0].columns)
+    if any(set(f.columns) != set(names) for f in frames):
+        raise ValueError("frames of different columns")
+    out = {}
+    for c in names:
+        cells = [f[c] for f in frames]
+        out[c] = pd.concat(cells if len({x.dtype for x in cells}) == 1 else [x.astype(object) for x in cells], ignore_index=True)
+    return pd.DataFrame(out)
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -168,10 +204,28 @@ class Graph:
         return self._applied(self._beside_neighbors(direction).select("src", "dst", "value", "neighbor"), end, f, schema)
 
     def _applied(self, rows: DataFrame, end: str, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        def run(vertex: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-            return f(vertex, edges.sort_values(["src", "dst"])) if len(vertex) else pd.DataFrame()
-
-        return self.vertices.groupBy("id").cogroup(rows.groupBy(end)).applyInPandas(run, schema)
+        """Groups are handed to Python by buckets of many ids, as a group costs milliseconds. The number of tasks is
+        fixed: adaptive execution would go by bytes and put all these calls in few of them."""
+        n = partitions(self.vertices.sparkSession)
+
+        def dealt(df: DataFrame, key: str) -> tuple[DataFrame, list[str], list[str]]:
+            whole = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "boolean")]
+            empty = {c: F.lit(False if dict(df.dtypes)[c] == "boolean" else 0).cast(dict(df.dtypes)[c]) for c in whole}
+            cells = [F.coalesce(c, empty[c]).alias(c) if c in empty else F.col(c) for c in df.columns]
+            out = df.select(*cells, *(F.isnull(c).alias(f"_no_{c}") for c in whole), F.pmod(F.xxhash64(key), F.lit(n * BUCKETS)).alias("_bucket"))
+            return out.repartition(n, "_bucket").groupBy("_bucket"), df.columns, whole
+
+        v, v_columns, v_whole = dealt(self.vertices, "id")
+        e, e_columns, e_whole = dealt(rows, end)
+
+        def run(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+            mine = {k: part for k, part in _slices(edges.sort_values(["src", "dst"], kind="stable").sort_values(end, kind="stable"), end, e_columns, e_whole)}
+            none, out = edges.iloc[:0][e_columns], []
+            for k, vertex in _slices(vertices.sort_values("id", kind="stable"), "id", v_columns, v_whole):
+                out.append(f(vertex, mine.pop(k) if k in mine else none.copy()))
+            return _stacked(out)
+
+        return v.cogroup(e).applyInPandas(run, schema)
 
     def aggregate_edges(
         self, aggregate: Callable[[Column, Column, Column], Column], direction: str = OUT,

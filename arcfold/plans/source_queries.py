@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,7 +179,7 @@ def supply_degrees(spark, d):
 )
 def group_apply_on_edges(spark, d):
     def totals(vertex: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        up = edges.loc[edges["dst"] > vertex["id"].iloc[0], "value"].sum()
+        up = np.nansum(edges["value"].to_numpy()[edges["dst"].to_numpy() > vertex["id"].iloc[0]])
         return pd.DataFrame({"id": vertex["id"], "n": [len(edges)], "up": [round(float(up), 2)]})
 
     return rounded(graph(spark, d).group_apply_on_edges(totals, "id long, n long, up double"), "up", digits=2)

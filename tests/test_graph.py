@@ -98,3 +98,25 @@ def test_logs(spark, tmp_path):
     assert pairs(logs.latest(logs.read_log(spark, str(tmp_path / "log")), ["id"])) == {1: "b"}
     assert logs.stream_log(spark, str(tmp_path / "log"), log.schema).isStreaming
     assert [r["id"] for r in logs.sorted_rows(log.select("id").distinct())] == [1, 2]
+
+
+def test_functions_over_frames_are_called_by_buckets(spark):
+    """With nulls in one vertex's rows the others keep whole numbers; a task is handed many vertices at once."""
+    import pandas as pd
+
+    vertices = spark.createDataFrame([(i, None if i == 7 else i) for i in range(2000)], "id long, value long")
+    e = spark.createDataFrame([(i, j, None if j == 5 else (1 << 60) + j) for i in range(0, 2000, 2) for j in (3, i % 2, 5 if i == 8 else 4)], "src long, dst long, value long")
+
+    def seen(vertex, edges):
+        rows = list(edges["value"])
+        edges["dst"] = 0
+        return pd.DataFrame({"id": vertex["id"], "own": [str(vertex["value"][0])], "n": [len(edges)], "rows": [",".join(map(str, rows))]})
+
+    out = Graph(vertices, e).group_apply_on_edges(seen, "id long, own string, n long, rows string")
+    got = {r["id"]: (r["own"], r["n"], r["rows"]) for r in out.collect()}
+    big = 1 << 60
+    assert len(got) == 2000 and got[1] == ("1", 0, "") and got[7] == ("nan", 0, "")
+    assert got[10] == ("10", 3, f"{big},{big + 3},{big + 4}")
+    assert got[8] == ("8", 3, f"{float(big)},{float(big)},nan")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and "REPARTITION_BY_NUM" in plan
