@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ class _Turns:
 
     def __init__(self, table: pa.Table):
         ids = table["id"].to_numpy()
-        cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        cut = np.concatenate([[0][: len(ids)], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).astype(np.int64)
         size = np.diff(cut)
         order = np.argsort(-size, kind="stable")
         self.first, self.size, self.table = cut[:-1][order], size[order], table
@@ -102,39 +103,57 @@ def _by_id(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(F.xxhash64("id")).sortWithinPartitions("id", *order)
 
 
+def _with_own(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """_by_id() of the rows (id, sender, ...) and, before those of its id, the vertex's own state (id, ...) as a row
+    without a sender: one shuffle, and the state goes along once and not with every row."""
+    rows = rows.where("id is not null").unionByName(own, allowMissingColumns=True)
+    return _by_id(rows, "sender")
+
+
+def _apart(table: pa.Table) -> tuple[_Turns, _Turns, np.ndarray]:
+    """Of a table of _with_own(): the turns of the senders' rows, the owns, and which own is each turn's vertex's."""
+    is_own = pc.is_null(table["sender"])
+    turns, owns = _Turns(table.filter(pc.invert(is_own))), _Turns(table.filter(is_own))
+    first = np.argsort(owns.ids, kind="stable")
+    return turns, owns, owns.first[first[np.searchsorted(owns.ids, turns.ids, sorter=first)]] if len(turns.ids) else np.zeros(0, np.int64)
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b)
 
 
 def _solve(rows: DataFrame, dim: int, lam: float) -> DataFrame:
-    """(id, factors) that solve (M Mt + lambda n I) u = M r. Tasks add up each id's matrix before the shuffle."""
+    """(id, factors) that solve (M Mt + lambda n I) u = M r. A task adds up the matrices of its ids as their rows pass,
+    in order; an id of very many rows takes no more memory. (Adding up before the shuffle sends dim times as much where
+    a task meets few rows of an id.)"""
 
-    def added(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
-        return ids[cut], np.add.reduceat(x[order], cut, axis=0)
+    def solved(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        a = x[:, : dim * dim].reshape(-1, dim, dim) + (lam * x[:, -1])[:, None, None] * np.eye(dim)
+        u = np.linalg.solve(a, x[:, dim * dim : -1, None])[:, :, 0]
+        return pa.record_batch([pa.array(ids), _lists(u.astype(f32))], ["id", "factors"])
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = np.zeros(0, np.int64), np.zeros((0, dim * dim + dim + 1))
         for b in batches:
             if not b.num_rows:
                 continue
+            ids = b.column("id").to_numpy(zero_copy_only=False)
             m = b.column("factors").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
             r = b.column("rating").to_numpy(zero_copy_only=False).astype(np.float64)
-            square = (m[:, :, None] * m[:, None, :]).reshape(len(m), -1)
-            ids, sums = added(b.column("id").to_numpy(zero_copy_only=False), np.concatenate([square, m * r[:, None], np.ones((len(m), 1))], axis=1))
-            yield pa.record_batch([pa.array(ids), _lists(sums)], ["id", "sums"])
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches):
-            sums = t["sums"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            ids, x = added(t["id"].to_numpy(), sums)
-            a = x[:, : dim * dim].reshape(-1, dim, dim) + (lam * x[:, -1])[:, None, None] * np.eye(dim)
-            u = np.linalg.solve(a, x[:, dim * dim : -1, None])[:, :, 0]
-            yield pa.record_batch([pa.array(ids), _lists(u.astype(f32))], ["id", "factors"])
-
-    part = rows.select("id", "rating", "factors").mapInArrow(partial, "id long, sums array<double>")
-    return _by_id(part).mapInArrow(solve, "id long, factors array<float>")
+            x = np.concatenate([(m[:, :, None] * m[:, None, :]).reshape(len(m), -1), m * r[:, None], np.ones((len(m), 1))], axis=1)
+            cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            ids, sums = ids[cut], np.add.reduceat(x, cut, axis=0)
+            if len(last) and ids[0] == last[0]:
+                sums[0] += held[0]
+            elif len(last):
+                yield solved(last, held)
+            if len(ids) > 1:
+                yield solved(ids[:-1], sums[:-1])
+            last, held = ids[-1:], sums[-1:].copy()
+        if len(last):
+            yield solved(last, held)
+
+    return _by_id(rows.select("id", "rating", "factors")).mapInArrow(solve, "id long, factors array<float>")
 
 
 def rmse(ratings: DataFrame, users: DataFrame, items: DataFrame) -> float:
@@ -185,9 +204,11 @@ def sgd(
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole(batches):
-            turns = _Turns(table)
+            turns, owns, own = _apart(table)
+            if not len(turns.ids):
+                continue
             u, seen = turns.vectors("factors"), turns.rows("rating")
-            value = turns.vectors("own")[turns.first]
+            value = owns.vectors("factors")[own]
             old = value.copy()
             for n, row in turns:
                 err = np.clip(_dot(value[:n], u[row]), f32(min_rating), f32(max_rating)) - seen[row]
@@ -199,8 +220,7 @@ def sgd(
         rows = _beside(r, side, other, state[other])
         if quiet[other] is not None:
             rows = rows.join(quiet[other].withColumnRenamed("id", "sender"), "sender", "left_anti")
-        rows = rows.join(state[side].withColumnRenamed("factors", "own"), "id")
-        new = staged(_by_id(rows, "sender").mapInArrow(update, "id long, factors array<float>, moved boolean"), "updates")
+        new = staged(_with_own(rows, state[side]).mapInArrow(update, "id long, factors array<float>, moved boolean"), "updates")
         if tolerance > 0:
             quiet[side] = staged(state[side].select("id").join(new.where("moved").select("id"), "id", "left_anti"), "quiet")
         return new.select("id", "factors").unionByName(state[side].join(new.select("id"), "id", "left_anti"))
@@ -244,8 +264,10 @@ def svdpp(
         """Users against all their items: their new states, and a step for each item."""
         names = [f.split()[0] for f in step_ddl.split(", ")]
         for table in _whole(batches):
-            t = _Turns(table)
-            base, p = t.rows("own_baseline")[t.first], t.vectors("own_factors")[t.first]
+            t, owns, own = _apart(table)
+            if not len(t.ids):
+                continue
+            base, p = owns.rows("baseline")[own], owns.vectors("factors")[own]
             q, y, bi, seen = t.vectors("factors"), t.vectors("weight"), t.rows("baseline"), t.rows("rating")
             weights = np.zeros((len(t.ids), dim), f32)
             for n, row in t:
@@ -265,11 +287,11 @@ def svdpp(
                 ],
                 names,
             )
-            of = np.empty(table.num_rows, np.int64)
+            of = np.empty(t.table.num_rows, np.int64)
             for n, row in t:
                 of[row] = np.arange(n)
             err = (np.clip(mean + base[of] + bi + _dot(q, (p + spread)[of]), lo, hi) - seen) * sign
-            columns = [table["id"].combine_chunks(), table["sender"].combine_chunks(), pa.array(bg * err)]
+            columns = [t.table["id"].combine_chunks(), t.table["sender"].combine_chunks(), pa.array(bg * err)]
             columns += [_lists((spread + p)[of] * (fg * err)[:, None]), _lists(weight_step[of]), pa.array(err.astype(np.float64) ** 2)]
             out = pa.record_batch(columns, names)
             for i in range(0, out.num_rows, 10_000):
@@ -278,8 +300,10 @@ def svdpp(
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Items and the steps their users sent."""
         for table in _whole(batches):
-            t = _Turns(table)
-            base, q, y = t.rows("own_baseline")[t.first], t.vectors("own_factors")[t.first], t.vectors("own_weight")[t.first]
+            t, owns, own = _apart(table)
+            if not len(t.ids):
+                continue
+            base, q, y = owns.rows("baseline")[own], owns.vectors("factors")[own], owns.vectors("weight")[own]
             b, fs, ws = t.rows("baseline"), t.vectors("factors"), t.vectors("weight")
             for n, row in t:
                 base[:n] = (base[:n] + b[row]) - bg * bl * base[:n]
@@ -287,20 +311,19 @@ def svdpp(
                 y[:n] += y[:n] * (-fg * fl) + ws[row]
             yield pa.record_batch([pa.array(t.ids), pa.array(base), _lists(q), _lists(y)], ["id", "baseline", "factors", "weight"])
 
-    own = lambda s: state[s].toDF("id", "own_baseline", "own_factors", "own_weight")
     steps = None
     for k in range(3, iterations + 1):
         if k % 2:
             rows = ratings.select(
                 F.col("user").alias("id"), F.col("item").alias("sender"), "rating",
-            ).join(state["item"].withColumnRenamed("id", "sender"), "sender").join(own("user"), "id")
-            both = staged(_by_id(rows, "sender").mapInArrow(users, step_ddl), "svdpp")
+            ).join(state["item"].withColumnRenamed("id", "sender"), "sender")
+            both = staged(_with_own(rows, state["user"]).mapInArrow(users, step_ddl), "svdpp")
             state["user"] = both.where("item is null").select("id", "baseline", "factors", "weight")
             steps = both.where("item is not null").select(F.col("item").alias("id"), F.col("id").alias("sender"), "baseline", "factors", "weight")
             if rmse_target > 0 and (both.agg(F.sum("error")).first()[0] / n_edges) ** 0.5 < rmse_target:
                 break
         else:
-            state["item"] = staged(_by_id(steps.join(own("item"), "id"), "sender").mapInArrow(items, state_ddl), "svdpp")
+            state["item"] = staged(_with_own(steps, state["item"]).mapInArrow(items, state_ddl), "svdpp")
     ratings.unpersist()
     return state["user"].drop("weight"), state["item"]
 
