@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcfold.graph import Graph
@@ -45,13 +45,29 @@ def _corners(u: DataFrame) -> DataFrame:
     return w.join(d.select("p", "q", F.col("k").alias("pq")), ["p", "q"])
 
 
-def _shared(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b, z): what both ends of each pair (a, b) have in (id, z). The end with fewer goes through its own."""
-    n = near.groupBy("id").agg(F.count("*").alias("n"))
-    x = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-    less = F.col("na") <= F.col("nb")
-    x = x.select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("other"))
-    return x.join(near, "id").join(near.toDF("other", "z"), ["other", "z"]).select("a", "b", "z")
+def _ways(e: DataFrame) -> DataFrame:
+    """(a, b, k) of edges (src, dst), a < b: k is 1 where a leads to b, 2 where b leads to a, 3 where both do."""
+    way = F.when(F.col("src") < F.col("dst"), F.lit(1)).otherwise(F.lit(2))
+    return e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bit_or(way).alias("k"))
+
+
+def _leads(x: str, y: str, k: str) -> Column:
+    """Whether x leads to y, by the k of their edge."""
+    return F.col(k).bitwiseAND(F.when(F.col(x) < F.col(y), F.lit(1)).otherwise(F.lit(2))) > 0
+
+
+def _thirds(e: DataFrame) -> DataFrame:
+    """(a, b, z, ab, za, zb): every corner z of every triangle of edges (src, dst) beside the pair a < b of the other two,
+    with the k of their edges. An edge's ends share what closes a triangle with it, so wedges start at low degrees and
+    each triangle is found once, not once for each of its edges."""
+    t = _corners(_ways(e))
+    third = lambda x, y, z, xy, zx, zy: F.struct(*(F.col(c).alias(n) for c, n in zip((x, y, z, xy, zx, zy), ("x", "y", "z", "ab", "zx", "zy"), strict=True)))
+    rows = t.select(F.explode(F.array(
+        third("p", "q", "i", "pq", "ip", "iq"), third("i", "q", "p", "iq", "ip", "pq"), third("i", "p", "q", "ip", "iq", "pq"),
+    )).alias("t")).select("t.*")
+    up = F.col("x") < F.col("y")
+    pick = lambda c, d: F.when(up, F.col(c)).otherwise(F.col(d))
+    return rows.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), "z", "ab", pick("zx", "zy").alias("za"), pick("zy", "zx").alias("zb"))
 
 
 def clustering_coefficient(graph: Graph) -> DataFrame:
@@ -80,16 +96,23 @@ def jaccard(graph: Graph, *, distance: bool = False) -> DataFrame:
     """(src, dst, value) of every edge: the Jaccard index of both ends' out-neighbours where the edge exists both ways,
     else its own value; as a distance 1 / index - 1."""
     e = graph.edges.select("src", "dst")
-    n = e.groupBy("src").agg(F.count("*").alias("n"))
-    mutual = e.join(e.toDF("dst", "src"), ["src", "dst"], "left_semi")
-    pairs = mutual.where("src <= dst").toDF("a", "b").distinct()
-    common = _both_ways(_shared(pairs, e.toDF("id", "z")).groupBy("a", "b").agg(F.count("*").alias("i")))
-    rows = mutual.join(common, ["src", "dst"], "left").join(n.toDF("src", "n1"), "src").join(n.toDF("dst", "n2"), "dst")
-    i = F.coalesce("i", F.lit(0)).cast("double")
-    rows = rows.select("src", "dst", (i / (F.col("n1") + F.col("n2") - i)).alias("index"))
+    n = e.groupBy("src").agg(F.count("*").alias("n"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("loop"))
+    shared = _thirds(e).where((F.col("ab") == 3) & _leads("a", "z", "za") & _leads("b", "z", "zb"))
+    shared = shared.groupBy("a", "b").agg(F.count("*").alias("i"))
+    own = F.struct("value")
+    pairs = graph.edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+        F.first(F.when(F.col("src") <= F.col("dst"), own), True).alias("there"), F.first(F.when(F.col("src") >= F.col("dst"), own), True).alias("back"),
+    )
+    pairs = pairs.join(shared, ["a", "b"], "left").join(n.toDF("a", "n1", "loop1"), "a", "left").join(n.toDF("b", "n2", "loop2"), "b", "left")
+    # A self-loop makes an end of the pair a neighbour of both; a vertex shares all it has with itself.
+    i = F.when(F.col("a") == F.col("b"), F.col("n1")).otherwise(F.coalesce("i", F.lit(0)) + F.col("loop1") + F.col("loop2")).cast("double")
+    index = i / (F.col("n1") + F.col("n2") - i)
     if distance:
-        rows = rows.withColumn("index", F.when(F.col("index") == 0, F.lit(FARTHEST)).otherwise(F.lit(1.0) / F.col("index") - 1))
-    return graph.edges.join(rows, ["src", "dst"], "left").select("src", "dst", F.coalesce("index", F.col("value").cast("double")).alias("value"))
+        index = F.when(index == 0, F.lit(FARTHEST)).otherwise(F.lit(1.0) / index - 1)
+    pairs = pairs.select("a", "b", "there", "back", F.when(F.col("there").isNotNull() & F.col("back").isNotNull(), index).alias("index"))
+    out = lambda s, d, v: F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), F.coalesce("index", F.col(f"{v}.value").cast("double")).alias("value"))
+    ways = F.array(F.when(F.col("there").isNotNull(), out("a", "b", "there")), F.when(F.col("back").isNotNull() & (F.col("a") < F.col("b")), out("b", "a", "back")))
+    return pairs.select(F.explode(ways).alias("e")).where("e is not null").select("e.*")
 
 
 def adamic_adar(graph: Graph, *, distance: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +121,12 @@ def adamic_adar(graph: Graph, *, distance: bool = False) -> tuple[DataFrame, Dat
     n = graph.edges.groupBy(F.col("src").alias("id")).agg(F.log(F.lit(1.0) / F.count("*")).alias("w"))
     v = graph.vertices.select("id").join(n, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).alias("value"))
     e = graph.edges.select("src", "dst")
-    pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    shared = _shared(pairs, e.select(F.col("dst").alias("id"), F.col("src").alias("z")))
+    loops = e.where("src = dst").select("src")
+    shared = _thirds(e).where(_leads("z", "a", "za") & _leads("z", "b", "zb")).select("a", "b", "z")
+    # A vertex with a self-loop leads to both ends of its out-edges; all that lead to it do so to both ends of the loop.
+    around = e.where("src <> dst").join(loops, "src", "left_semi")
+    shared = shared.unionByName(around.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("src").alias("z")))
+    shared = shared.unionByName(e.join(loops.toDF("dst"), "dst", "left_semi").select(F.col("dst").alias("a"), F.col("dst").alias("b"), F.col("src").alias("z")))
     sums = _both_ways(shared.join(v.toDF("z", "w"), "z").groupBy("a", "b").agg(F.sum("w").alias("s")))
     total = F.col("value") + F.coalesce("s", F.lit(0.0))
     rows = graph.edges.join(sums, ["src", "dst"], "left").select("src", "dst", (total if not distance else -total).alias("value"))

@@ -275,3 +275,46 @@ def test_vertices_of_many_sizes_go_on_together(spark, monkeypatch):
             err = np.float32(min(max(value @ start, 0.0), 5.0)) - np.float32(seen)
             value = value + (value * np.float32(0.01) + start * err) * np.float32(-0.005)
         assert got == pytest.approx(value.tolist(), abs=1e-7)
+
+
+def test_factorization_shuffles_rows_once(spark, monkeypatch):
+    """A rating goes to its vertex in one row; sums over several batches of one id are those of all its rows."""
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(factorization, "staged", kept)
+    rows = spark.createDataFrame([(u, i, float((u * i) % 5)) for u in range(6) for i in range(7)], "user long, item long, rating float")
+    factorization.sgd(rows, dim=2, iterations=3, seed=0)
+    factorization.svdpp(rows, dim=2, iterations=4, seed=0)
+    assert [p.count("Join ") for n, p in plans if n in ("updates", "svdpp")] == [1, 1, 0]
+    x = spark.createDataFrame([(i % 3, float(i % 4), [1.0 + i % 5, 2.0 - i % 2]) for i in range(60)], "id long, rating float, factors array<float>")
+    solved = factorization._solve(x, 2, 0.01)
+    assert solved._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    flat = lambda rows: {(r["id"], k): x for r in rows for k, x in enumerate(r["factors"])}
+    whole = flat(solved.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert flat(factorization._solve(x, 2, 0.01).collect()) == pytest.approx(whole)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_similarities_meet_each_triangle_once(spark):
+    """Against plain sets, with self-loops and edges of one way."""
+    import random
+
+    r = random.Random(3)
+    e = sorted({(r.randrange(14), r.randrange(14)) for _ in range(70)})
+    out = {i: {b for a, b in e if a == i} for i in range(14)}
+    into = {i: {a for a, b in e if b == i} for i in range(14)}
+    g = graph(spark, [(a, b, 0.5) for a, b in e])
+    got = {(x["src"], x["dst"]): x["value"] for x in basic.jaccard(g).collect()}
+    want = {(a, b): len(out[a] & out[b]) / (len(out[a]) + len(out[b]) - len(out[a] & out[b])) if (b, a) in set(e) else 0.5 for a, b in e}
+    close(got, want)
+    got = {(x["src"], x["dst"]): x["value"] for x in basic.adamic_adar(g)[1].collect()}
+    close(got, {(a, b): 0.5 + sum(math.log(1 / len(out[z])) for z in into[a] & into[b]) for a, b in e})
+    clique = edges(spark, [(a, b) for a in range(8) for b in range(8) if a != b])
+    assert basic._thirds(clique).count() == 3 * math.comb(8, 3)
