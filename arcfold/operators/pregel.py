@@ -23,6 +23,10 @@ from arcfold.operators.aggregators import Aggregator
 from arcfold.plans.lineage import forget, staged
 
 
+#: Vertices whose new rows a task holds at once.
+ROWS = 1000
+
+
 class Aggregates:
     """Reads the last step's values by name and collects this step's."""
 
@@ -137,7 +141,7 @@ def _stepper(program: VertexProgram, registry: dict, last: dict, superstep: int)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         agg = Aggregates(registry, last)
         program.pre_superstep(superstep, agg)
-        for f in frames:
+        for f in (f.iloc[k : k + ROWS] for f in frames for k in range(0, len(f), ROWS)):
             rows = []
             for i, value, edges, halted, inbox in zip(f["id"], f["value"], f["edges"], f["halted"], f["inbox"], strict=True):
                 v = Vertex(i, value, {e["dst"]: e["value"] for e in (edges if edges is not None else ())}, agg)

@@ -318,3 +318,18 @@ def test_similarities_meet_each_triangle_once(spark):
     close(got, {(a, b): 0.5 + sum(math.log(1 / len(out[z])) for z in into[a] & into[b]) for a, b in e})
     clique = edges(spark, [(a, b) for a in range(8) for b in range(8) if a != b])
     assert basic._thirds(clique).count() == 3 * math.comb(8, 3)
+
+
+def test_supersteps_hold_few_new_rows_at_once():
+    import pandas as pd
+
+    from arcfold.operators.pregel import ROWS, _stepper
+
+    class Nothing(VertexProgram):
+        def compute(self, superstep, vertex, messages):
+            vertex.vote_to_halt()
+
+    n = 2 * ROWS + 5
+    f = pd.DataFrame({"id": range(n), "value": [0.5] * n, "edges": [None] * n, "halted": [False] * n, "inbox": [None] * n})
+    sizes = [len(x) for x in _stepper(Nothing(), {}, {}, 0)(iter([f]))]
+    assert sizes == [ROWS, ROWS, 5, 1]
